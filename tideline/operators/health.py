@@ -99,11 +99,11 @@ def app_health(applications: DataFrame, health: DataFrame, settings: HealthSetti
 
     Ties for the largest table go to the first name.
     """
-    size = F.struct(F.col("row_count"), _descending_text("table_name"))
+    size = F.struct(-F.col("row_count"), F.col("table_name"))
     per_app = health.groupBy("app_id").agg(
         F.count(F.lit(1)).alias("_tables"),
         F.max(level_rank(F.col("severity"))).alias("_rank"),
-        F.max_by("table_name", size).alias("largest_table"),
+        F.min_by("table_name", size).alias("largest_table"),
         F.max("row_count").alias("largest_rows"),
         F.sum("avg_daily_growth").alias("total_daily_growth"),
         F.count_if(F.col("avg_daily_growth").isNull()).alias("_unmeasured"),
@@ -130,11 +130,6 @@ def app_health(applications: DataFrame, health: DataFrame, settings: HealthSetti
     )
 
 
-def _descending_text(name: str) -> Column:
-    """A key that is larger for texts that sort earlier, so max_by prefers them."""
-    return F.transform(F.split(F.col(name), ""), lambda ch: -F.ascii(ch))
-
-
 def severity_counts(health: DataFrame) -> DataFrame:
     return health.groupBy("severity").agg(F.count(F.lit(1)).alias("tables"))
 
