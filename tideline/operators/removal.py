@@ -13,6 +13,7 @@ from tideline.functions.fingerprint import row_fingerprint
 from tideline.operators.closure import edge_condition
 from tideline.operators.selection import Tables
 from tideline.plans.group import FkEdge, GroupPlan
+from tideline.session import materialize
 
 
 def live_keys(df: DataFrame, primary_key: str, double_as: str | None = None) -> DataFrame:
@@ -68,11 +69,14 @@ def exact_removal(
     frozen: Mapping[str, DataFrame],
     live: Tables,
     double_as: str | None = None,
+    staged: bool = True,
 ) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
     """Outcomes per frozen row and survivors per table, children first.
 
     A parent is held while any surviving child row points at it: one that drifted, was itself held, or
-    arrived after the freeze. Tables outside the group count too when a foreign key names them.
+    arrived after the freeze. Tables outside the group count too when a foreign key names them. ``staged``
+    writes each table's outcomes once, since its survivors, its parent's guard and the reconciliation all
+    read them.
     """
     outcomes: dict[str, DataFrame] = {}
     remaining: dict[str, DataFrame] = dict(live)
@@ -81,7 +85,8 @@ def exact_removal(
         rows = live[table]
         guards = [(e, remaining[e.child]) for e in plan.incoming(table) if e.child in remaining]
         held = referenced_keys(rows, pk, guards) if guards else None
-        outcomes[table] = row_outcomes(frozen[table], live_keys(rows, pk, double_as), held)
+        decided = row_outcomes(frozen[table], live_keys(rows, pk, double_as), held)
+        outcomes[table] = materialize(decided, "outcomes") if staged else decided
         remaining[table] = survivors(rows, pk, outcomes[table])
     return outcomes, {t: remaining[t] for t in plan.spec.tables}
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("derived", "groups", "days", "removal")
+MODULES = ("derived", "groups", "days", "removal", "archive")
 
 
 def load() -> None:
