@@ -97,7 +97,7 @@ def table_health(tables: DataFrame, policies: DataFrame, settings: HealthSetting
 def app_health(applications: DataFrame, health: DataFrame, settings: HealthSettings) -> DataFrame:
     """One row per application: usage, levels, largest table, summed growth and counts.
 
-    Ties for the largest table go to the first name.
+    Ties for the largest table go to the first name. A database without a known capacity counts as full.
     """
     size = F.struct(-F.col("row_count"), F.col("table_name"))
     per_app = health.groupBy("app_id").agg(
@@ -110,10 +110,14 @@ def app_health(applications: DataFrame, health: DataFrame, settings: HealthSetti
         F.count_if(F.col("policy") == "review_required").alias("_review"),
         F.count_if(F.col("severity") != "NONE").alias("_over"),
     )
-    usage = F.col("database_mb") / F.col("capacity_mb") * 100
+    known = F.col("capacity_mb") > 0
+    usage = F.when(known, F.try_divide(F.col("database_mb"), F.col("capacity_mb")) * 100)
     joined = applications.join(per_app, "app_id", "left").withColumn("usage_pct", usage)
     zero = F.lit(0)
-    leveled = joined.withColumn("db_severity", settings.capacity_pct.level(F.col("usage_pct"))).withColumn(
+    level = F.when(known, settings.capacity_pct.level(F.col("usage_pct"))).otherwise(
+        F.when(F.col("database_mb") > 0, "HIGH").otherwise("NONE")
+    )
+    leveled = joined.withColumn("db_severity", level).withColumn(
         "table_severity", level_name(F.coalesce("_rank", zero))
     )
     overall = max_level(F.col("db_severity"), F.col("table_severity"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("derived", "groups", "days", "removal", "archive")
+MODULES = ("derived", "groups", "days", "removal", "archive", "health", "jobs", "rules", "streams")
 
 
 def load() -> None:

@@ -93,6 +93,7 @@ def plain(df: DataFrame) -> DataFrame:
 def check_sql(sql: str) -> str:
     """The complete text of a check: the derived tables it needs as common table expressions, then the check."""
     shared_tables = {**DERIVED, **CHECK_TABLES}
+    known = {*shared_tables, *BASE_TABLES}
     needed: list[str] = []
 
     def visit(text: str) -> None:
@@ -105,7 +106,7 @@ def check_sql(sql: str) -> str:
     visit(sql)
 
     def bare(text: str) -> str:
-        return re.sub(r"\{(\w+)\}", r"\1", text)
+        return re.sub(r"\{(\w+)\}", lambda m: m[1] if m[1] in known else m[0], text)
 
     shared = [f"{name} AS (\n{bare(shared_tables[name])}\n)" for name in needed]
     body = bare(sql)

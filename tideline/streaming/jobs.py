@@ -20,10 +20,21 @@ STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreP
 
 
 def local_wall_clock(column: Column, data_type: T.DataType, time_zone: str, ntz_is_utc: bool = False) -> Column:
-    """The timestamp a clock in the business zone would show; its days are local days in every season."""
+    """The clock reading in the business zone, held as if it were UTC.
+
+    Watermarks need a timestamp with zone, and day windows start at UTC midnight; so a one-day window over
+    this clock is a local day in every season.
+    """
     if isinstance(data_type, T.TimestampNTZType):
-        return F.convert_timezone(F.lit("UTC"), F.lit(time_zone), column) if ntz_is_utc else column
-    return F.convert_timezone(None, F.lit(time_zone), column)
+        clock = F.convert_timezone(F.lit("UTC"), F.lit(time_zone), column) if ntz_is_utc else column
+    else:
+        clock = F.convert_timezone(None, F.lit(time_zone), column)
+    return utc_instant(clock)
+
+
+def utc_instant(clock: Column) -> Column:
+    """The instant at which a clock in UTC shows a zone-less timestamp, whatever the session's zone is."""
+    return F.convert_timezone(F.lit("UTC"), F.current_timezone(), clock).cast("timestamp")
 
 
 def stream_daily_totals(
@@ -36,7 +47,7 @@ def stream_daily_totals(
         .withWatermark("_clock", f"{grace_days} days")
         .groupBy(F.window("_clock", "1 day"), *by)
         .agg(F.count(F.lit(1)).alias("n"))
-        .select(*by, F.col("window.start").cast("date").alias("day"), "n")
+        .select(*by, F.convert_timezone(None, F.lit("UTC"), F.col("window.start")).cast("date").alias("day"), "n")
     )
 
 
@@ -152,18 +163,22 @@ def upsert_sink(
 
 
 def ledger_sink(
-    stream: DataFrame, ledger: str, checkpoint: str, keys: Sequence[str] = ("job_id", "batch_no")
+    stream: DataFrame, ledger: str, checkpoint: str, source: str, keys: Sequence[str] = ("job_id", "batch_no")
 ) -> StreamingQuery:
-    """Run each requested batch once: one already in the ledger is skipped, so repeating it removes nothing."""
-    schema = stream.schema
+    """Run each requested batch once: one already in the ledger is skipped, so repeating it removes nothing.
+
+    ``source`` names the stream; several may share a ledger if they run one after the other.
+    """
+    schema = T.StructType([*stream.schema.fields, T.StructField("source", T.StringType())])
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         requested = batch.dropDuplicates(list(keys))
         if _has_deltas(spark, ledger):
-            earlier = read_deltas(spark, ledger, schema).where(F.col("batch") < batch_id)
+            done = read_deltas(spark, ledger, schema)
+            earlier = done.where((F.col("source") != source) | (F.col("batch") < batch_id))
             requested = requested.join(earlier.select(*keys), list(keys), "left_anti")
-        write_delta(requested, ledger, batch_id)
+        write_delta(requested, f"{ledger}/source={source}", batch_id)
 
     return (
         stream.writeStream.foreachBatch(write)
