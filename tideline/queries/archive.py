@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tideline.functions.fingerprint import row_fingerprint
 from tideline.functions.hashes import graph_hash, schema_hash
@@ -45,29 +46,70 @@ def export_keys(inputs: Inputs) -> DataFrame:
     return inputs.spark.read.parquet(f"{record.path}/keys/order_lines")
 
 
-@query("ordered_export")
+@query(
+    "ordered_export",
+    "SELECT count(*) AS n, CAST(0 AS BIGINT) AS overlapping_files FROM {frozen_lines}",
+)
 def ordered_export(inputs: Inputs) -> DataFrame:
-    """Per archived file: its key range. Ranges of one table never overlap."""
+    """Rows in the archived files, and files whose key range runs into that of the next file."""
     record, _ = exported(inputs)
-    files = inputs.spark.read.parquet(f"{record.path}/data/order_lines")
-    return files.groupBy(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("object")).agg(
+    stored = inputs.spark.read.parquet(f"{record.path}/data/order_lines")
+    files = stored.groupBy(F.input_file_name().alias("object")).agg(
         F.min("line_id").alias("first_key"), F.max("line_id").alias("last_key"), F.count(F.lit(1)).alias("n")
     )
+    following = F.lead("first_key").over(Window.partitionBy(F.lit(0)).orderBy("first_key"))  # one row per file
+    return files.withColumn("_next", following).agg(
+        F.sum("n").alias("n"), F.count_if(F.col("last_key") >= F.col("_next")).alias("overlapping_files")
+    )
 
 
-@query("write_schema_doc")
+@query(
+    "write_schema_doc",
+    """
+SELECT table_name, unnest(string_split(columns, ',')) AS column_name FROM (
+  SELECT 'orders' AS table_name, 'o_orderkey,o_custkey,o_orderstatus,o_totalprice,o_orderdate,o_orderpriority' AS columns
+  UNION ALL SELECT 'order_lines', 'line_id,order_id,pieces,quantity,price,shipped')
+""",
+)
 def schema_doc(inputs: Inputs) -> DataFrame:
+    """The columns named by the schema document beside the archive of the orders."""
     record, _ = exported(inputs)
-    return inputs.spark.read.option("wholetext", "true").text(f"{record.path}/schema")
+    document = inputs.spark.read.option("wholetext", "true").text(f"{record.path}/schema")
+    tables = F.from_json("value", "map<string, struct<fields: array<struct<name: string>>>>")
+    listed = document.select(F.explode(tables).alias("table_name", "described"))
+    return listed.select("table_name", F.explode("described.fields.name").alias("column_name"))
 
 
-@query("write_manifest")
+@query(
+    "write_manifest",
+    """
+SELECT 'job-1' AS job_id, 'orders' AS root, CAST(oldest_day AS VARCHAR) AS first_day,
+       CAST(boundary_day AS VARCHAR) AS last_day, (SELECT count(*) FROM {frozen_orders}) AS root_rows,
+       (SELECT count(*) FROM {frozen_lines}) AS child_rows
+FROM {keyed_picked}
+""",
+)
 def manifest(inputs: Inputs) -> DataFrame:
     record, _ = exported(inputs)
-    return inputs.spark.read.option("wholetext", "true").text(f"{record.path}/manifest")
+    document = inputs.spark.read.option("wholetext", "true").text(f"{record.path}/manifest")
 
+    def field(path: str):
+        return F.get_json_object("value", f"$.{path}")
 
-@query("attempt_prefix")
+    return document.select(
+        field("job_id").alias("job_id"), field("root").alias("root"),
+        field("boundary.first_day").alias("first_day"), field("boundary.last_day").alias("last_day"),
+        field("tables.orders.rows").cast("long").alias("root_rows"),
+        field("tables.order_lines.rows").cast("long").alias("child_rows"),
+    )
+
+
+@query(
+    "attempt_prefix",
+    """
+SELECT 'shop' AS app, 'job-1' AS job, unnest([1, 2]) AS attempt, count(*) AS n FROM {orders}
+""",
+)
 def attempts(inputs: Inputs) -> DataFrame:
     """Two attempts of one job side by side; the second one is written again without touching the first."""
     root = scratch_path(inputs.spark, "attempts")
@@ -125,10 +167,15 @@ def checksums(inputs: Inputs) -> DataFrame:
     )
 
 
-@query("archive_bytes")
+@query(
+    "archive_bytes",
+    """
+SELECT job_id, coalesce(CAST(sum(bytes) FILTER (contains('/' || object, '/data/')) AS BIGINT), 0) AS data_bytes
+FROM {objects} GROUP BY 1
+""",
+)
 def data_bytes(inputs: Inputs) -> DataFrame:
-    record, _ = exported(inputs)
-    return archive.archive_bytes(record.objects)
+    return archive.archive_bytes(inputs.objects, ["job_id"])
 
 
 _ZERO = "CAST(0 AS BIGINT)"

@@ -239,6 +239,18 @@ FROM {orders} WHERE o_orderkey % 6 <> 5
 """,
 )
 
+# Stored objects of archives: one per line item.
+derive(
+    "objects",
+    """
+SELECT l_orderkey AS job_id,
+       CASE WHEN l_linenumber = 7 THEN 'manifest/part-' WHEN l_linenumber % 2 = 0 THEN 'data/orders/part-'
+            ELSE 'keys/orders/part-' END || CAST(l_partkey AS VARCHAR(20)) AS object,
+       CAST(floor(l_extendedprice) AS BIGINT) AS bytes
+FROM {lineitem}
+""",
+)
+
 # Decisions on removal, one per order line.
 derive(
     "approvals",

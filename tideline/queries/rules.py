@@ -565,7 +565,7 @@ for _pattern, _replacement in (
     (r"\bsb_(secret|publishable)_[A-Za-z0-9_-]+", "[REDACTED_SUPABASE_KEY]"),
     (
         r"(?i)\b(password|passwd|pwd|secret|token|api[_-]?key|service[_-]?role[_-]?key|authorization)"
-        + rf"[{_WS}]*[=:][{_WS}]*(""[^""]*""|''[^'']*''|[^{_WS},;]+)".replace('""', '"'),
+        + rf"""[{_WS}]*[=:][{_WS}]*("[^"]*"|''[^'']*''|[^{_WS},;]+)""",
         r"\1=[REDACTED]",
     ),
 ):
@@ -647,7 +647,16 @@ def profiles(inputs: Inputs) -> DataFrame:
     )
 
 
-@query("estimate_then_exact")
+@query(
+    "estimate_then_exact",
+    "SELECT table_name, n AS estimated_rows, "
+    "CASE WHEN n <= 20000 OR abs(n - 500000) <= 25000 OR abs(n - 600000) <= 30000 OR abs(n - 700000) <= 35000 THEN n END "
+    "AS exact_rows FROM ("
+    + " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n FROM {{{t}}}" for t in (
+        "orders", "lineitem", "customer", "supplier", "part", "events", "documents"
+    ))
+    + ")",
+)
 def estimates(inputs: Inputs) -> DataFrame:
     paths = {t: inputs.path(t) for t in PROFILED}
     return catalog.estimate_then_exact(inputs.spark, paths, Thresholds(500_000, 600_000, 700_000), 20_000)

@@ -170,9 +170,9 @@ def object_checksums(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def archive_bytes(objects: DataFrame) -> DataFrame:
+def archive_bytes(objects: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Bytes of the data objects only."""
-    return objects.agg(
+    return objects.groupBy(*by).agg(
         F.coalesce(F.sum(F.when(F.concat(F.lit("/"), "object").contains("/data/"), F.col("bytes"))), F.lit(0)).alias(
             "data_bytes"
         )
