@@ -17,6 +17,8 @@ from tideline.session import materialize
 CHUNK_SIZE = 2_000
 DIGEST_FAN_IN = 10_000
 
+PART, POSITION = "_part", "_position"
+
 # The low bits of a monotonically increasing id are the row's position inside its partition.
 _POSITION_MASK = (1 << 33) - 1
 
@@ -42,41 +44,51 @@ def frozen_keys(
     return rows.select(*key_columns(plan, rows, table, double_as))
 
 
-def global_row_number(df: DataFrame, order: Sequence[str], name: str, partitions: int | None = None) -> DataFrame:
-    """Number all rows by ``order``, from 1, without a single-task window.
+def place_rows(df: DataFrame, order: Sequence[str], partitions: int | None = None) -> DataFrame:
+    """Sort all rows by range partitions, and note each row's partition and its position there.
 
-    Rows are range-partitioned, sorted and written once; each row keeps its partition and its position
-    there. The row counts of the partitions, one small row each, turn positions into global numbers.
-    Range bounds come from a sample, so both passes must read the same written copy.
+    ``order`` must be unique, so a repeated task puts every row in the same place again.
     """
-    spark = df.sparkSession
-    partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (
-        df.repartitionByRange(partitions, *order)
-        .sortWithinPartitions(*order)
-        .withColumn("_part", F.spark_partition_id())
-        .withColumn("_position", F.monotonically_increasing_id().bitwiseAND(F.lit(_POSITION_MASK)))
-    )
-    placed = materialize(ranged, "numbered")
-    before = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    partitions = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    position = F.monotonically_increasing_id().bitwiseAND(F.lit(_POSITION_MASK))
+    ranged = df.repartitionByRange(partitions, *order).sortWithinPartitions(*order)
+    return ranged.withColumns({PART: F.spark_partition_id(), POSITION: position})
+
+
+def number_placed(placed: DataFrame, name: str) -> DataFrame:
+    """Global row numbers, from 1, of placed rows that have been written out.
+
+    The row counts of the partitions, one small row each, turn positions into numbers. Range bounds come
+    from a sample, so the counts and the rows must come from the same written copy.
+    """
+    before = Window.partitionBy(F.lit(0)).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        placed.groupBy("_part")
+        placed.groupBy(PART)
         .agg(F.count(F.lit(1)).alias("_rows"))
         .withColumn("_offset", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
         .drop("_rows")
     )
-    # One row per partition, so its size is known: at most `partitions` rows.
+    # One row per partition, so its size is known.
     return (
-        placed.join(F.broadcast(offsets), "_part")
-        .withColumn(name, F.col("_offset") + F.col("_position") + 1)
-        .drop("_part", "_position", "_offset")
+        placed.join(F.broadcast(offsets), PART)
+        .withColumn(name, F.col("_offset") + F.col(POSITION) + 1)
+        .drop(PART, POSITION, "_offset")
     )
 
 
+def global_row_number(df: DataFrame, order: Sequence[str], name: str, partitions: int | None = None) -> DataFrame:
+    """Number all rows by a unique ``order``, from 1, without a single-task window."""
+    return number_placed(materialize(place_rows(df, order, partitions), "placed"), name)
+
+
+def chunk_of(rn: Column, chunk_size: int = CHUNK_SIZE) -> Column:
+    return F.floor((rn - 1) / chunk_size).cast("long")
+
+
 def number_chunks(keys: DataFrame, chunk_size: int = CHUNK_SIZE) -> DataFrame:
     """Add ``rn`` in key order and the ``chunk_no`` it falls in."""
     numbered = global_row_number(keys, ["pk"], "rn")
-    return numbered.withColumn("chunk_no", F.floor((F.col("rn") - 1) / chunk_size).cast("long"))
+    return numbered.withColumn("chunk_no", chunk_of(F.col("rn"), chunk_size))
 
 
 def key_line(pk: str = "pk", fp: str = "fp", parent_key: str = "parent_key") -> Column:
@@ -149,7 +161,7 @@ def number_batches(plan: GroupPlan, keys: Mapping[str, DataFrame], batch_size: i
     """
     root = plan.spec.root
     numbered = global_row_number(keys[root], ["pk"], "rn")
-    batches = {root: numbered.withColumn("batch_no", F.floor((F.col("rn") - 1) / batch_size).cast("long")).drop("rn")}
+    batches = {root: numbered.withColumn("batch_no", chunk_of(F.col("rn"), batch_size)).drop("rn")}
     for table in plan.export_order:
         if table == root:
             continue

@@ -37,14 +37,22 @@ def transitive_closure(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def reachability(tables: DataFrame, roots: DataFrame, edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """``(by, table_name, reachable)``: is there a path of single-column keys from the table to its root?
 
-    Only edges between the given tables count. ``roots`` is ``(by, root)``, one row per graph.
+    Only edges between the given tables count. ``roots`` is ``(by, root)``, one row per graph. Each round
+    adds the tables that reference what the last one found.
     """
     keys = list(by)
-    inside = edges_between(edges.where(F.size("child_columns") == 1), tables, by)
-    found = transitive_closure(inside, by).withColumnRenamed("ancestor", "root")
-    found = found.join(roots, [*keys, "root"], "left_semi").select(*keys, F.col("node").alias("table_name"))
-    reached = found.unionByName(roots.select(*keys, F.col("root").alias("table_name"))).distinct()
-    marked = tables.join(reached.withColumn("_hit", F.lit(True)), [*keys, "table_name"], "left")
+    inside = edges_between(edges.where(F.size("child_columns") == 1), tables, by).select(*keys, "child", "parent")
+    inside = materialize(inside.distinct(), "edges")
+    found = materialize(roots.select(*keys, F.col("root").alias("table_name")).distinct(), "reached")
+    newest = found
+    while True:
+        step = inside.join(newest.withColumnRenamed("table_name", "parent"), [*keys, "parent"], "left_semi")
+        step = step.select(*keys, F.col("child").alias("table_name")).distinct()
+        newest = materialize(step.join(found, [*keys, "table_name"], "left_anti"), "reached")
+        if newest.isEmpty():
+            break
+        found = found.unionByName(newest)
+    marked = tables.join(found.withColumn("_hit", F.lit(True)), [*keys, "table_name"], "left")
     return marked.select(*keys, "table_name", F.coalesce("_hit", F.lit(False)).alias("reachable"))
 
 
@@ -57,42 +65,60 @@ def edges_between(edges: DataFrame, tables: DataFrame, by: Sequence[str] = ()) -
     return edges
 
 
+def _cyclic_core(edges: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Edges left after taking away, again and again, those that lead to or come from a dead end."""
+    keys = list(by)
+    core = materialize(edges.select(*keys, "child", "parent").distinct(), "core")
+    size = core.count()
+    while size:
+        leads_on = core.select(*keys, F.col("child").alias("parent")).distinct()
+        led_to = core.select(*keys, F.col("parent").alias("child")).distinct()
+        kept = core.join(leads_on, [*keys, "parent"], "left_semi").join(led_to, [*keys, "child"], "left_semi")
+        core = materialize(kept, "core")
+        left = core.count()
+        if left == size:
+            break
+        size = left
+    return core
+
+
 def fk_cycles(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """``(by, component, table_name)``: tables on a cycle, named by the first table of their component."""
+    """``(by, component, table_name)``: tables on a cycle, named by the first table of their component.
+
+    Paths are only followed inside the part of each graph that can hold a cycle at all.
+    """
     keys = list(by)
-    paths = transitive_closure(edges, by)
+    paths = transitive_closure(_cyclic_core(edges, by), by)
     back = paths.select(*keys, F.col("ancestor").alias("node"), F.col("node").alias("ancestor"))
     mutual = paths.join(back, [*keys, "node", "ancestor"], "left_semi")
     return mutual.groupBy(*keys, F.col("node").alias("table_name")).agg(F.min("ancestor").alias("component"))
 
 
-def cyclic_graphs(edges: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Graphs with a cycle of at least two tables; a table that references itself does not block ordering."""
-    paths = transitive_closure(edges.where("child <> parent"), by)
-    return paths.where("node = ancestor").select(*by).distinct()
-
-
 def removal_order(tables: DataFrame, edges: DataFrame, by: Sequence[str]) -> DataFrame:
     """``(by, table_name, round)``: children in earlier rounds than their parents, for graphs without cycles.
 
-    A table's round is the length of the longest chain of references that ends in it.
+    Each round takes the tables no remaining table references. Graphs with tables left over at the end have
+    a cycle and get no order; a table that references itself does not count as one.
     """
     keys = list(by)
-    between = edges_between(edges.where("child <> parent"), tables, by)
-    between = between.select(*keys, "child", "parent").distinct()
-    cyclic = materialize(cyclic_graphs(between, by), "cyclic")
-    acyclic = materialize(between.join(cyclic, keys, "left_anti"), "acyclic")
-    depth, current = 0, tables.join(cyclic, keys, "left_anti").select(*keys, "table_name").distinct()
-    current = materialize(current, "round")
-    levels = current.withColumn("round", F.lit(0))
+    waiting = edges_between(edges.where("child <> parent"), tables, by).select(*keys, "child", "parent").distinct()
+    waiting = materialize(waiting, "waiting")
+    left = materialize(tables.select(*keys, "table_name").distinct(), "left")
+    levels, number = None, 0
     while True:
-        depth += 1
-        step = current.withColumnRenamed("table_name", "child").join(acyclic, [*keys, "child"])
-        current = materialize(step.select(*keys, F.col("parent").alias("table_name")).distinct(), "round")
-        if current.isEmpty():
+        blocked = waiting.select(*keys, F.col("parent").alias("table_name")).distinct()
+        ready = materialize(left.join(blocked, [*keys, "table_name"], "left_anti"), "ready")
+        if ready.isEmpty():
             break
-        levels = levels.unionByName(current.withColumn("round", F.lit(depth)))
-    return levels.groupBy(*keys, "table_name").agg(F.max("round").alias("round"))
+        numbered = ready.withColumn("round", F.lit(number))
+        levels = numbered if levels is None else levels.unionByName(numbered)
+        left = materialize(left.join(ready, [*keys, "table_name"], "left_anti"), "left")
+        done = ready.withColumnRenamed("table_name", "child")
+        waiting = materialize(waiting.join(done, [*keys, "child"], "left_anti"), "waiting")
+        number += 1
+    if levels is None:
+        return left.withColumn("round", F.lit(0)).where(F.lit(False))
+    return levels.join(left.select(*keys).distinct(), keys, "left_anti")
 
 
 def selection_issues(edges: DataFrame, selected: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -43,7 +43,8 @@ def export_data(inputs: Inputs) -> DataFrame:
 @query("export_keys", "SELECT rn, (rn - 1) // 2000 AS chunk_no, pk, fp, parent_key FROM {numbered_lines}")
 def export_keys(inputs: Inputs) -> DataFrame:
     record, _ = exported(inputs)
-    return inputs.spark.read.parquet(f"{record.path}/keys/order_lines")
+    keys = inputs.spark.read.parquet(f"{record.path}/keys/order_lines")
+    return keys.withColumn("pk", F.col("pk").cast("long"))
 
 
 @query(

@@ -21,6 +21,7 @@ BASE_TABLES = (
 
 DERIVED: dict[str, str] = {}
 CHECK_TABLES: dict[str, str] = {}
+_SCHEMAS: dict[str, T.StructType] = {}
 
 
 def derive(name: str, sql: str) -> None:
@@ -45,7 +46,10 @@ class Inputs:
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in BASE_TABLES:
-            return self.spark.read.parquet(self.path(name))
+            path = self.path(name)
+            if path not in _SCHEMAS:
+                _SCHEMAS[path] = self.spark.read.parquet(path).schema
+            return self.spark.read.schema(_SCHEMAS[path]).parquet(path)
         if name in DERIVED:
             sql = DERIVED[name]
             used = {n: getattr(self, n) for n in table_names(sql)}

@@ -13,7 +13,15 @@ from pyspark.sql import types as T
 from tideline.functions.fingerprint import FINGERPRINT_ALGORITHM, row_fingerprint
 from tideline.functions.hashes import graph_hash, schema_columns, schema_hash
 from tideline.operators.closure import group_rows
-from tideline.operators.freeze import candidate_digest, chunk_digests, number_chunks
+from tideline.operators.freeze import (
+    PART,
+    POSITION,
+    candidate_digest,
+    chunk_digests,
+    chunk_of,
+    number_placed,
+    place_rows,
+)
 from tideline.operators.selection import Tables, daily_totals, select_candidate, selected_days
 from tideline.plans.group import GroupPlan, edges_frame, require_plannable
 from tideline.session import materialize
@@ -51,11 +59,6 @@ def attempt_path(root: str, application: str, job_id: str, attempt: int) -> str:
     return f"{root}/app={application}/job={job_id}/attempt={attempt}"
 
 
-def order_by_key(df: DataFrame, key: str) -> DataFrame:
-    """Rows ordered by key across and within files, by range partitioning instead of one global sort task."""
-    return df.repartitionByRange(F.col(key)).sortWithinPartitions(key)
-
-
 # --- formats -----------------------------------------------------------------------------------------------
 
 
@@ -223,28 +226,41 @@ class ArchiveRecord:
 def export_table(
     plan: GroupPlan, tables: Tables, table: str, end_day: str, path: str, double_as: str | None = None
 ) -> None:
-    """Write one table's rows in key order. Each row carries the fingerprint of its source row."""
+    """Write one table's rows in key order.
+
+    Each row carries its place in that order and the fingerprint of its source row. Hashing comes after
+    the sort, so sampling the key ranges does not hash every row a second time.
+    """
     rows = group_rows(plan, tables, table, end_day)
-    stamped = rows.withColumn(FROZEN_FP, row_fingerprint(rows, double_as=double_as))
-    write_parquet(order_by_key(stamped, plan.primary_key(table)), f"{path}/data/{table}")
+    placed = place_rows(rows, [plan.primary_key(table)])
+    stamp = row_fingerprint(rows, double_as=double_as)
+    write_parquet(placed.withColumn(FROZEN_FP, stamp), f"{path}/data/{table}")
 
 
 def export_keys(spark: SparkSession, plan: GroupPlan, schema: T.StructType, table: str, path: str) -> DataFrame:
-    """Write ``(rn, chunk_no, pk, fp, parent_key)`` of one table, read from three columns of its data files."""
+    """Record ``(table_name, rn, chunk_no, pk, fp, parent_key)`` of one table and write it beside the data.
+
+    Only the key columns of the data files are read, and their recorded order is used as it is: no second
+    sort. The record lives outside the archive; the archived keys are a copy of it.
+    """
     pk = plan.primary_key(table)
     link = plan.links.get(table)
     parent = link.child_columns[0] if link else None
     wanted = [pk, *([parent] if parent and parent != pk else [])]
-    narrow = T.StructType([schema[c] for c in wanted]).add(FROZEN_FP, T.StringType())
-    stored = read_parquet(spark, f"{path}/data/{table}", narrow)
-    keys = stored.select(
-        F.col(pk).alias("pk"),
+    narrow = T.StructType([schema[c] for c in wanted])
+    narrow = narrow.add(FROZEN_FP, T.StringType()).add(PART, T.IntegerType()).add(POSITION, T.LongType())
+    numbered = number_placed(read_parquet(spark, f"{path}/data/{table}", narrow), "rn")
+    keys = numbered.select(
+        F.lit(table).alias("table_name"),
+        "rn",
+        chunk_of(F.col("rn")).alias("chunk_no"),
+        F.col(pk).cast("string").alias("pk"),
         F.col(FROZEN_FP).alias("fp"),
         (F.col(parent).cast("string") if parent else F.lit(None).cast("string")).alias("parent_key"),
     )
-    numbered = number_chunks(keys).select("rn", "chunk_no", "pk", "fp", "parent_key")
-    write_parquet(numbered, f"{path}/keys/{table}")
-    return numbered
+    recorded = materialize(keys, "candidates")
+    write_parquet(recorded.drop("table_name"), f"{path}/keys/{table}")
+    return recorded
 
 
 def one_value(df: DataFrame):
@@ -269,15 +285,11 @@ def freeze_and_export(
     path = attempt_path(root_path, spec.application, job_id, attempt)
     schemas = {t: tables[t].schema for t in spec.tables}
 
-    candidates, rows_by_table = None, {}
+    candidates = None
     for table in plan.export_order:
         export_table(plan, tables, table, end_day, path, double_as)
-        numbered = export_keys(spark, plan, schemas[table], table, path)
-        labelled = numbered.select(
-            F.lit(table).alias("table_name"), "rn", "chunk_no", F.col("pk").cast("string").alias("pk"), "fp",
-            "parent_key",
-        )
-        candidates = labelled if candidates is None else candidates.unionByName(labelled)
+        recorded = export_keys(spark, plan, schemas[table], table, path)
+        candidates = recorded if candidates is None else candidates.unionByName(recorded)
     chunks = materialize(chunk_digests(candidates, ["table_name"]), "chunks")
     rows_by_table = {r[0]: r[1] for r in chunks.groupBy("table_name").agg(F.sum("row_count")).collect()}
     digest = one_value(candidate_digest(chunks))

@@ -49,6 +49,14 @@ def current_state(
     return latest_wins(read_deltas(spark, path, schema), keys, [at, "batch"], keep_last_known).drop("batch")
 
 
+def compact_state(
+    spark: SparkSession, path: str, new_path: str, schema: T.StructType, keys: Sequence[str], at: str,
+    keep_last_known: Sequence[str] = (),
+) -> None:
+    """Fold all deltas into one at a new path; the old ones stay until their readers are gone."""
+    write_delta(current_state(spark, path, schema, keys, at, keep_last_known), new_path, 0)
+
+
 def append_log(rows: DataFrame, path: str) -> None:
     """Append-only: existing files are never touched."""
     rows.write.mode("append").parquet(path)
