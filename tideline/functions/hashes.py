@@ -8,7 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-COLUMN_SCHEMA = "table_name string, ordinal int, column_name string, data_type string, nullable boolean, key_part int"
+from tideline.session import small_frame
+
+COLUMN_SCHEMA = (
+    "table_name: string, ordinal: int, column_name: string, data_type: string, nullable: boolean, key_part: int"
+)
 
 
 def schema_columns(
@@ -20,8 +24,17 @@ def schema_columns(
         keys = list(primary_keys.get(table, ()))
         for i, f in enumerate(schema.fields):
             key_part = keys.index(f.name) + 1 if f.name in keys else 0
-            rows.append((table, i + 1, f.name, f.dataType.simpleString(), f.nullable, key_part))
-    return spark.createDataFrame(rows, COLUMN_SCHEMA)
+            rows.append(
+                {
+                    "table_name": table,
+                    "ordinal": i + 1,
+                    "column_name": f.name,
+                    "data_type": f.dataType.simpleString(),
+                    "nullable": f.nullable,
+                    "key_part": key_part,
+                }
+            )
+    return small_frame(spark, rows, COLUMN_SCHEMA)
 
 
 def _hash_of_rows(df: DataFrame, order: Sequence[str], rest: Sequence[str], by: Sequence[str], name: str) -> DataFrame:

@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.functions.fingerprint import row_fingerprint
 from tideline.plans.group import GroupPlan
+from tideline.session import in_parallel, small_frame
 from tideline.sources.archive import (
     ArchiveRecord,
     object_checksums,
     object_metadata,
     read_archive,
     read_manifest,
-    read_parquet,
     read_schema_doc,
 )
 
@@ -29,7 +30,7 @@ STAGES = (
     "restore_fingerprint",
     "schema_hash",
 )
-CHECK_SCHEMA = "stage string, name string, pass boolean, detail string"
+CHECK_SCHEMA = "stage: string, name: string, pass: boolean, detail: string"
 
 
 @dataclass(frozen=True)
@@ -39,33 +40,58 @@ class GateResult:
     checks: DataFrame
 
 
+def _tagged(side: str, df: DataFrame, key: str, fp: Column | None = None) -> DataFrame:
+    text = F.col(key).cast("string").alias("pk")
+    return df.select(text, F.lit(side).alias("_side"), (F.lit(None).cast("string") if fp is None else fp).alias("_fp"))
+
+
+def _per_key(*sides: DataFrame) -> DataFrame:
+    """One row per key with its copies on each side: a union and one aggregate, combined before the shuffle."""
+    names = ("_a", "_b", "_c")[: len(sides)]
+    rows = reduce(DataFrame.unionByName, sides)
+    return rows.groupBy("pk").agg(
+        *(F.count_if(F.col("_side") == n).alias(n) for n in names),
+        F.min("_fp").alias("_low"),
+        F.max("_fp").alias("_high"),
+        *(F.count(F.when(F.col("_side") == n, F.col("_fp"))).alias(f"{n}_fps") for n in names),
+    )
+
+
 def key_set_diff(left: DataFrame, right: DataFrame) -> DataFrame:
     """Compare two ``(pk, fp)`` sets: keys on one side only, and keys whose fingerprints differ."""
-    a = left.select("pk", F.col("fp").alias("_a"), F.lit(1).alias("_in_a"))
-    b = right.select("pk", F.col("fp").alias("_b"), F.lit(1).alias("_in_b"))
-    both = a.join(b, "pk", "full_outer")
-    only_left, only_right = F.col("_in_b").isNull(), F.col("_in_a").isNull()
-    return both.agg(
-        F.count_if(only_left).alias("only_left"),
-        F.count_if(only_right).alias("only_right"),
-        F.count_if(~only_left & ~only_right & ~F.col("_a").eqNullSafe(F.col("_b"))).alias("different_fp"),
+    keys = _per_key(_tagged("_a", left, "pk", F.col("fp")), _tagged("_b", right, "pk", F.col("fp")))
+    both = (F.col("_a") > 0) & (F.col("_b") > 0)
+    unequal = (F.col("_low") != F.col("_high")) | ((F.col("_a_fps") > 0) != (F.col("_b_fps") > 0))
+    return keys.agg(
+        F.count_if(F.col("_b") == 0).alias("only_left"),
+        F.count_if(F.col("_a") == 0).alias("only_right"),
+        F.count_if(both & F.coalesce(unequal, F.lit(False))).alias("different_fp"),
     )
 
 
 def data_vs_keys(data: DataFrame, primary_key: str, keys: DataFrame) -> DataFrame:
-    """Primary keys of the data against the frozen keys, and repeated keys on either side.
+    """Primary keys of the data against the frozen keys, and repeated keys on either side."""
+    per_key = _per_key(_tagged("_a", data, primary_key), _tagged("_b", keys, "pk"))
+    return per_key.agg(
+        F.coalesce(F.sum("_a"), F.lit(0)).alias("data_rows"),
+        F.coalesce(F.sum("_b"), F.lit(0)).alias("key_rows"),
+        F.count_if(F.col("_b") == 0).alias("only_data"),
+        F.count_if(F.col("_a") == 0).alias("only_keys"),
+        F.count_if((F.col("_a") > 1) | (F.col("_b") > 1)).alias("repeated_keys"),
+    )
 
-    Each side is reduced to a count per key before they meet.
-    """
-    a = data.groupBy(F.col(primary_key).cast("string").alias("pk")).agg(F.count(F.lit(1)).alias("_d"))
-    b = keys.groupBy(F.col("pk").cast("string").alias("pk")).agg(F.count(F.lit(1)).alias("_k"))
-    both = a.join(b, "pk", "full_outer")
-    return both.agg(
-        F.coalesce(F.sum("_d"), F.lit(0)).alias("data_rows"),
-        F.coalesce(F.sum("_k"), F.lit(0)).alias("key_rows"),
-        F.count_if(F.col("_k").isNull()).alias("only_data"),
-        F.count_if(F.col("_d").isNull()).alias("only_keys"),
-        F.count_if((F.col("_d") > 1) | (F.col("_k") > 1)).alias("repeated_keys"),
+
+def key_sets(data: DataFrame, primary_key: str, archived: DataFrame, recorded: DataFrame) -> DataFrame:
+    """Data, archived keys and recorded candidates of one table, compared in a single pass."""
+    per_key = _per_key(
+        _tagged("_a", data, primary_key),
+        _tagged("_b", archived, "pk", F.col("fp")),
+        _tagged("_c", recorded, "pk", F.col("fp")),
+    )
+    uneven = (F.col("_b") != F.col("_c")) | (F.col("_b_fps") != F.col("_c_fps")) | (F.col("_low") != F.col("_high"))
+    return per_key.agg(
+        F.count_if((F.col("_a") != 1) | (F.col("_b") != 1)).alias("data_differences"),
+        F.count_if(F.coalesce(uneven, F.lit(True))).alias("record_differences"),
     )
 
 
@@ -88,15 +114,13 @@ def multiset_difference(left: DataFrame, right: DataFrame, columns: Sequence[str
 
 def restore_reconcile(restored: DataFrame, primary_key: str, frozen: DataFrame, double_as: str | None = None) -> DataFrame:
     """Hash every restored row again and compare it with its frozen fingerprint."""
-    rehashed = restored.select(
-        F.col(primary_key).cast("string").alias("pk"), row_fingerprint(restored, double_as=double_as).alias("_fp")
-    )
-    expected = frozen.select(F.col("pk").cast("string").alias("pk"), "fp")
-    both = expected.join(rehashed, "pk", "full_outer")
-    return both.agg(
-        F.count("_fp").alias("restored_rows"),
-        F.count("fp").alias("frozen_rows"),
-        F.count_if(~F.col("fp").eqNullSafe(F.col("_fp"))).alias("mismatches"),
+    stamp = row_fingerprint(restored, double_as=double_as)
+    per_key = _per_key(_tagged("_a", restored, primary_key, stamp), _tagged("_b", frozen, "pk", F.col("fp")))
+    same = (F.col("_a") == F.col("_b")) & (F.col("_low") == F.col("_high"))
+    return per_key.agg(
+        F.coalesce(F.sum("_a"), F.lit(0)).alias("restored_rows"),
+        F.coalesce(F.sum("_b"), F.lit(0)).alias("frozen_rows"),
+        F.count_if(~F.coalesce(same, F.lit(False))).alias("mismatches"),
     )
 
 
@@ -153,7 +177,8 @@ def run_gate(
     def finish() -> GateResult:
         failed = next((s for s in STAGES if any(c[0] == s and not c[2] for c in checks)), None)
         complete = all(any(c[0] == s for c in checks) for s in STAGES)
-        return GateResult(failed is None and complete, failed, spark.createDataFrame(checks, CHECK_SCHEMA))
+        rows = [dict(zip(("stage", "name", "pass", "detail"), c)) for c in checks]
+        return GateResult(failed is None and complete, failed, small_frame(spark, rows, CHECK_SCHEMA))
 
     def failing() -> bool:
         return any(not c[2] for c in checks)
@@ -205,12 +230,16 @@ def _stored(c: dict, table: str) -> tuple[DataFrame, DataFrame]:
     return data, keys.select(F.col("pk").cast("string").alias("pk"), "fp", "parent_key", "rn", "chunk_no")
 
 
+def _per_table(c: dict, measure: Callable) -> list[tuple[str, object]]:
+    """One small aggregate per table, all submitted at once."""
+    order = c["plan"].export_order
+    return list(zip(order, in_parallel(c["spark"], measure, order)))
+
+
 def _row_counts(c: dict, check) -> None:
     record, manifest = c["record"], c["manifest"]
-    for table in c["plan"].export_order:
-        data, keys = _stored(c, table)
+    for table, (n_data, n_keys) in _per_table(c, lambda t: [df.count() for df in _stored(c, t)]):
         want = record.rows_by_table.get(table, 0)
-        n_data, n_keys = data.count(), keys.count()
         check(f"{table}: data rows as recorded", n_data == want, f"{n_data} vs {want}")
         check(f"{table}: key rows as recorded", n_keys == want, f"{n_keys} vs {want}")
         listed = manifest["tables"].get(table, {}).get("rows", 0)
@@ -220,23 +249,25 @@ def _row_counts(c: dict, check) -> None:
 
 
 def _key_sets(c: dict, check) -> None:
-    record = c["record"]
-    for table in c["plan"].export_order:
+    def measure(table: str):
         data, keys = _stored(c, table)
-        same = data_vs_keys(data, c["plan"].primary_key(table), keys).first()
-        clean = same["only_data"] == same["only_keys"] == same["repeated_keys"] == 0
-        check(f"{table}: data keys = frozen keys, none twice", clean, same.asDict())
-        frozen = record.candidates.where(F.col("table_name") == table)
-        diff = key_set_diff(keys, frozen).first()
-        check(f"{table}: archived keys = recorded candidates", sum(diff) == 0, diff.asDict())
+        return key_sets(data, c["plan"].primary_key(table), keys, c["record"].candidates[table]).first()
+
+    for table, found in _per_table(c, measure):
+        n = found["data_differences"]
+        check(f"{table}: data keys = frozen keys, none twice", n == 0, f"{n} differences")
+        n = found["record_differences"]
+        check(f"{table}: archived keys = recorded candidates", n == 0, f"{n} differences")
 
 
 def _restore(c: dict, check) -> None:
-    record = c["record"]
-    for table in c["plan"].export_order:
+    def measure(table: str):
         data, _ = _stored(c, table)
-        frozen = record.candidates.where(F.col("table_name") == table)
-        r = restore_reconcile(data, c["plan"].primary_key(table), frozen, c["double_as"]).first()
+        return restore_reconcile(
+            data, c["plan"].primary_key(table), c["record"].candidates[table], c["double_as"]
+        ).first()
+
+    for table, r in _per_table(c, measure):
         check(f"{table}: all rows restored", r["restored_rows"] == r["frozen_rows"], r["restored_rows"])
         check(f"{table}: every fingerprint matches", r["mismatches"] == 0, f"{r['mismatches']} mismatches")
 

@@ -3,22 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from tideline.functions.days import is_date_type
+from tideline.session import small_frame
 
-EDGE_SCHEMA = T.StructType(
-    [
-        T.StructField("name", T.StringType(), False),
-        T.StructField("child", T.StringType(), False),
-        T.StructField("child_columns", T.ArrayType(T.StringType()), False),
-        T.StructField("parent", T.StringType(), False),
-        T.StructField("parent_columns", T.ArrayType(T.StringType()), False),
-        T.StructField("on_delete", T.StringType(), False),
-    ]
+EDGE_SCHEMA = (
+    "name: string, child: string, child_columns: array<string>, parent: string, parent_columns: array<string>, "
+    "on_delete: string"
 )
 
 
@@ -79,8 +74,7 @@ class PlanBlocked(ValueError):
 
 
 def edges_frame(spark: SparkSession, edges: Sequence[FkEdge]) -> DataFrame:
-    rows = [(e.name, e.child, list(e.child_columns), e.parent, list(e.parent_columns), e.on_delete) for e in edges]
-    return spark.createDataFrame(rows, EDGE_SCHEMA)
+    return small_frame(spark, [asdict(e) for e in edges], EDGE_SCHEMA)
 
 
 def resolve_links(spec: GroupSpec, edges: Sequence[FkEdge]) -> dict[str, FkEdge]:

@@ -266,7 +266,7 @@ def reconcile_restore(inputs: Inputs) -> DataFrame:
     record, plan = exported(inputs)
     schemas = archive.read_schema_doc(inputs.spark, f"{record.path}/schema")
     rows = archive.read_archive(inputs.spark, record.path, "order_lines", schemas["order_lines"])
-    frozen = record.candidates.where("table_name = 'order_lines'")
+    frozen = record.candidates["order_lines"]
     return verify.restore_reconcile(rows, plan.primary_key("order_lines"), frozen, CENTS)
 
 

@@ -11,7 +11,7 @@ from tideline.operators import graph, health, rules
 from tideline.queries.derived import NOW
 from tideline.queries.groups import LINE_EDGE, TABLE_EDGES
 from tideline.queries.registry import Inputs, check_table, query
-from tideline.session import scratch_path
+from tideline.session import materialize, scratch_path
 from tideline.sources import catalog, state
 
 
@@ -102,19 +102,18 @@ reached AS (
 """
 
 
-def graph_edges(inputs: Inputs) -> DataFrame:
-    return inputs.edges.withColumn("child_columns", F.array(F.lit("ref"))).withColumn(
-        "parent_columns", F.array(F.lit("id"))
-    )
-
-
-def roots(inputs: Inputs) -> DataFrame:
-    return inputs.edge_tables.groupBy("app_id").agg(F.min("table_name").alias("root"))
+def graphs(inputs: Inputs) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Tables, roots and edges; written once because every round of a graph operator reads them."""
+    edges = inputs.edges.withColumn("child_columns", F.array(F.lit("ref")))
+    edges = materialize(edges.withColumn("parent_columns", F.array(F.lit("id"))), "edges")
+    ends = F.explode(F.array("child", "parent")).alias("table_name")
+    tables = materialize(edges.select("app_id", ends).distinct(), "tables")
+    return tables, tables.groupBy("app_id").agg(F.min("table_name").alias("root")), edges
 
 
 @query("fk_reachability", f"WITH {_WALKS}, {_ROOTS}, {_REACHED} SELECT app_id, table_name, reachable FROM reached")
 def reachable(inputs: Inputs) -> DataFrame:
-    return graph.reachability(inputs.edge_tables, roots(inputs), graph_edges(inputs), ["app_id"])
+    return graph.reachability(*graphs(inputs), ["app_id"])
 
 
 _CYCLES = """
@@ -127,7 +126,7 @@ cycles AS (
 
 @query("fk_cycles", f"WITH {_WALKS}, {_CYCLES} SELECT app_id, table_name, component FROM cycles")
 def cycles(inputs: Inputs) -> DataFrame:
-    return graph.fk_cycles(graph_edges(inputs), ["app_id"])
+    return graph.fk_cycles(graphs(inputs)[2], ["app_id"])
 
 
 @query(
@@ -147,7 +146,8 @@ SELECT app_id, table_name, max(depth) AS round FROM chains GROUP BY 1, 2
 """,
 )
 def order(inputs: Inputs) -> DataFrame:
-    return graph.removal_order(inputs.edge_tables, graph_edges(inputs), ["app_id"])
+    tables, _, edges = graphs(inputs)
+    return graph.removal_order(tables, edges, ["app_id"])
 
 
 @query(
@@ -165,8 +165,9 @@ FROM marked WHERE c <> p
 """,
 )
 def issues(inputs: Inputs) -> DataFrame:
-    chosen = inputs.edge_tables.where(F.col("table_name").isin("t1", "t2", "t3", "t5"))
-    return graph.selection_issues(graph_edges(inputs), chosen, ["app_id"])
+    tables, _, edges = graphs(inputs)
+    chosen = tables.where(F.col("table_name").isin("t1", "t2", "t3", "t5"))
+    return graph.selection_issues(edges, chosen, ["app_id"])
 
 
 check_table(
@@ -180,11 +181,10 @@ FROM {edge_tables}
 
 
 def members(inputs: Inputs) -> DataFrame:
-    found = graph.reachability(inputs.edge_tables, roots(inputs), graph_edges(inputs), ["app_id"])
-    on_cycle = graph.fk_cycles(graph_edges(inputs), ["app_id"]).select("app_id", "table_name").withColumn(
-        "_cycle", F.lit(True)
-    )
-    joined_rows = found.join(on_cycle, ["app_id", "table_name"], "left").join(roots(inputs), "app_id")
+    tables, roots, edges = graphs(inputs)
+    found = graph.reachability(tables, roots, edges, ["app_id"])
+    on_cycle = graph.fk_cycles(edges, ["app_id"]).select("app_id", "table_name").withColumn("_cycle", F.lit(True))
+    joined_rows = found.join(on_cycle, ["app_id", "table_name"], "left").join(roots, "app_id")
     app = F.col("app_id")
     return joined_rows.select(
         "app_id", "table_name", "reachable",

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import json
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _local_roots: dict[str, str] = {}
 
@@ -64,3 +69,18 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small_frame(spark: SparkSession, rows: Sequence[dict], schema: str) -> DataFrame:
+    """A few driver-side rows as a DataFrame, without starting Python workers for them."""
+    parsed = F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")
+    return spark.range(1).select(F.inline(parsed))
+
+
+def in_parallel(spark: SparkSession, work: Callable, items: Iterable) -> list:
+    """Submit independent Spark jobs from driver threads, so one table's job fills the gaps of another's."""
+    items = list(items)
+    if len(items) < 2:
+        return [work(item) for item in items]
+    with ThreadPoolExecutor(max_workers=len(items)) as pool:
+        return list(pool.map(inheritable_thread_target(spark)(work), items))

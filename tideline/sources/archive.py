@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +26,7 @@ from tideline.operators.freeze import (
 )
 from tideline.operators.selection import Tables, daily_totals, select_candidate, selected_days
 from tideline.plans.group import GroupPlan, edges_frame, require_plannable
-from tideline.session import materialize
+from tideline.session import in_parallel, materialize
 
 # Rows per file: keeps every object far below the size one binaryFile row can hold.
 ROWS_PER_FILE = 1_000_000
@@ -184,7 +186,7 @@ def archive_bytes(objects: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def write_document(spark: SparkSession, path: str, text: str) -> None:
     """One small text document."""
-    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    spark.range(1, numPartitions=1).select(F.lit(text).alias("value")).write.mode("overwrite").text(path)
 
 
 def read_document(spark: SparkSession, path: str) -> str:
@@ -219,7 +221,7 @@ class ArchiveRecord:
     schema_hash: str
     graph_hash: str
     objects: DataFrame
-    candidates: DataFrame
+    candidates: dict[str, DataFrame]
     chunks: DataFrame
 
 
@@ -285,12 +287,13 @@ def freeze_and_export(
     path = attempt_path(root_path, spec.application, job_id, attempt)
     schemas = {t: tables[t].schema for t in spec.tables}
 
-    candidates = None
-    for table in plan.export_order:
+    def export(table: str) -> DataFrame:
         export_table(plan, tables, table, end_day, path, double_as)
-        recorded = export_keys(spark, plan, schemas[table], table, path)
-        candidates = recorded if candidates is None else candidates.unionByName(recorded)
-    chunks = materialize(chunk_digests(candidates, ["table_name"]), "chunks")
+        return export_keys(spark, plan, schemas[table], table, path)
+
+    candidates = dict(zip(plan.export_order, in_parallel(spark, export, plan.export_order)))
+    recorded = reduce(DataFrame.unionByName, candidates.values())
+    chunks = materialize(chunk_digests(recorded, ["table_name"]), "chunks")
     rows_by_table = {r[0]: r[1] for r in chunks.groupBy("table_name").agg(F.sum("row_count")).collect()}
     digest = one_value(candidate_digest(chunks))
     described = schema_columns(spark, schemas, spec.primary_keys)
@@ -346,16 +349,16 @@ def write_manifest(spark: SparkSession, path: str, manifest: dict) -> str:
     """Write the manifest and return the digest of its text. File lists stay in the object record, not in here."""
     text = json.dumps(manifest, sort_keys=True)
     write_document(spark, f"{path}/manifest", text)
-    return text_digest(spark, text)
+    return text_digest(text)
 
 
-def text_digest(spark: SparkSession, text: str) -> str:
-    return one_value(spark.createDataFrame([(text,)], "value string").select(F.sha2("value", 256)))
+def text_digest(text: str) -> str:
+    return hashlib.sha256(text.encode()).hexdigest()
 
 
 def read_manifest(spark: SparkSession, path: str) -> tuple[dict, str]:
     text = read_document(spark, f"{path}/manifest")
-    return json.loads(text), text_digest(spark, text)
+    return json.loads(text), text_digest(text)
 
 
 def read_archive(spark: SparkSession, path: str, table: str, schema: T.StructType) -> DataFrame:

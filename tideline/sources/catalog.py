@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tideline.functions.days import is_date_type
 from tideline.functions.severity import Thresholds, near_threshold
+from tideline.session import in_parallel, small_frame
 
 EXACT_COUNT_MAX_ROWS = 200_000
 
@@ -75,8 +76,9 @@ def needs_exact_count(estimate, thresholds: Thresholds, exact_max: int = EXACT_C
 def estimate_then_exact(spark: SparkSession, paths: Mapping[str, str], thresholds: Thresholds,
                         exact_max: int = EXACT_COUNT_MAX_ROWS) -> DataFrame:
     """``(table_name, estimated_rows, exact_rows)``; a full count only where it matters."""
-    estimates = [(t, estimated_rows(spark, p)) for t, p in paths.items()]
-    frame = spark.createDataFrame(estimates, "table_name string, estimated_rows long")
+    sizes = in_parallel(spark, lambda p: estimated_rows(spark, p), paths.values())
+    estimates = [{"table_name": t, "estimated_rows": n} for t, n in zip(paths, sizes)]
+    frame = small_frame(spark, estimates, "table_name: string, estimated_rows: bigint")
     wanted = {r[0] for r in frame.where(needs_exact_count(F.col("estimated_rows"), thresholds, exact_max)).collect()}
     counts = [
         exact_row_count(spark.read.parquet(paths[t])).select(F.lit(t).alias("table_name"), F.col("n").alias("exact_rows"))
