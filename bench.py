@@ -30,7 +30,7 @@ QUERY_NAMES = (
     "whole_day_selection", "preview_exclusions", "split_group_detection", "row_fingerprint", "chunk_digest",
     "range_delete_risk", "growth_average", "lateness_percentiles", "table_health", "app_health_rollup",
     "attention_rank", "alert_transitions", "job_progress", "job_steps", "approval_quorum", "policy_validation",
-    "removal_eligibility", "redact_text", "fk_reachability", "stream_daily_totals", "stream_alerts",
+    "removal_eligibility", "redact_text", "stream_daily_totals", "stream_alerts",
 )
 
 

@@ -17,7 +17,10 @@ def canonical_value(column: Column, data_type: T.DataType, double_as: str | None
         return column.cast(double_as).cast("string")
     if isinstance(data_type, T.BinaryType):
         return F.base64(column)
-    if isinstance(data_type, (T.ArrayType, T.MapType, T.StructType, T.VariantType)):
+    if isinstance(data_type, T.MapType):  # the order of a map's entries carries no meaning
+        entry = lambda k: F.struct(k.alias("k"), F.element_at(column, k).alias("v"))
+        return F.to_json(F.transform(F.array_sort(F.map_keys(column)), entry), {"ignoreNullFields": "false"})
+    if isinstance(data_type, (T.ArrayType, T.StructType, T.VariantType)):
         return F.to_json(column, {"ignoreNullFields": "false"})
     return column.cast("string")
 

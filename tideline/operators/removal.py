@@ -29,13 +29,13 @@ def exact_matches(frozen: DataFrame, live: DataFrame) -> DataFrame:
 def row_outcomes(frozen: DataFrame, live: DataFrame, held: DataFrame | None = None) -> DataFrame:
     """One outcome per frozen key: missing, drifted, held or deleted, tested in that order.
 
-    ``held`` lists the keys of rows some surviving child still references.
+    ``held`` lists, once each, the keys that some surviving child still references.
     """
     current = live.select("pk", F.col("fp").alias("_live_fp"))
     rows = frozen.join(current, "pk", "left")
     is_held = F.lit(False)
     if held is not None:
-        rows = rows.join(held.select("pk").distinct().withColumn("_held", F.lit(True)), "pk", "left")
+        rows = rows.join(held.select("pk").withColumn("_held", F.lit(True)), "pk", "left")
         is_held = F.coalesce(F.col("_held"), F.lit(False))
     outcome = (
         F.when(F.col("_live_fp").isNull(), "missing")
@@ -53,15 +53,20 @@ def survivors(live_rows: DataFrame, primary_key: str, outcomes: DataFrame) -> Da
 
 
 def referenced_keys(parent_rows: DataFrame, primary_key: str, edges: Sequence[tuple[FkEdge, DataFrame]]) -> DataFrame:
-    """Primary keys of parent rows that a remaining child row references, over every incoming foreign key."""
+    """Primary keys of parent rows that a remaining child row references, over every incoming foreign key.
+
+    A foreign key to the primary key names those keys itself; only other keys are looked up in the parent.
+    """
     parts = []
     for edge, children in edges:
         keys = children.select(*edge.child_columns).distinct()
-        needed = list(dict.fromkeys([primary_key, *edge.parent_columns]))
-        parents = parent_rows.select(*needed)
+        if edge.parent_columns == (primary_key,):
+            parts.append(keys.select(F.col(edge.child_columns[0]).alias("pk")))
+            continue
+        parents = parent_rows.select(*dict.fromkeys([primary_key, *edge.parent_columns]))
         hit = parents.join(keys, edge_condition(keys, parents, edge), "left_semi")
         parts.append(hit.select(F.col(primary_key).alias("pk")))
-    return reduce(DataFrame.unionByName, parts)
+    return parts[0] if len(parts) == 1 else reduce(DataFrame.unionByName, parts).distinct()
 
 
 def exact_removal(

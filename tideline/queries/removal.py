@@ -23,7 +23,6 @@ from tideline.operators.removal import (
     survivors,
 )
 from tideline.operators.verify import multiset_difference
-from tideline.plans.group import FkEdge
 from tideline.queries.groups import (
     CENTS,
     LINE_EDGE,
@@ -36,6 +35,7 @@ from tideline.queries.groups import (
     live_group,
 )
 from tideline.queries.registry import Inputs, query
+from tideline.session import in_parallel, materialize
 
 
 def frozen(inputs: Inputs) -> dict[str, DataFrame]:
@@ -102,7 +102,8 @@ FROM (SELECT 'orders' AS table_name, * FROM {numbered_orders} UNION ALL SELECT '
 """,
 )
 def chunk_numbers(inputs: Inputs) -> DataFrame:
-    return labelled({t: freeze.number_chunks(keys) for t, keys in frozen(inputs).items()})
+    keys = frozen(inputs)
+    return labelled(dict(zip(keys, in_parallel(inputs.spark, freeze.number_chunks, keys.values()))))
 
 
 def chunked(inputs: Inputs) -> DataFrame:
@@ -123,8 +124,6 @@ FROM {chunks}
 """,
 )
 def digest_of_candidate(inputs: Inputs) -> DataFrame:
-    from tideline.session import materialize
-
     return freeze.candidate_digest(materialize(chunked(inputs), "chunks"))
 
 
@@ -135,8 +134,6 @@ SELECT table_name, count(*) AS chunks, CAST(0 AS BIGINT) AS broken_chunks, true
 """,
 )
 def integrity(inputs: Inputs) -> DataFrame:
-    from tideline.session import materialize
-
     keys = materialize(chunk_numbers(inputs), "chunked")
     return freeze.candidate_integrity(keys, freeze.chunk_digests(keys, ["table_name"]), ["table_name"])
 

@@ -71,6 +71,17 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def hadoop_path(spark: SparkSession, path: str):
+    """A path and the file system it lives on."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found, found.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    found, file_system = hadoop_path(spark, path)
+    return file_system.exists(found)
+
+
 def small_frame(spark: SparkSession, rows: Sequence[dict], schema: str) -> DataFrame:
     """A few driver-side rows as a DataFrame, without starting Python workers for them."""
     parsed = F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")

@@ -26,7 +26,7 @@ from tideline.operators.freeze import (
 )
 from tideline.operators.selection import Tables, daily_totals, select_candidate, selected_days
 from tideline.plans.group import GroupPlan, edges_frame, require_plannable
-from tideline.session import in_parallel, materialize
+from tideline.session import hadoop_path, in_parallel, materialize
 
 # Rows per file: keeps every object far below the size one binaryFile row can hold.
 ROWS_PER_FILE = 1_000_000
@@ -35,7 +35,6 @@ CSV_NULL = "\\N"
 CSV_OPTIONS = {
     "header": "true",
     "nullValue": CSV_NULL,
-    "emptyValue": "",
     "quote": '"',
     "escape": '"',
     "ignoreLeadingWhiteSpace": "false",
@@ -61,6 +60,12 @@ def attempt_path(root: str, application: str, job_id: str, attempt: int) -> str:
     return f"{root}/app={application}/job={job_id}/attempt={attempt}"
 
 
+def discard_attempt(spark: SparkSession, path: str) -> None:
+    """Remove what an earlier run of the same attempt left; other attempts are not touched."""
+    found, file_system = hadoop_path(spark, path)
+    file_system.delete(found, True)
+
+
 # --- formats -----------------------------------------------------------------------------------------------
 
 
@@ -285,6 +290,7 @@ def freeze_and_export(
         raise TargetNotReached(f"{selection['eligible_total']} eligible rows are below the target {spec.target}")
     end_day = str(selection["end_day"])
     path = attempt_path(root_path, spec.application, job_id, attempt)
+    discard_attempt(spark, path)
     schemas = {t: tables[t].schema for t in spec.tables}
 
     def export(table: str) -> DataFrame:

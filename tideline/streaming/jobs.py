@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -14,6 +14,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from tideline.functions.days import column_type, local_day
 from tideline.functions.severity import LEVELS, Thresholds
+from tideline.session import path_exists
 from tideline.sources.state import latest_wins, read_deltas, write_delta
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -174,7 +175,7 @@ def ledger_sink(
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         requested = batch.dropDuplicates(list(keys))
-        if _has_deltas(spark, ledger):
+        if path_exists(spark, ledger):
             done = read_deltas(spark, ledger, schema)
             earlier = done.where((F.col("source") != source) | (F.col("batch") < batch_id))
             requested = requested.join(earlier.select(*keys), list(keys), "left_anti")
@@ -186,8 +187,3 @@ def ledger_sink(
         .trigger(availableNow=True)
         .start()
     )
-
-
-def _has_deltas(spark: SparkSession, path: str) -> bool:
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
