@@ -72,26 +72,18 @@ def split_groups(
     )
 
 
-def referenced_rows(parent: DataFrame, child: DataFrame, edge: FkEdge) -> DataFrame:
-    """Parent rows some child still points at. The child side is reduced to its distinct keys first."""
+def mark_referenced(parent: DataFrame, child: DataFrame, edge: FkEdge, name: str = "held") -> DataFrame:
+    """Parent rows with a flag: does some child still point at them? The child side shrinks to its distinct keys first."""
     keys = child.select(*edge.child_columns).distinct()
-    return parent.join(keys, edge_condition(keys, parent, edge), "left_semi")
-
-
-def unreferenced_rows(parent: DataFrame, child: DataFrame, edge: FkEdge) -> DataFrame:
-    keys = child.select(*edge.child_columns).distinct()
-    return parent.join(keys, edge_condition(keys, parent, edge), "left_anti")
-
-
-def orphan_rows(child: DataFrame, parent: DataFrame, edge: FkEdge) -> DataFrame:
-    """Children whose foreign key is set but names no parent."""
-    keys = parent.select(*edge.parent_columns)
-    complete = reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in edge.child_columns))
-    return child.where(complete).join(keys, edge_condition(child, keys, edge), "left_anti")
+    marked = parent.join(keys, edge_condition(keys, parent, edge), "left")
+    return marked.select(*(parent[c] for c in parent.columns), keys[edge.child_columns[0]].isNotNull().alias(name))
 
 
 def orphan_counts(child: DataFrame, parent: DataFrame, edge: FkEdge) -> DataFrame:
-    """Orphans per missing key, counted before the join so a hot key costs one row per task."""
+    """Children whose foreign key is set but names no parent, per missing key.
+
+    They are counted before the join, so a hot key costs one row per task.
+    """
     counts = child.dropna(subset=list(edge.child_columns)).groupBy(*edge.child_columns).agg(
         F.count(F.lit(1)).alias("n")
     )

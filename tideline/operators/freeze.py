@@ -12,7 +12,7 @@ from tideline.functions.fingerprint import row_fingerprint
 from tideline.operators.closure import group_rows
 from tideline.operators.selection import Tables
 from tideline.plans.group import GroupPlan
-from tideline.session import materialize
+from tideline.session import materialize, sorted_partitions
 
 CHUNK_SIZE = 2_000
 DIGEST_FAN_IN = 10_000
@@ -49,7 +49,7 @@ def place_rows(df: DataFrame, order: Sequence[str], partitions: int | None = Non
 
     ``order`` must be unique, so a repeated task puts every row in the same place again.
     """
-    partitions = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    partitions = partitions or sorted_partitions(df)
     position = F.monotonically_increasing_id().bitwiseAND(F.lit(_POSITION_MASK))
     ranged = df.repartitionByRange(partitions, *order).sortWithinPartitions(*order)
     return ranged.withColumns({PART: F.spark_partition_id(), POSITION: position})

@@ -46,10 +46,36 @@ def row_outcomes(frozen: DataFrame, live: DataFrame, held: DataFrame | None = No
     return rows.withColumn("outcome", outcome).drop("_live_fp", "_held")
 
 
-def survivors(live_rows: DataFrame, primary_key: str, outcomes: DataFrame) -> DataFrame:
-    """The live table without its deleted rows. Written to a new path by the caller; inputs are never overwritten."""
+KeyRange = tuple[object, object]
+
+
+def key_range(keys: DataFrame) -> KeyRange:
+    """Smallest and largest key: two values that let a scan skip everything outside."""
+    row = keys.agg(F.min("pk"), F.max("pk")).first()
+    return row[0], row[1]
+
+
+def rows_in_range(rows: DataFrame, primary_key: str, bounds: KeyRange) -> DataFrame:
+    low, high = bounds
+    return rows.where(F.lit(False) if low is None else F.col(primary_key).between(low, high))
+
+
+def survivors(
+    live_rows: DataFrame, primary_key: str, outcomes: DataFrame, bounds: KeyRange | None = None
+) -> DataFrame:
+    """The live table without its deleted rows. Written to a new path by the caller; inputs are never overwritten.
+
+    With the range of the deleted keys, rows outside it pass straight through and only the rest is joined.
+    Old rows tend to have old keys, so that is most of the table.
+    """
     gone = outcomes.where("outcome = 'deleted'").select(F.col("pk").alias(primary_key))
-    return live_rows.join(gone, primary_key, "left_anti")
+    if bounds is None:
+        return live_rows.join(gone, primary_key, "left_anti")
+    if bounds[0] is None:
+        return live_rows
+    outside = live_rows.where(F.col(primary_key).isNull() | ~F.col(primary_key).between(*bounds))
+    inside = rows_in_range(live_rows, primary_key, bounds)
+    return outside.unionByName(inside.join(gone, primary_key, "left_anti"))
 
 
 def referenced_keys(parent_rows: DataFrame, primary_key: str, edges: Sequence[tuple[FkEdge, DataFrame]]) -> DataFrame:
@@ -79,9 +105,11 @@ def exact_removal(
     """Outcomes per frozen row and survivors per table, children first.
 
     A parent is held while any surviving child row points at it: one that drifted, was itself held, or
-    arrived after the freeze. Tables outside the group count too when a foreign key names them. ``staged``
-    writes each table's outcomes once, since its survivors, its parent's guard and the reconciliation all
-    read them.
+    arrived after the freeze. Tables outside the group count too when a foreign key names them.
+
+    ``staged`` writes each table's outcomes once, since its survivors, its parent's guard and the
+    reconciliation all read them, and hashes only live rows within the range of the frozen keys, which
+    should then be stored as well.
     """
     outcomes: dict[str, DataFrame] = {}
     remaining: dict[str, DataFrame] = dict(live)
@@ -90,9 +118,15 @@ def exact_removal(
         rows = live[table]
         guards = [(e, remaining[e.child]) for e in plan.incoming(table) if e.child in remaining]
         held = referenced_keys(rows, pk, guards) if guards else None
-        decided = row_outcomes(frozen[table], live_keys(rows, pk, double_as), held)
-        outcomes[table] = materialize(decided, "outcomes") if staged else decided
-        remaining[table] = survivors(rows, pk, outcomes[table])
+        if not staged:
+            outcomes[table] = row_outcomes(frozen[table], live_keys(rows, pk, double_as), held)
+            remaining[table] = survivors(rows, pk, outcomes[table])
+            continue
+        candidates = rows_in_range(rows, pk, key_range(frozen[table]))
+        decided = row_outcomes(frozen[table], live_keys(candidates, pk, double_as), held)
+        outcomes[table] = materialize(decided, "outcomes")
+        deleted = outcomes[table].where("outcome = 'deleted'")
+        remaining[table] = survivors(rows, pk, outcomes[table], key_range(deleted))
     return outcomes, {t: remaining[t] for t in plan.spec.tables}
 
 

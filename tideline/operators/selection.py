@@ -141,9 +141,12 @@ def whole_day_selection(days: DataFrame, target: int | Column, by: Sequence[str]
 
 
 def selected_days(days: DataFrame, target: int | Column, by: Sequence[str] = ()) -> DataFrame:
-    """The ``(day, table_name, n)`` rows of the selected days."""
-    marked = mark_days(days, target, by).where("selected").select(*by, "day")
-    return days.join(marked, [*by, "day"], "left_semi")
+    """The ``(day, table_name, n)`` rows of the selected days, in one pass: a day's rows share their running total."""
+    target = F.lit(target) if isinstance(target, int) else target
+    keys = list(by) or [F.lit(0)]
+    up_to_day = Window.partitionBy(*keys).orderBy("day").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    before = F.sum("n").over(up_to_day) - F.sum("n").over(Window.partitionBy(*keys, "day"))
+    return days.withColumn("_before", before).where(F.col("_before") < target).drop("_before")
 
 
 def selection_totals(days: DataFrame, target: int | Column, by: Sequence[str] = ()) -> DataFrame:

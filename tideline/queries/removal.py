@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tideline.functions.fingerprint import row_fingerprint, row_fingerprint_md5
 from tideline.operators import freeze
-from tideline.operators.closure import orphan_counts, referenced_rows, unreferenced_rows
+from tideline.operators.closure import mark_referenced, orphan_counts
 from tideline.operators.removal import (
     exact_matches,
     exact_removal,
@@ -39,15 +39,22 @@ from tideline.session import in_parallel, materialize
 
 
 def frozen(inputs: Inputs) -> dict[str, DataFrame]:
+    """The frozen keys, written once: everything after the freeze is derived from them."""
     plan, tables = keyed_group(inputs)
     end_day = keyed_end_day(plan, tables)
-    return {t: freeze.frozen_keys(plan, tables, t, end_day, CENTS) for t in plan.export_order}
 
+    def freeze_table(table: str) -> DataFrame:
+        return materialize(freeze.frozen_keys(plan, tables, table, end_day, CENTS), "frozen")
 
-def removal(inputs: Inputs):
+    return dict(zip(plan.export_order, in_parallel(inputs.spark, freeze_table, plan.export_order)))
+
+
+def removal(inputs: Inputs, keys: dict[str, DataFrame] | None = None):
     """Outcomes and survivors of the frozen group against the live tables."""
     plan, _ = keyed_group(inputs)
-    return exact_removal(plan, frozen(inputs), live_group(inputs), CENTS)
+    derived = live_group(inputs)
+    stored = in_parallel(inputs.spark, lambda df: materialize(df, "live"), derived.values())
+    return exact_removal(plan, keys or frozen(inputs), dict(zip(derived, stored)), CENTS)
 
 
 def labelled(frames: dict[str, DataFrame]) -> DataFrame:
@@ -212,7 +219,8 @@ UNION ALL SELECT 'order_lines', count(*) FROM {line_outcomes} WHERE outcome IN (
 """,
 )
 def present(inputs: Inputs) -> DataFrame:
-    return present_counts(inputs, frozen(inputs), removal(inputs)[1]).withColumnRenamed("still_present", "n")
+    keys = frozen(inputs)
+    return present_counts(inputs, keys, removal(inputs, keys)[1]).withColumnRenamed("still_present", "n")
 
 
 def present_counts(inputs: Inputs, keys: dict, remaining: dict) -> DataFrame:
@@ -234,7 +242,7 @@ FROM {outcomes} GROUP BY 1
 )
 def reconciliation(inputs: Inputs) -> DataFrame:
     keys = frozen(inputs)
-    outcomes, remaining = removal(inputs)
+    outcomes, remaining = removal(inputs, keys)
     counted = outcome_counts(labelled({t: df.select("outcome") for t, df in outcomes.items()}), ["table_name"])
     frozen_counts = labelled({t: df.agg(F.count(F.lit(1)).alias("frozen")) for t, df in keys.items()})
     return reconcile_tables(
@@ -360,10 +368,7 @@ SELECT o_orderkey, o_orderkey IN (SELECT order_id FROM {live_lines}) AS held FRO
 """,
 )
 def guard(inputs: Inputs) -> DataFrame:
-    orders, lines = inputs.live_orders.select("o_orderkey"), inputs.live_lines
-    held = referenced_rows(orders, lines, LINE_EDGE).withColumn("held", F.lit(True))
-    free = unreferenced_rows(orders, lines, LINE_EDGE).withColumn("held", F.lit(False))
-    return held.unionByName(free)
+    return mark_referenced(inputs.live_orders.select("o_orderkey"), inputs.live_lines, LINE_EDGE)
 
 
 @query(

@@ -60,6 +60,17 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return os.path.join(scratch_root(spark), "tideline", f"{label}-{uuid.uuid4().hex}")
 
 
+SORTED_PARTITION_BYTES = 256 * 1024 * 1024
+MAX_SORTED_PARTITIONS = 50_000
+
+
+def sorted_partitions(df: DataFrame) -> int:
+    """How many range partitions to sort ``df`` in: the session's number, or more when its estimated size asks for it."""
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    wanted = min(int(str(size)) // SORTED_PARTITION_BYTES, MAX_SORTED_PARTITIONS)
+    return max(wanted, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back.
 

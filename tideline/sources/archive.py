@@ -29,7 +29,7 @@ from tideline.plans.group import GroupPlan, edges_frame, require_plannable
 from tideline.session import hadoop_path, in_parallel, materialize
 
 # Rows per file: keeps every object far below the size one binaryFile row can hold.
-ROWS_PER_FILE = 1_000_000
+ROWS_PER_FILE = 200_000
 
 CSV_NULL = "\\N"
 CSV_OPTIONS = {
