@@ -112,7 +112,8 @@ def test_batches_take_children_along(spark):
     assert batches["lines"].count() == 15
 
 
-def test_every_outcome(spark):
+@pytest.mark.parametrize("prune_bytes", [0, 1 << 40])
+def test_every_outcome(spark, prune_bytes):
     plan, tables = group(spark)
     frozen = frozen_of(plan, tables)
     live = {
@@ -124,7 +125,7 @@ def test_every_outcome(spark):
             "amount", F.when(F.col("id") == 6, -1).otherwise(F.col("amount"))
         ).unionByName(spark.sql("SELECT 1000L AS id, 5L AS order_id, 1L AS amount")),
     }
-    outcomes, remaining = removal.exact_removal(plan, frozen, live)
+    outcomes, remaining = removal.exact_removal(plan, frozen, live, prune_bytes=prune_bytes)
     got = {t: {r["pk"]: r["outcome"] for r in df.collect()} for t, df in outcomes.items()}
     assert {k: v for k, v in got["lines"].items() if v != "deleted"} == {6: "drifted", 7: "missing"}
     assert {k: v for k, v in got["orders"].items() if v != "deleted"} == {
@@ -138,6 +139,17 @@ def test_every_outcome(spark):
     assert removal.outcome_counts(again["lines"]).first()["deleted"] == 0  # a second run removes nothing
 
 
+def test_rows_outside_the_key_range_stay(spark):
+    plan, tables = group(spark)
+    frozen = {t: df.where("pk BETWEEN 4 AND 9") for t, df in frozen_of(plan, tables).items()}
+    _, remaining = removal.exact_removal(plan, frozen, tables, prune_bytes=0)
+    assert {r["id"] for r in remaining["lines"].collect()} == set(range(60)) - set(range(4, 10))
+    assert remaining["orders"].count() == 20  # every order still has lines
+    none = {t: df.where("pk < 0") for t, df in frozen.items()}
+    _, remaining = removal.exact_removal(plan, none, tables, prune_bytes=0)
+    assert remaining["lines"].count() == 60
+
+
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_outcomes_partition_the_frozen_rows(spark, seed):
     random.seed(seed)

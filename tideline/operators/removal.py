@@ -13,7 +13,10 @@ from tideline.functions.fingerprint import row_fingerprint
 from tideline.operators.closure import edge_condition
 from tideline.operators.selection import Tables
 from tideline.plans.group import FkEdge, GroupPlan
-from tideline.session import materialize
+from tideline.session import estimated_bytes, materialize
+
+# Live tables from this size on are read by key range.
+PRUNE_BYTES = 1 << 30
 
 
 def live_keys(df: DataFrame, primary_key: str, double_as: str | None = None) -> DataFrame:
@@ -101,6 +104,7 @@ def exact_removal(
     live: Tables,
     double_as: str | None = None,
     staged: bool = True,
+    prune_bytes: int = PRUNE_BYTES,
 ) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
     """Outcomes per frozen row and survivors per table, children first.
 
@@ -108,8 +112,8 @@ def exact_removal(
     arrived after the freeze. Tables outside the group count too when a foreign key names them.
 
     ``staged`` writes each table's outcomes once, since its survivors, its parent's guard and the
-    reconciliation all read them, and hashes only live rows within the range of the frozen keys, which
-    should then be stored as well.
+    reconciliation all read them. A live table of at least ``prune_bytes`` is then also read by the range of
+    the frozen keys, which should be stored as well: finding the range costs a small job per table.
     """
     outcomes: dict[str, DataFrame] = {}
     remaining: dict[str, DataFrame] = dict(live)
@@ -122,11 +126,12 @@ def exact_removal(
             outcomes[table] = row_outcomes(frozen[table], live_keys(rows, pk, double_as), held)
             remaining[table] = survivors(rows, pk, outcomes[table])
             continue
-        candidates = rows_in_range(rows, pk, key_range(frozen[table]))
+        large = estimated_bytes(rows) >= prune_bytes
+        candidates = rows_in_range(rows, pk, key_range(frozen[table])) if large else rows
         decided = row_outcomes(frozen[table], live_keys(candidates, pk, double_as), held)
         outcomes[table] = materialize(decided, "outcomes")
-        deleted = outcomes[table].where("outcome = 'deleted'")
-        remaining[table] = survivors(rows, pk, outcomes[table], key_range(deleted))
+        gone = key_range(outcomes[table].where("outcome = 'deleted'")) if large else None
+        remaining[table] = survivors(rows, pk, outcomes[table], gone)
     return outcomes, {t: remaining[t] for t in plan.spec.tables}
 
 

@@ -64,10 +64,14 @@ SORTED_PARTITION_BYTES = 256 * 1024 * 1024
 MAX_SORTED_PARTITIONS = 50_000
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's size estimate, an upper bound for filtered scans."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def sorted_partitions(df: DataFrame) -> int:
-    """How many range partitions to sort ``df`` in: the session's number, or more when its estimated size asks for it."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    wanted = min(int(str(size)) // SORTED_PARTITION_BYTES, MAX_SORTED_PARTITIONS)
+    """How many range partitions to sort ``df`` in: the session's number, or more when its size asks for it."""
+    wanted = min(estimated_bytes(df) // SORTED_PARTITION_BYTES, MAX_SORTED_PARTITIONS)
     return max(wanted, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
