@@ -260,6 +260,14 @@ def test_key_change_is_schema_drift(spark, good):
     assert now != record.schema_hash
 
 
+def test_record_of_an_earlier_session(spark, good, folder):
+    plan, _, record = good
+    archive.save_record(record, f"{folder}/record")
+    loaded = archive.load_record(spark, f"{folder}/record")
+    assert loaded.rows_by_table == record.rows_by_table and loaded.candidate_digest == record.candidate_digest
+    assert gate(spark, plan, loaded).verified
+
+
 def test_target_not_reached(spark, folder):
     plan, tables = group(spark)
     far = dataclasses.replace(plan, spec=dataclasses.replace(plan.spec, target=10**9))

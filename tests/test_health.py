@@ -96,6 +96,8 @@ def test_too_little_history(spark):
     assert growth.growth_status(young, "created_at", ZONE, "2026-09-30").first()["status"] == "insufficient_history"
     empty = young.limit(0)
     assert growth.growth_status(empty, "created_at", ZONE, "2026-09-30").first()["reason"] == "table is empty"
+    unknown = growth.growth_status(young, None, ZONE, "2026-09-30").first()
+    assert (unknown["status"], unknown["reason"]) == ("insufficient_history", "no insertion column")
 
 
 def test_months_without_rows_are_zero(spark):

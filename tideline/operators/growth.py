@@ -69,10 +69,17 @@ def spike_days(daily: DataFrame, by: Sequence[str] = (), factor: int = SPIKE_FAC
 
 
 def growth_status(
-    df: DataFrame, column: str, time_zone: str, today: str | date, by: Sequence[str] = (), ntz_is_utc: bool = False,
-    months: int = 6,
+    df: DataFrame, column: str | None, time_zone: str, today: str | date, by: Sequence[str] = (),
+    ntz_is_utc: bool = False, months: int = 6,
 ) -> DataFrame:
-    """measured only when the oldest row proves the table recorded the whole window."""
+    """measured only when the oldest row proves the table recorded the whole window.
+
+    A table without an insertion column cannot be measured; its row count alone says nothing about growth.
+    """
+    if column is None:
+        return df.groupBy(*by).agg(F.lit(None).cast("timestamp").alias("oldest")).select(
+            *by, "oldest", F.lit("insufficient_history").alias("status"), F.lit("no insertion column").alias("reason")
+        )
     start, _ = growth_window(today, months)
     first_needed = day_start(start, column_type(df, column), time_zone, ntz_is_utc)
     oldest = df.groupBy(*by).agg(F.min(column).alias("oldest"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -230,6 +230,25 @@ class ArchiveRecord:
     chunks: DataFrame
 
 
+def save_record(record: ArchiveRecord, path: str) -> None:
+    """Keep an export record at a place of its own, for checks in a later session."""
+    spark = record.objects.sparkSession
+    write_parquet(record.objects, f"{path}/objects")
+    write_parquet(record.chunks, f"{path}/chunks")
+    for table, keys in record.candidates.items():
+        write_parquet(keys, f"{path}/candidates/{table}")
+    frames = ("objects", "chunks", "candidates")
+    scalars = {f.name: getattr(record, f.name) for f in fields(record) if f.name not in frames}
+    write_document(spark, f"{path}/record", json.dumps({**scalars, "tables": list(record.candidates)}))
+
+
+def load_record(spark: SparkSession, path: str) -> ArchiveRecord:
+    scalars = json.loads(read_document(spark, f"{path}/record"))
+    candidates = {t: spark.read.parquet(f"{path}/candidates/{t}") for t in scalars.pop("tables")}
+    objects, chunks = (spark.read.parquet(f"{path}/{name}") for name in ("objects", "chunks"))
+    return ArchiveRecord(**scalars, objects=objects, candidates=candidates, chunks=chunks)
+
+
 def export_table(
     plan: GroupPlan, tables: Tables, table: str, end_day: str, path: str, double_as: str | None = None
 ) -> None:
