@@ -13,6 +13,7 @@ from tideline.functions.fingerprint import row_fingerprint
 from tideline.plans.group import GroupPlan
 from tideline.session import in_parallel, small_frame
 from tideline.sources.archive import (
+    KEYS_SCHEMA,
     ArchiveRecord,
     object_checksums,
     object_metadata,
@@ -40,58 +41,45 @@ class GateResult:
     checks: DataFrame
 
 
-def _tagged(side: str, df: DataFrame, key: str, fp: Column | None = None) -> DataFrame:
+def _copies(columns: Sequence[str], *sides: DataFrame) -> DataFrame:
+    """Copies of every value per side, as columns ``_0``, ``_1``, …: a union and one hash aggregate.
+
+    Only counts are kept per value, so the aggregate needs no sort and combines before the shuffle.
+    """
+    tagged = (df.select(*columns, F.lit(i).alias("_side")) for i, df in enumerate(sides))
+    rows = reduce(DataFrame.unionByName, tagged)
+    return rows.groupBy(*columns).agg(*(F.count_if(F.col("_side") == i).alias(f"_{i}") for i in range(len(sides))))
+
+
+def _keyed(df: DataFrame, key: str = "pk", fp: Column | None = None) -> DataFrame:
     text = F.col(key).cast("string").alias("pk")
-    return df.select(text, F.lit(side).alias("_side"), (F.lit(None).cast("string") if fp is None else fp).alias("_fp"))
-
-
-def _per_key(*sides: DataFrame) -> DataFrame:
-    """One row per key with its copies on each side: a union and one aggregate, combined before the shuffle."""
-    names = ("_a", "_b", "_c")[: len(sides)]
-    rows = reduce(DataFrame.unionByName, sides)
-    return rows.groupBy("pk").agg(
-        *(F.count_if(F.col("_side") == n).alias(n) for n in names),
-        F.min("_fp").alias("_low"),
-        F.max("_fp").alias("_high"),
-        *(F.count(F.when(F.col("_side") == n, F.col("_fp"))).alias(f"{n}_fps") for n in names),
-    )
+    return df.select(text) if fp is None else df.select(text, fp.alias("fp"))
+
+
+def _unequal() -> Column:
+    return F.col("_0") != F.col("_1")
 
 
 def key_set_diff(left: DataFrame, right: DataFrame) -> DataFrame:
     """Compare two ``(pk, fp)`` sets: keys on one side only, and keys whose fingerprints differ."""
-    keys = _per_key(_tagged("_a", left, "pk", F.col("fp")), _tagged("_b", right, "pk", F.col("fp")))
-    both = (F.col("_a") > 0) & (F.col("_b") > 0)
-    unequal = (F.col("_low") != F.col("_high")) | ((F.col("_a_fps") > 0) != (F.col("_b_fps") > 0))
+    pairs = _copies(["pk", "fp"], _keyed(left, fp=F.col("fp")), _keyed(right, fp=F.col("fp")))
+    keys = pairs.where(_unequal()).groupBy("pk").agg(F.sum("_0").alias("_0"), F.sum("_1").alias("_1"))
     return keys.agg(
-        F.count_if(F.col("_b") == 0).alias("only_left"),
-        F.count_if(F.col("_a") == 0).alias("only_right"),
-        F.count_if(both & F.coalesce(unequal, F.lit(False))).alias("different_fp"),
+        F.count_if(F.col("_1") == 0).alias("only_left"),
+        F.count_if(F.col("_0") == 0).alias("only_right"),
+        F.count_if((F.col("_0") > 0) & (F.col("_1") > 0)).alias("different_fp"),
     )
 
 
 def data_vs_keys(data: DataFrame, primary_key: str, keys: DataFrame) -> DataFrame:
     """Primary keys of the data against the frozen keys, and repeated keys on either side."""
-    per_key = _per_key(_tagged("_a", data, primary_key), _tagged("_b", keys, "pk"))
+    per_key = _copies(["pk"], _keyed(data, primary_key), _keyed(keys))
     return per_key.agg(
-        F.coalesce(F.sum("_a"), F.lit(0)).alias("data_rows"),
-        F.coalesce(F.sum("_b"), F.lit(0)).alias("key_rows"),
-        F.count_if(F.col("_b") == 0).alias("only_data"),
-        F.count_if(F.col("_a") == 0).alias("only_keys"),
-        F.count_if((F.col("_a") > 1) | (F.col("_b") > 1)).alias("repeated_keys"),
-    )
-
-
-def key_sets(data: DataFrame, primary_key: str, archived: DataFrame, recorded: DataFrame) -> DataFrame:
-    """Data, archived keys and recorded candidates of one table, compared in a single pass."""
-    per_key = _per_key(
-        _tagged("_a", data, primary_key),
-        _tagged("_b", archived, "pk", F.col("fp")),
-        _tagged("_c", recorded, "pk", F.col("fp")),
-    )
-    uneven = (F.col("_b") != F.col("_c")) | (F.col("_b_fps") != F.col("_c_fps")) | (F.col("_low") != F.col("_high"))
-    return per_key.agg(
-        F.count_if((F.col("_a") != 1) | (F.col("_b") != 1)).alias("data_differences"),
-        F.count_if(F.coalesce(uneven, F.lit(True))).alias("record_differences"),
+        F.coalesce(F.sum("_0"), F.lit(0)).alias("data_rows"),
+        F.coalesce(F.sum("_1"), F.lit(0)).alias("key_rows"),
+        F.count_if(F.col("_1") == 0).alias("only_data"),
+        F.count_if(F.col("_0") == 0).alias("only_keys"),
+        F.count_if((F.col("_0") > 1) | (F.col("_1") > 1)).alias("repeated_keys"),
     )
 
 
@@ -101,26 +89,18 @@ def multiset_difference(left: DataFrame, right: DataFrame, columns: Sequence[str
     Counting copies instead of numbering them keeps a value that fills a third of the table to one row
     per task.
     """
-    a = left.groupBy(*columns).agg(F.count(F.lit(1)).alias("copies_left"))
-    b = right.groupBy(*columns).agg(F.count(F.lit(1)).alias("copies_right"))
-    marked = a.select(*columns, "copies_left", F.lit(0).cast("long").alias("copies_right")).unionByName(
-        b.select(*columns, F.lit(0).cast("long").alias("copies_left"), "copies_right")
-    )
-    counts = marked.groupBy(*columns).agg(
-        F.sum("copies_left").alias("copies_left"), F.sum("copies_right").alias("copies_right")
-    )
-    return counts.where("copies_left <> copies_right")
+    names = {"_0": "copies_left", "_1": "copies_right"}
+    return _copies(columns, left, right).where(_unequal()).withColumnsRenamed(names)
 
 
 def restore_reconcile(restored: DataFrame, primary_key: str, frozen: DataFrame, double_as: str | None = None) -> DataFrame:
     """Hash every restored row again and compare it with its frozen fingerprint."""
     stamp = row_fingerprint(restored, double_as=double_as)
-    per_key = _per_key(_tagged("_a", restored, primary_key, stamp), _tagged("_b", frozen, "pk", F.col("fp")))
-    same = (F.col("_a") == F.col("_b")) & (F.col("_low") == F.col("_high"))
-    return per_key.agg(
-        F.coalesce(F.sum("_a"), F.lit(0)).alias("restored_rows"),
-        F.coalesce(F.sum("_b"), F.lit(0)).alias("frozen_rows"),
-        F.count_if(~F.coalesce(same, F.lit(False))).alias("mismatches"),
+    pairs = _copies(["pk", "fp"], _keyed(restored, primary_key, stamp), _keyed(frozen, fp=F.col("fp")))
+    return pairs.agg(
+        F.coalesce(F.sum("_0"), F.lit(0)).alias("restored_rows"),
+        F.coalesce(F.sum("_1"), F.lit(0)).alias("frozen_rows"),
+        F.countDistinct(F.when(_unequal(), F.col("pk"))).alias("mismatches"),
     )
 
 
@@ -226,8 +206,7 @@ def _integrity(c: dict, check) -> None:
 def _stored(c: dict, table: str) -> tuple[DataFrame, DataFrame]:
     record, plan = c["record"], c["plan"]
     data = read_archive(c["spark"], record.path, table, c["schemas"][table])
-    keys = c["spark"].read.parquet(f"{record.path}/keys/{table}")
-    return data, keys.select(F.col("pk").cast("string").alias("pk"), "fp", "parent_key", "rn", "chunk_no")
+    return data, c["spark"].read.schema(KEYS_SCHEMA).parquet(f"{record.path}/keys/{table}")
 
 
 def _per_table(c: dict, measure: Callable) -> list[tuple[str, object]]:
@@ -251,13 +230,13 @@ def _row_counts(c: dict, check) -> None:
 def _key_sets(c: dict, check) -> None:
     def measure(table: str):
         data, keys = _stored(c, table)
-        return key_sets(data, c["plan"].primary_key(table), keys, c["record"].candidates[table]).first()
+        own = data_vs_keys(data, c["plan"].primary_key(table), keys).first()
+        return own, key_set_diff(keys, c["record"].candidates[table]).first()
 
-    for table, found in _per_table(c, measure):
-        n = found["data_differences"]
-        check(f"{table}: data keys = frozen keys, none twice", n == 0, f"{n} differences")
-        n = found["record_differences"]
-        check(f"{table}: archived keys = recorded candidates", n == 0, f"{n} differences")
+    for table, (own, recorded) in _per_table(c, measure):
+        clean = own["only_data"] == own["only_keys"] == own["repeated_keys"] == 0
+        check(f"{table}: data keys = frozen keys, none twice", clean, own.asDict())
+        check(f"{table}: archived keys = recorded candidates", sum(recorded) == 0, recorded.asDict())
 
 
 def _restore(c: dict, check) -> None:

@@ -6,6 +6,7 @@ import hashlib
 import json
 from collections.abc import Sequence
 from dataclasses import dataclass, fields
+from datetime import date, timedelta
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,7 +25,7 @@ from tideline.operators.freeze import (
     number_placed,
     place_rows,
 )
-from tideline.operators.selection import Tables, daily_totals, select_candidate, selected_days
+from tideline.operators.selection import Tables, daily_totals, selected_days
 from tideline.plans.group import GroupPlan, edges_frame, require_plannable
 from tideline.session import hadoop_path, in_parallel, materialize
 
@@ -45,6 +46,7 @@ CSV_OPTIONS = {
 }
 
 FROZEN_FP = "_frozen_fp"
+KEYS_SCHEMA = "rn long, chunk_no long, pk string, fp string, parent_key string"
 
 
 class TargetNotReached(RuntimeError):
@@ -263,8 +265,8 @@ def export_table(
     write_parquet(placed.withColumn(FROZEN_FP, stamp), f"{path}/data/{table}")
 
 
-def export_keys(spark: SparkSession, plan: GroupPlan, schema: T.StructType, table: str, path: str) -> DataFrame:
-    """Record ``(table_name, rn, chunk_no, pk, fp, parent_key)`` of one table and write it beside the data.
+def record_keys(spark: SparkSession, plan: GroupPlan, schema: T.StructType, table: str, path: str) -> DataFrame:
+    """Record ``(table_name, rn, chunk_no, pk, fp, parent_key)`` of one exported table.
 
     Only the key columns of the data files are read, and their recorded order is used as it is: no second
     sort. The record lives outside the archive; the archived keys are a copy of it.
@@ -284,9 +286,7 @@ def export_keys(spark: SparkSession, plan: GroupPlan, schema: T.StructType, tabl
         F.col(FROZEN_FP).alias("fp"),
         (F.col(parent).cast("string") if parent else F.lit(None).cast("string")).alias("parent_key"),
     )
-    recorded = materialize(keys, "candidates")
-    write_parquet(recorded.drop("table_name"), f"{path}/keys/{table}")
-    return recorded
+    return materialize(keys, "candidates")
 
 
 def one_value(df: DataFrame):
@@ -303,31 +303,44 @@ def freeze_and_export(
     require_plannable(plan)
     spec = plan.spec
     spark = tables[spec.root].sparkSession
-    days = materialize(daily_totals(plan, tables), "days")
-    selection = select_candidate(days, spec.target).first()
-    if not selection["reached_target"]:
-        raise TargetNotReached(f"{selection['eligible_total']} eligible rows are below the target {spec.target}")
-    end_day = str(selection["end_day"])
+    days = day_rows(selected_days(daily_totals(plan, tables), spec.target))
+    selected = sum(n for _, _, n in days)
+    if selected < spec.target:
+        raise TargetNotReached(f"{selected} eligible rows are below the target {spec.target}")
+    first_day, last_day = days[0][0], days[-1][0]
+    end_day = str(date.fromisoformat(last_day) + timedelta(days=1))
     path = attempt_path(root_path, spec.application, job_id, attempt)
     discard_attempt(spark, path)
     schemas = {t: tables[t].schema for t in spec.tables}
 
-    def export(table: str) -> DataFrame:
-        export_table(plan, tables, table, end_day, path, double_as)
-        return export_keys(spark, plan, schemas[table], table, path)
-
-    candidates = dict(zip(plan.export_order, in_parallel(spark, export, plan.export_order)))
-    recorded = reduce(DataFrame.unionByName, candidates.values())
-    chunks = materialize(chunk_digests(recorded, ["table_name"]), "chunks")
-    rows_by_table = {r[0]: r[1] for r in chunks.groupBy("table_name").agg(F.sum("row_count")).collect()}
-    digest = one_value(candidate_digest(chunks))
-    described = schema_columns(spark, schemas, spec.primary_keys)
-    hashes = (one_value(schema_hash(described)), one_value(graph_hash(edges_frame(spark, plan.edges))))
-
     write_schema_doc(spark, f"{path}/schema", schemas)
-    objects = materialize(object_checksums(spark, path), "objects")
-    per_table = objects.groupBy(F.regexp_extract("object", "^(data|keys)/([^/]+)/", 2).alias("table_name")).agg(
-        F.count(F.lit(1)).alias("objects"), F.sum("bytes").alias("bytes")
+
+    def export(table: str) -> tuple[DataFrame, DataFrame]:
+        export_table(plan, tables, table, end_day, path, double_as)
+        recorded = record_keys(spark, plan, schemas[table], table, path)
+        write_parquet(recorded.drop("table_name"), f"{path}/keys/{table}")
+        return recorded, materialize(chunk_digests(recorded, ["table_name"]), "chunks")
+
+    exported = dict(zip(plan.export_order, in_parallel(spark, export, plan.export_order)))
+    candidates = {t: recorded for t, (recorded, _) in exported.items()}
+    chunks = reduce(DataFrame.unionByName, (found for _, found in exported.values()))
+
+    def describe() -> tuple[str, str]:
+        described = schema_columns(spark, schemas, spec.primary_keys)
+        return one_value(schema_hash(described)), one_value(graph_hash(edges_frame(spark, plan.edges)))
+
+    def count_rows() -> dict[str, int]:
+        return {r[0]: r[1] for r in chunks.groupBy("table_name").agg(F.sum("row_count")).collect()}
+
+    def list_objects() -> tuple[DataFrame, dict]:
+        objects = materialize(object_checksums(spark, path), "objects")
+        table = F.regexp_extract("object", "^(data|keys)/([^/]+)/", 2).alias("table_name")
+        per_table = objects.groupBy(table).agg(F.count(F.lit(1)).alias("objects"), F.sum("bytes").alias("bytes"))
+        return objects, {r["table_name"]: r for r in per_table.collect() if r["table_name"]}
+
+    hashes, rows_by_table, digest, (objects, sizes) = in_parallel(
+        spark, lambda step: step(),
+        [describe, count_rows, lambda: one_value(candidate_digest(chunks)), list_objects],
     )
     manifest = {
         "job_id": job_id,
@@ -339,18 +352,17 @@ def freeze_and_export(
         "cutoff_day": spec.cutoff_day,
         "target": spec.target,
         "archive_format": "parquet",
-        "boundary": {"first_day": str(selection["oldest_day"]), "last_day": str(selection["boundary_day"]),
-                     "end_day": end_day},
-        "days": day_rows(selected_days(days, spec.target)),
+        "boundary": {"first_day": first_day, "last_day": last_day, "end_day": end_day},
+        "days": days,
         "tables": {
-            r["table_name"]: {
-                "rows": rows_by_table.get(r["table_name"], 0),
-                "objects": r["objects"],
-                "bytes": r["bytes"],
-                "primary_key": plan.primary_key(r["table_name"]),
-                "parent": plan.links[r["table_name"]].parent if r["table_name"] in plan.links else None,
+            t: {
+                "rows": rows_by_table.get(t, 0),
+                "objects": sizes[t]["objects"] if t in sizes else 0,
+                "bytes": sizes[t]["bytes"] if t in sizes else 0,
+                "primary_key": plan.primary_key(t),
+                "parent": plan.links[t].parent if t in plan.links else None,
             }
-            for r in per_table.where("table_name <> ''").collect()
+            for t in plan.export_order
         },
         "fingerprint": FINGERPRINT_ALGORITHM,
         "candidate_digest": digest,
@@ -360,8 +372,10 @@ def freeze_and_export(
     }
     manifest_sha = write_manifest(spark, path, manifest)
     return ArchiveRecord(
-        path, job_id, attempt, spec.application, manifest["boundary"]["first_day"], manifest["boundary"]["last_day"],
-        end_day, rows_by_table, manifest_sha, digest, hashes[0], hashes[1], objects, candidates, chunks,
+        path=path, job_id=job_id, attempt=attempt, application=spec.application, first_day=first_day,
+        last_day=last_day, end_day=end_day, rows_by_table=rows_by_table, manifest_sha256=manifest_sha,
+        candidate_digest=digest, schema_hash=hashes[0], graph_hash=hashes[1], objects=objects,
+        candidates=candidates, chunks=chunks,
     )
 
 
