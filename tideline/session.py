@@ -60,6 +60,7 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return os.path.join(scratch_root(spark), "tideline", f"{label}-{uuid.uuid4().hex}")
 
 
+PARALLEL_JOBS = 16
 SORTED_PARTITION_BYTES = 256 * 1024 * 1024
 MAX_SORTED_PARTITIONS = 50_000
 
@@ -108,5 +109,5 @@ def in_parallel(spark: SparkSession, work: Callable, items: Iterable) -> list:
     items = list(items)
     if len(items) < 2:
         return [work(item) for item in items]
-    with ThreadPoolExecutor(max_workers=len(items)) as pool:
+    with ThreadPoolExecutor(max_workers=min(len(items), PARALLEL_JOBS)) as pool:
         return list(pool.map(inheritable_thread_target(spark)(work), items))

@@ -113,10 +113,11 @@ def profile_catalog(
     spark: SparkSession, paths: Mapping[str, str], primary_keys: Mapping[str, Sequence[str]]
 ) -> DataFrame:
     """The profile of every table: one aggregate per table, and all of them in one job."""
-    parts = []
-    for name, path in paths.items():
-        size = table_files(spark, path).agg(F.sum("bytes")).first()[0]
-        parts.append(profile_table(spark.read.parquet(path), name, primary_keys.get(name, ()), size))
+    sizes = in_parallel(spark, lambda p: table_files(spark, p).agg(F.sum("bytes")).first()[0], paths.values())
+    parts = [
+        profile_table(spark.read.parquet(path), name, primary_keys.get(name, ()), size)
+        for (name, path), size in zip(paths.items(), sizes)
+    ]
     return reduce(DataFrame.unionByName, parts)
 
 
