@@ -7,6 +7,7 @@ from datetime import date
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tideline.functions.days import column_type, day_start, growth_window, local_day
 from tideline.functions.severity import round_half_up
@@ -52,20 +53,25 @@ def growth_monthly(
     )
 
 
-def spike_days(daily: DataFrame, by: Sequence[str] = (), factor: int = SPIKE_FACTOR) -> DataFrame:
-    """Days above ``factor`` times the upper median of the days that have rows; at least seven such days needed.
+def mark_spikes(daily: DataFrame, by: Sequence[str] = (), factor: int = SPIKE_FACTOR) -> DataFrame:
+    """Add the upper median of the days that have rows, and whether a day exceeds ``factor`` times it.
 
-    The list per subject holds one number per calendar day of the window.
+    Fewer than seven days never make a spike. All windows share one partitioning, and a subject has at most
+    one row per calendar day of the window.
     """
-    counts = F.sort_array(F.collect_list("n"))
-    median = F.element_at(counts, (F.floor(F.size(counts) / 2) + 1).cast("int"))
-    typical = daily.groupBy(*by).agg(F.count(F.lit(1)).alias("_days"), median.alias("median"))
-    typical = typical.where(F.col("_days") >= SPIKE_MIN_DAYS)
-    if by:
-        joined = daily.join(typical, list(by))
-    else:
-        joined = daily.withColumn("_one", F.lit(1)).join(F.broadcast(typical.withColumn("_one", F.lit(1))), "_one")
-    return joined.where(F.col("n") > factor * F.col("median")).select(*by, "day", "n", "median")
+    subject = Window.partitionBy(*(by or [F.lit(0)]))
+    middle = F.floor(F.col("_days") / 2) + 1
+    return (
+        daily.withColumn("_rank", F.row_number().over(subject.orderBy("n")))
+        .withColumn("_days", F.count(F.lit(1)).over(subject))
+        .withColumn("median", F.max(F.when(F.col("_rank") == middle, F.col("n"))).over(subject))
+        .withColumn("spike", (F.col("_days") >= SPIKE_MIN_DAYS) & (F.col("n") > factor * F.col("median")))
+        .drop("_rank", "_days")
+    )
+
+
+def spike_days(daily: DataFrame, by: Sequence[str] = (), factor: int = SPIKE_FACTOR) -> DataFrame:
+    return mark_spikes(daily, by, factor).where("spike").select(*by, "day", "n", "median")
 
 
 def growth_status(
@@ -97,12 +103,10 @@ def growth_average(
 ) -> DataFrame:
     """Rows in the window per calendar day, with and without spike days."""
     start, end = growth_window(today, months)
-    spikes = spike_days(daily, by).select(*by, "day", F.lit(True).alias("_spike"))
-    marked = daily.join(spikes, [*by, "day"], "left")
-    totals = marked.groupBy(*by).agg(
+    totals = mark_spikes(daily, by).groupBy(*by).agg(
         F.sum("n").alias("_n"),
-        F.coalesce(F.sum(F.when(F.col("_spike"), F.col("n"))), F.lit(0)).alias("_spike_rows"),
-        F.count("_spike").alias("spike_days"),
+        F.coalesce(F.sum(F.when(F.col("spike"), F.col("n"))), F.lit(0)).alias("_spike_rows"),
+        F.count_if("spike").alias("spike_days"),
     )
     if by:
         joined = subjects.join(totals, list(by), "left")

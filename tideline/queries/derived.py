@@ -47,7 +47,7 @@ SELECT o_orderkey + 1000000000000 AS o_orderkey, o_custkey, o_orderstatus, o_tot
 FROM {orders} WHERE o_orderkey % 89 = 0
 UNION ALL
 SELECT o_orderkey + 2000000000000 AS o_orderkey, o_custkey, o_orderstatus, o_totalprice,
-       TIMESTAMP '1990-06-01 00:00:00' AS o_orderdate, o_orderpriority
+       DATE '1990-06-01' AS o_orderdate, o_orderpriority
 FROM {orders} WHERE o_orderkey % 997 = 0
 """,
 )
