@@ -115,16 +115,21 @@ def day_sum_vs_rows(days: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def stage_results(checks: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """A stage passed only if it has checks and all of them passed; every stage appears."""
-    keys = list(by)
-    stages = F.array(*(F.struct(F.lit(i + 1).alias("stage_no"), F.lit(s).alias("stage")) for i, s in enumerate(STAGES)))
-    done = checks.groupBy(*keys, "stage").agg(F.count(F.lit(1)).alias("_checks"), F.bool_and("pass").alias("_pass"))
-    subjects = checks.select(*keys).distinct() if keys else checks.sparkSession.range(1).select()
-    spine = subjects.select(*keys, F.inline(stages))
-    return spine.join(done, [*keys, "stage"], "left").select(
-        *keys, "stage_no", "stage", F.coalesce("_checks", F.lit(0)).alias("checks"),
-        F.coalesce("_pass", F.lit(False)).alias("passed"),
-    )
+    """A stage passed only if it has checks and all of them passed; every stage appears.
+
+    One aggregate per subject with a pair of numbers per stage, unfolded afterwards.
+    """
+    counted, stages = [], []
+    for i, name in enumerate(STAGES):
+        here = F.col("stage") == name
+        counted += [F.count_if(here).alias(f"_n{i}"), F.bool_and(F.when(here, F.col("pass"))).alias(f"_p{i}")]
+        stages.append(
+            F.struct(
+                F.lit(i + 1).alias("stage_no"), F.lit(name).alias("stage"), F.col(f"_n{i}").alias("checks"),
+                F.coalesce(f"_p{i}", F.lit(False)).alias("passed"),
+            )
+        )
+    return checks.groupBy(*by).agg(*counted).select(*by, F.inline(F.array(*stages)))
 
 
 def gate_verdict(checks: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -20,13 +20,11 @@ from tideline.operators.removal import (
     row_outcomes,
     still_present,
     stragglers,
-    survivors,
 )
 from tideline.operators.verify import multiset_difference
 from tideline.queries.groups import (
     CENTS,
     LINE_EDGE,
-    LINE_FP,
     ORDER_FP,
     ORDER_TEXT,
     ZONE,
