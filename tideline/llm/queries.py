@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import simhash
+from tideline.llm import bpe, mixing, simhash, tokenfile
+from tideline.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -31,3 +32,53 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, folder, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+MIX_SQL = r"""
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents
+), placed AS (
+  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY md5(concat_ws('-', coalesce(doc_id::VARCHAR, ''), size::VARCHAR, '0')), doc_id, size
+    ROWS UNBOUNDED PRECEDING) - size AS start
+  FROM sized
+), sources AS (
+  SELECT source, sum(size) AS source_size,
+    [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS weight
+  FROM sized GROUP BY source
+), levels AS (
+  SELECT *, 2.0::DOUBLE * source_size / weight AS full_at,
+    ((sum(source_size) OVER () * 1.5::DOUBLE - (sum(2.0::DOUBLE * source_size) OVER w - 2.0::DOUBLE * source_size))
+      / (sum(weight) OVER () - (sum(weight) OVER w - weight))) AS level
+  FROM sources
+  WINDOW w AS (ORDER BY 2.0::DOUBLE * source_size / weight, source NULLS LAST ROWS UNBOUNDED PRECEDING)
+), targets AS (
+  SELECT source, source_size,
+    CASE WHEN full_at <= level THEN 2.0::DOUBLE * source_size
+      ELSE least(2.0::DOUBLE * source_size, weight * max(level) FILTER (full_at > level) OVER ()) END AS target
+  FROM levels
+), wanted AS (
+  SELECT p.doc_id, p.size, p.start, t.source_size, t.target, round(t.target)::BIGINT AS want
+  FROM placed p JOIN targets t ON p.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size::BIGINT AS size, source_size::BIGINT AS source_size, target,
+  (CASE WHEN size = 0 THEN 0 ELSE greatest(0, least(size, want - start)) + greatest(0, least(size, want - source_size - start)) END)::BIGINT AS taken
+FROM wanted
+"""
+
+
+@query("op1_mixing", MIX_SQL)
+def op1_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    sizes = docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
+    sized, pieces = mixing.mix(materialize(sizes, "sizes"))
+    return mixing.taken_words(sized, pieces).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op6_token_files")
+def op6_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    return tokenfile.round_trip(table(spark, folder, "documents"))
+
+
+@query("op9_bpe")
+def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.round_trip(table(spark, folder, "documents"))
