@@ -141,7 +141,8 @@ def write_files(docs: DataFrame, folder: str, path: str | None = None, text: str
 def read_files(files: DataFrame) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of every document in ``files``, read from the files themselves."""
     before = F.sum("ids").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, 0)) - F.col("ids")
-    placed = files.select("path", before.alias("before")).repartition("path")
+    # A stated number of tasks: a few rows of paths would be coalesced to one task that reads all files.
+    placed = files.select("file", "path", before.alias("before")).repartition(max(1, files.count()), "file").select("path", "before")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
