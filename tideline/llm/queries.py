@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import bpe, langid, mixing, quality, simhash, tokenfile
+from tideline.llm import ann, bpe, langid, mixing, quality, simhash, tokenfile, urls, warc
 from tideline.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +95,20 @@ def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
 def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return quality.score(docs, quality.fit(docs, table(spark, folder, "labels")))
+
+
+@query("op2_warc")
+def op2_warc(spark: SparkSession, folder: str) -> DataFrame:
+    found = warc.round_trip(table(spark, folder, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op10_url_filters")
+def op10_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages")
+    return urls.judge(pages, urls.fit(urls.labelled_by_rules(pages)))
+
+
+@query("op5_nearest_neighbours")
+def op5_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return ann.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
