@@ -259,6 +259,12 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", keep: t
     return encoded(docs, lambda bpe, ids: {"n_tokens": len(ids), "ids": ids.astype(np.int32)}, "n_tokens long, ids array<int>", path, text, keep)
 
 
+def encode_and_decode(docs: DataFrame, path: str | None = None, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """What ``encode`` and ``round_trip`` return, in one pass."""
+    schema = "n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string"
+    return encoded(docs, lambda bpe, ids: _digests(bpe, ids) | {"ids": ids.astype(np.int32)}, schema, path, text, keep)
+
+
 def decode(rows: DataFrame, path: str | None = None, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns and ``text``; null ids give null."""
     path = path or default_path()

@@ -256,3 +256,18 @@ def predict(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ("doc
     schema = ", ".join([*(f"k{i} {chosen.schema[i].dataType.simpleString()}" for i in range(len(keep))), "lang_pred string, score double"])
     made = chosen.mapInArrow(run, schema)
     return made.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "lang_pred", "score")
+
+
+def accepted(docs: DataFrame, model: LanguageModel, least: float = 0.5, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text has a language at a chance of ``least`` or more."""
+    shared, place = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = Judge(shared.value)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                languages, scores = judge.batch(batch.column(place).to_pylist())
+                yield batch.filter(pa.array([x != UNDETERMINED and s >= least for x, s in zip(languages, scores)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -155,6 +155,24 @@ def _cut(bad: np.ndarray, good: np.ndarray, lost: float = LOST) -> float:
     return float((caught[-1] + ceiling) / 2) if len(caught) else -np.inf
 
 
+def fails_base(counts: dict) -> bool:
+    words = counts["n_words"]
+    return words < MIN_WORDS or 100 * counts["n_repeat_words"] > MAX_REPEATED_PERCENT * words
+
+
+def kept_rows(docs: DataFrame, model: Quality, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that pass the base rules and reach the threshold."""
+    shared, place = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = shared.value
+        for batch in batches:
+            texts = (v.as_py() for v in batch.column(place).cast(pa.binary()))
+            yield batch.filter(pa.array([not fails_base(base_counts(t)) and held.score(t) >= held.threshold for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def score(docs: DataFrame, model: Quality, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """``keep`` columns, base counts, ``base_failed, score, kept`` of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -166,7 +184,7 @@ def score(docs: DataFrame, model: Quality, keep: tuple[str, ...] = ("doc_id",),
         for batch in batches:
             texts = [v.as_py() for v in batch.column(len(keep)).cast(pa.binary())]
             counts = list(map(base_counts, texts))
-            failed = [c["n_words"] < MIN_WORDS or 100 * c["n_repeat_words"] > MAX_REPEATED_PERCENT * c["n_words"] for c in counts]
+            failed = list(map(fails_base, counts))
             scores = [held.score(t) for t in texts]
             kept = [not f and s >= held.threshold for f, s in zip(failed, scores)]
             columns = [batch.column(i) for i in range(len(keep))]

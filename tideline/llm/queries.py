@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import ann, bpe, langid, mixing, quality, simhash, tokenfile, urls, warc
+from tideline.llm import ann, bpe, langid, mixing, pages, quality, simhash, tokenfile, urls, warc
 from tideline.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,10 +105,16 @@ def op2_warc(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op10_url_filters")
 def op10_url_filters(spark: SparkSession, folder: str) -> DataFrame:
-    pages = table(spark, folder, "pages")
-    return urls.judge(pages, urls.fit(urls.labelled_by_rules(pages)))
+    found = table(spark, folder, "pages")
+    return urls.judge(found, urls.fit(urls.labelled_by_rules(found)))
 
 
 @query("op5_nearest_neighbours")
 def op5_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return ann.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query("op4_html_extraction")
+def op4_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    found = table(spark, folder, "pages")
+    return pages.extract(found, pages.fit(found))

@@ -21,6 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tideline.llm.components import components
 from tideline.session import materialize
@@ -320,3 +321,70 @@ def near_duplicates(docs: DataFrame, width: int = 4, bits: int = 4, text: str =
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))
     by_class = named.join(least, "label").select("fp", "component_id")
     return rows.join(by_class, "fp").select("doc_id", "fp", "component_id")
+
+
+SKETCH = 256
+
+
+def sketch(words: list[bytes], width: int, size: int = SKETCH) -> bytes:
+    """The ``size`` smallest distinct hashes of the shingles, cut to 32 bits, in order."""
+    hashes = shingle_hashes(words, width)
+    return np.unique(hashes[:, :4].copy().view(">u4").ravel())[:size].astype("<u4").tobytes()
+
+
+def similarity(a: bytes, b: bytes, size: int = SKETCH) -> float:
+    """Share of common shingles among all: exact where both have at most ``size``, else estimated from the smallest."""
+    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
+    both = np.union1d(x, y)[:size]
+    if not len(both):
+        return 1.0
+    return float(np.isin(both, np.intersect1d(x, y, assume_unique=True), assume_unique=True).mean())
+
+
+def drop_near_duplicates(docs: DataFrame, bits: int = 8, width: int = 5, least: float = 0.8) -> DataFrame:
+    """One row of each group of near duplicates of ``docs(doc_id, text, ...)``: that with the smallest id.
+
+    Candidates have fingerprints of word pairs within ``bits`` bits: one changed word changes two pairs but five
+    shingles of five words, so documents of the wanted similarity stay within reach. A candidate link holds if the
+    ``width``-word shingles of both texts are similar to ``least``. Equal texts are one text; texts without words are
+    alike. Null ids come last; of rows equal in id and text one stays.
+    """
+    named = docs.select("doc_id", F.xxhash64("text", F.lit(1)).alias("text_id"), "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [text_words(t.as_py()) for t in batch.column(2).cast(pa.binary())]
+            fps = pa.array([fingerprint(w, 2) for w in own], pa.int64())
+            sketches = pa.array([sketch(w, width) for w in own], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), fps, sketches], names=["doc_id", "text_id", "fp", "sketch"])
+
+    rows = materialize(named.mapInArrow(run, "doc_id long, text_id long, fp long, sketch binary"), "fingerprints")
+    texts = materialize(rows.groupBy("text_id").agg(F.first("fp").alias("fp"), F.first("sketch").alias("sketch")), "texts")
+    classes = materialize(texts.groupBy("fp").agg(F.min("text_id").alias("least")), "classes")
+    within = texts.select("text_id", "fp").join(classes, "fp").where("text_id <> least").select(F.col("text_id").alias("a"), F.col("least").alias("b"))
+    near = links(classes.select("fp"), bits)
+    ends = [classes.select(F.col("fp").alias(x), F.col("least").alias(f"{x}_text")) for x in ("a", "b")]
+    between = near.join(ends[0], "a").join(ends[1], "b").select(F.col("a_text").alias("a"), F.col("b_text").alias("b"))
+    found = materialize(between.unionByName(within).distinct(), "candidates")
+    left = texts.select(F.col("text_id").alias("a"), F.col("sketch").alias("x"))
+    right = texts.select(F.col("text_id").alias("b"), F.col("sketch").alias("y"))
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = [similarity(x, y) >= least for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    held = found.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
+    label = components(held).withColumnRenamed("node", "text_id")
+    members = rows.groupBy("text_id", "doc_id").agg(F.count(F.lit(1)).alias("copies")).join(label, "text_id", "left")
+    members = members.withColumn("label", F.coalesce("label", "text_id"))
+    order = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "text_id", "copies")
+    winners = members.groupBy("label").agg(F.min(order).alias("w")).select("w.doc_id", "w.text_id", "w.copies")
+    winners = materialize(winners.select(F.col("doc_id").alias("d"), F.col("text_id").alias("t"), "copies"), "winners")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    packed = docs.select(row, F.col("doc_id"), F.xxhash64("text", F.lit(1)).alias("text_id"))
+    won = packed.join(winners, (F.col("text_id") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("d")))
+    single = won.where("copies = 1").select("row")
+    first = Window.partitionBy("t", "d").orderBy(F.lit(1))
+    several = won.where("copies > 1").withColumn("n", F.row_number().over(first)).where("n = 1").select("row")
+    return single.unionByName(several).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
