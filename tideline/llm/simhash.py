@@ -341,7 +341,7 @@ def similarity(a: bytes, b: bytes, size: int = SKETCH) -> float:
     return float(np.isin(both, np.intersect1d(x, y, assume_unique=True), assume_unique=True).mean())
 
 
-def drop_near_duplicates(docs: DataFrame, bits: int = 8, width: int = 5, least: float = 0.8) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, bits: int = 9, width: int = 5, least: float = 0.8) -> DataFrame:
     """One row of each group of near duplicates of ``docs(doc_id, text, ...)``: that with the smallest id.
 
     Candidates have fingerprints of word pairs within ``bits`` bits: one changed word changes two pairs but five
