@@ -208,36 +208,49 @@ def spanning(nodes: int, a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> np.
     return np.concatenate(kept) if kept else np.zeros(0, np.int64)
 
 
+def closest(a: np.ndarray, b: np.ndarray, apart: np.ndarray, near: int) -> np.ndarray:
+    """Which links are among the ``near`` shortest of one of their ends; of equal ones the first by the other end."""
+    ends, others = np.concatenate((a, b)), np.concatenate((b, a))
+    order = np.lexsort((others, np.concatenate((apart, apart)), ends))
+    place = np.arange(len(order)) - np.searchsorted(ends[order], ends[order])
+    return np.unique(order[place < near] % max(1, len(a)))
+
+
 class _Forest:
-    """Links met so far among the fingerprints of a chunk, reduced to a forest whenever they become many."""
+    """Links met so far among the fingerprints of a chunk, reduced whenever they become many: to a spanning forest, and
+    the ``near`` shortest links of each."""
 
-    def __init__(self, nodes: int):
-        self.nodes, self.parts, self.held = nodes, [], 0
+    def __init__(self, nodes: int, near: int):
+        self.nodes, self.near, self.parts, self.held = nodes, near, [], 0
 
     def add(self, a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> None:
         self.parts.append((a, b, apart))
         self.held += len(a)
-        if self.held > 2 * CHUNK + 2 * self.nodes:
+        if self.held > 2 * CHUNK + 2 * (1 + self.near) * self.nodes:
             self.reduce()
 
     def reduce(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         a, b, apart = (np.concatenate(x) if self.parts else np.zeros(0, np.int64) for x in (zip(*self.parts) if self.parts else ((), (), ())))
+        _, once = np.unique(np.minimum(a, b) * self.nodes + np.maximum(a, b), return_index=True)
+        a, b, apart = a[once], b[once], apart[once]
         kept = spanning(self.nodes, a, b, apart)
+        if self.near and len(a):
+            kept = np.union1d(kept, closest(a, b, apart, self.near))
         self.parts, self.held = [(a[kept], b[kept], apart[kept])], len(kept)
         return self.parts[0]
 
 
-def bucket_links(key: np.ndarray, fp: np.ndarray, probe: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A forest of the links within buckets; rows come sorted by key, each bucket whole."""
+def bucket_links(key: np.ndarray, fp: np.ndarray, probe: np.ndarray, bits: int, near: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A forest of the links within buckets, and the ``near`` shortest of each; rows come sorted by key, buckets whole."""
     own, node = np.unique(fp, return_inverse=True)
     starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     sizes = np.diff(np.concatenate((starts, [len(key)])))
-    forest = _Forest(len(own))
+    forest = _Forest(len(own), near)
 
     def compare(i: np.ndarray, j: np.ndarray) -> None:
         apart = np.bitwise_count(fp[i] ^ fp[j])
-        near = (apart <= bits) & ~(probe[i] & probe[j]) & (fp[i] != fp[j])
-        forest.add(node[i[near]], node[j[near]], apart[near])
+        linked = (apart <= bits) & ~(probe[i] & probe[j]) & (fp[i] != fp[j])
+        forest.add(node[i[linked]], node[j[linked]], apart[linked])
 
     size_of = np.repeat(sizes, sizes)
     place = np.arange(len(key)) - np.repeat(starts, sizes)
@@ -258,8 +271,10 @@ def bucket_links(key: np.ndarray, fp: np.ndarray, probe: np.ndarray, bits: int)
     return own[a], own[b], apart
 
 
-def links(classes: DataFrame, bits: int = 4, bucket: int = BUCKET) -> DataFrame:
-    """``a, b, apart``: links between distinct fingerprints ``fp`` that connect all pairs within ``bits`` bits."""
+def links(classes: DataFrame, bits: int = 4, bucket: int = BUCKET, near: int = 0) -> DataFrame:
+    """``a, b, apart``: links between distinct fingerprints ``fp`` that connect all pairs within ``bits`` bits.
+
+    For those who test links further, ``near`` more of the shortest links of each fingerprint are kept."""
     spark = classes.sparkSession
     rows = classes.count()
     share = min(0.5, SAMPLE / max(1, rows))
@@ -289,7 +304,7 @@ def links(classes: DataFrame, bits: int = 4, bucket: int = BUCKET) -> DataFrame:
             cut = len(key) if last else int(np.searchsorted(key, key[-1]))
             held, count = [(key[cut:], fp[cut:], probe[cut:])], len(key) - cut
             if cut:
-                a, b, apart = bucket_links(key[:cut], fp[:cut].view(np.uint64), probe[:cut], bits)
+                a, b, apart = bucket_links(key[:cut], fp[:cut].view(np.uint64), probe[:cut], bits, near)
                 arrays = [pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(apart.astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(arrays, names=["a", "b", "apart"])
 
@@ -323,7 +338,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, bits: int = 4, text: str =
     return rows.join(by_class, "fp").select("doc_id", "fp", "component_id")
 
 
-SKETCH = 256
+SKETCH, NEAR = 256, 4
 
 
 def sketch(words: list[bytes], width: int, size: int = SKETCH) -> bytes:
@@ -346,7 +361,8 @@ def drop_near_duplicates(docs: DataFrame, bits: int = 9, width: int = 5, least:
 
     Candidates have fingerprints of word pairs within ``bits`` bits: one changed word changes two pairs but five
     shingles of five words, so documents of the wanted similarity stay within reach. A candidate link holds if the
-    ``width``-word shingles of both texts are similar to ``least``. Equal texts are one text; texts without words are
+    ``width``-word shingles of both texts are similar to ``least``; besides a spanning forest of the candidates, the
+    ``NEAR`` shortest links of each text are tested, as a forest alone may run over links that fail. Equal texts are one text; texts without words are
     alike. Null ids come last; of rows equal in id and text one stays.
     """
     named = docs.select("doc_id", F.xxhash64("text", F.lit(1)).alias("text_id"), "text")
@@ -360,11 +376,13 @@ def drop_near_duplicates(docs: DataFrame, bits: int = 9, width: int = 5, least:
 
     rows = materialize(named.mapInArrow(run, "doc_id long, text_id long, fp long, sketch binary"), "fingerprints")
     texts = materialize(rows.groupBy("text_id").agg(F.first("fp").alias("fp"), F.first("sketch").alias("sketch")), "texts")
-    classes = materialize(texts.groupBy("fp").agg(F.min("text_id").alias("least")), "classes")
-    within = texts.select("text_id", "fp").join(classes, "fp").where("text_id <> least").select(F.col("text_id").alias("a"), F.col("least").alias("b"))
-    near = links(classes.select("fp"), bits)
-    ends = [classes.select(F.col("fp").alias(x), F.col("least").alias(f"{x}_text")) for x in ("a", "b")]
-    between = near.join(ends[0], "a").join(ends[1], "b").select(F.col("a_text").alias("a"), F.col("b_text").alias("b"))
+    # A fingerprint that several texts have is stood for by two of them.
+    shown = F.array_distinct(F.array(F.min("text_id"), F.max("text_id"))).alias("shown")
+    classes = materialize(texts.groupBy("fp").agg(shown), "classes")
+    within = texts.select("text_id", "fp").join(classes, "fp").select(F.col("text_id").alias("a"), F.explode("shown").alias("b")).where("a <> b")
+    near = links(classes.select("fp"), bits, near=NEAR)
+    ends = [classes.select(F.col("fp").alias(x), F.col("shown").alias(f"{x}_shown")) for x in ("a", "b")]
+    between = near.join(ends[0], "a").join(ends[1], "b").select(F.explode("a_shown").alias("a"), "b_shown").select("a", F.explode("b_shown").alias("b"))
     found = materialize(between.unionByName(within).distinct(), "candidates")
     left = texts.select(F.col("text_id").alias("a"), F.col("sketch").alias("x"))
     right = texts.select(F.col("text_id").alias("b"), F.col("sketch").alias("y"))
