@@ -32,6 +32,25 @@ def test_query(spark, oracle, name):
         assert df.count() > 0
 
 
+# Columns whose every listed value must occur, so that no branch is checked against nothing.
+VALUES = {
+    "policy_counts": None,
+    "ui_policy_map": None,
+    "group_policy_join": None,
+    "candidate_integrity": ("intact", {True, False}),
+    "policy_validation": ("policy", {"ARCHIVE", "DO_NOT_ARCHIVE", "REVIEW_REQUIRED"}),
+}
+
+
+@pytest.mark.parametrize("name", sorted(VALUES))
+def test_checks_are_not_hollow(spark, name):
+    rows = RUNS[name](spark, FOLDER).collect()
+    assert rows
+    if VALUES[name]:
+        column, wanted = VALUES[name]
+        assert wanted <= {r[column] for r in rows}
+
+
 def test_entry(spark):
     assert contract.entry(spark).count() == 1
 

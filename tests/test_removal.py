@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 from tideline.functions.fingerprint import canonical_row, row_fingerprint, row_fingerprint_md5
 from tideline.operators import freeze, removal
 from tideline.operators.verify import multiset_difference
-from tideline.plans.group import FkEdge, GroupSpec, plan_group
+from tideline.plans.group import FkEdge, GroupSpec, PlanBlocked, plan_group
 
 EDGE = FkEdge("line_order", "lines", ("order_id",), "orders", ("id",))
 
@@ -98,7 +98,7 @@ def test_candidate_digest_levels(spark):
     def sha(texts):
         return hashlib.sha256(",".join(texts).encode()).hexdigest()
 
-    assert freeze.candidate_digest(chunks).first()[0] == sha(entries)
+    assert freeze.candidate_digest(chunks).first()[0] == sha([sha(entries)])  # two levels at every size
     level = [sha(entries[i:i + 3]) for i in range(0, 8, 3)]
     assert freeze.candidate_digest(chunks, fan_in=3).first()[0] == sha(level)
 
@@ -112,8 +112,7 @@ def test_batches_take_children_along(spark):
     assert batches["lines"].count() == 15
 
 
-@pytest.mark.parametrize("prune_bytes", [0, 1 << 40])
-def test_every_outcome(spark, prune_bytes):
+def test_every_outcome(spark):
     plan, tables = group(spark)
     frozen = frozen_of(plan, tables)
     live = {
@@ -125,7 +124,7 @@ def test_every_outcome(spark, prune_bytes):
             "amount", F.when(F.col("id") == 6, -1).otherwise(F.col("amount"))
         ).unionByName(spark.sql("SELECT 1000L AS id, 5L AS order_id, 1L AS amount")),
     }
-    outcomes, remaining = removal.exact_removal(plan, frozen, live, prune_bytes=prune_bytes)
+    outcomes, remaining = removal.exact_removal(plan, frozen, live)
     got = {t: {r["pk"]: r["outcome"] for r in df.collect()} for t, df in outcomes.items()}
     assert {k: v for k, v in got["lines"].items() if v != "deleted"} == {6: "drifted", 7: "missing"}
     assert {k: v for k, v in got["orders"].items() if v != "deleted"} == {
@@ -142,14 +141,28 @@ def test_every_outcome(spark, prune_bytes):
 def test_rows_outside_the_key_range_stay(spark):
     plan, tables = group(spark)
     frozen = {t: df.where("pk BETWEEN 4 AND 9") for t, df in frozen_of(plan, tables).items()}
-    _, remaining = removal.exact_removal(plan, frozen, tables, prune_bytes=0)
+    _, remaining = removal.exact_removal(plan, frozen, tables)
     assert {r["id"] for r in remaining["lines"].collect()} == set(range(60)) - set(range(4, 10))
     assert remaining["orders"].count() == 20  # every order still has lines
     none = {t: df.where("pk < 0") for t, df in frozen.items()}
-    _, remaining = removal.exact_removal(plan, none, tables, prune_bytes=0)
+    _, remaining = removal.exact_removal(plan, none, tables)
     assert remaining["lines"].count() == 60
 
 
+def test_a_blocked_plan_and_a_missing_table_are_refused(spark):
+    plan, tables = group(spark)
+    frozen = frozen_of(plan, tables)
+    with pytest.raises(ValueError, match="rows of lines"):
+        removal.exact_removal(plan, frozen, {"orders": tables["orders"]})
+    loop = FkEdge("line_line", "lines", ("amount",), "lines", ("id",))
+    outside = FkEdge("audit_order", "audit", ("order_id",), "orders", ("id",))
+    for edge in (loop, outside):
+        blocked = plan_group(plan.spec, {t: df.schema for t, df in tables.items()}, [*plan.edges, edge])
+        assert blocked.blocking
+        with pytest.raises(PlanBlocked):
+            removal.exact_removal(blocked, frozen, tables)
+
+
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_outcomes_partition_the_frozen_rows(spark, seed):
     random.seed(seed)
@@ -160,7 +173,7 @@ def test_outcomes_partition_the_frozen_rows(spark, seed):
         "amount", F.when(F.col("id").isin(edited), -5).otherwise(F.col("amount"))
     )
     live = {"orders": tables["orders"], "lines": lines}
-    outcomes, remaining = removal.exact_removal(plan, frozen, live, staged=False)
+    outcomes, remaining = removal.exact_removal(plan, frozen, live)
     for table in plan.spec.tables:
         counts = removal.outcome_counts(outcomes[table]).first()
         assert counts["requested"] == sum(counts[k] for k in ("deleted", "drifted", "held", "missing"))

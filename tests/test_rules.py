@@ -216,3 +216,49 @@ def test_hints(spark):
     assert got["orders"] == ["parent_of_others"]
     assert got["user_profiles"] == ["referenced_master_data", "no_primary_key", "identity_like_name"]
     assert got["app_events"] == ["composite_primary_key"]
+
+
+GATE = (
+    "environment string, mode string, status string, attempt int, verified boolean, verified_attempt int, "
+    "verified_at timestamp_ntz, schema_hash string, live_schema_hash string, graph_hash string, live_graph_hash string, "
+    "candidate_set_intact boolean, authorized boolean"
+)
+GATE_OK = (
+    "synthetic", "ARCHIVE_VERIFY_DELETE", "deletion_approved", 1, True, 1, dt.datetime(2001, 8, 15, 5), "s", "s", "g", "g",
+    True, True,
+)
+
+
+def test_no_unknown_value_opens_the_removal_gate(spark):
+    names = [c.split()[0] for c in GATE.split(", ")]
+    rows = [GATE_OK] + [tuple(None if i == j else v for j, v in enumerate(GATE_OK)) for i in range(len(GATE_OK))]
+    jobs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "n int, " + GATE)
+    now = F.lit("2001-08-15 06:00:00").cast("timestamp_ntz")
+    checked = rules.removal_eligibility(jobs, now, ("synthetic",), 120, True, False).orderBy("n").collect()
+    assert checked[0].allowed and not any(r.allowed for r in checked[1:]), [names[r.n - 1] for r in checked[1:] if r.allowed]
+
+
+def test_other_refusals_close_on_unknown_values(spark):
+    members = spark.createDataFrame(
+        [("child", 1, "date", True, False)] + [("child", None, "date", True, False), ("child", 1, None, None, False), ("child", 1, "date", True, None), (None, 1, None, True, False)],
+        "role string, key_columns int, date_type string, reachable boolean, on_cycle boolean",
+    )
+    assert [bool(r.reasons) for r in rules.group_preflight(members).collect()] == [False, True, True, True, True]
+    limits = "low int, medium int, high int, capacity_low int, capacity_medium int, capacity_high int"
+    full = (1, 2, 3, 10, 20, 30)
+    settings = spark.createDataFrame([full] + [tuple(None if i == j else v for j, v in enumerate(full)) for i in range(6)], limits)
+    assert [bool(r.reasons) for r in rules.threshold_order_check(settings).collect()] == [False] + [True] * 6
+    planned = "policy string, enabled boolean, date_column string, protected_months int, target_rows int, grace_days int, time_zone string, storage_available boolean, previous_verification string, active_job int, capacity_level string, credentials_valid boolean"
+    good = ("ARCHIVE", True, "d", 1, 1, 1, "UTC", True, "passed", None, "NONE", True)
+    rows = [good] + [tuple(None if i == j else v for j, v in enumerate(good)) for i in range(12) if i != 9]
+    eligible = [r.eligible for r in rules.schedule_eligibility(spark.createDataFrame(rows, planned), True).collect()]
+    assert eligible == [True] + [False] * 11
+    shown = spark.createDataFrame([(None, None, None)], "mode string, gaps array<string>, stop boolean")
+    found = shown.select(rules.removal_blockers(F.col("mode"), F.lit(True), F.col("gaps"), F.col("stop")).alias("r")).first().r
+    assert {"verify_only_job", "approval_policy_incomplete", "kill_switch_on"} <= set(found)
+
+
+def test_the_writers_formats_are_supported():
+    from tideline.sources.archive import FORMATS
+
+    assert set(FORMATS) == set(rules.ARCHIVE_FORMATS)

@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from tideline.functions.severity import Thresholds
@@ -121,6 +122,18 @@ def test_repeats_are_suppressed_inside_the_window(spark, folder):
     assert drain() == [1, 3, 4]
 
 
+@pytest.mark.parametrize("batches", [[4], [1, 1, 1, 1], [2, 2], [3, 1]])
+def test_suppression_does_not_depend_on_the_batches(spark, folder, batches):
+    events = [(i, at(1 + 4 * i), "a") for i in range(4)]
+    for size in batches:
+        add(spark, folder, events[:size])
+        events = events[size:]
+        kept = jobs.stream_suppress(stream(spark, folder), "ts", ["kind"], 24).select("id")
+        run(jobs.append_sink(kept, f"{folder}/out", f"{folder}/progress"))
+    rows = spark.read.schema("id long").parquet(f"{folder}/out").collect()
+    assert sorted(r["id"] for r in rows) == [0, 1, 2, 3]
+
+
 def test_audit_is_append_only(spark, folder):
     for i in range(2):
         add(spark, folder, [(i, at(i + 1), "x")])

@@ -33,8 +33,8 @@ def test_masks(spark, given, expected):
 
 def test_secret_late_in_a_long_text(spark):
     given = "word " * 5000 + "token=abc"
-    assert run(spark, given, text.redact(F.col("t"), None)).endswith("token=[REDACTED]")
-    short = run(spark, given, text.redact(F.col("t")))
+    assert run(spark, given, text.redact(F.col("t"))).endswith("token=[REDACTED]")
+    short = run(spark, given, text.shorten(text.redact(F.col("t"))))
     assert len(short) == 1001 and short.endswith("…")
 
 

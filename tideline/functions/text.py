@@ -31,8 +31,8 @@ MAX_LOG_TEXT = 1000
 FORBIDDEN_FACT = r"(?i)password|secret|token|key|phone|email|name|address"
 
 
-def redact(text: Column, max_length: int | None = MAX_LOG_TEXT) -> Column:
-    """Mask secrets in the whole text, then shorten long results with an ellipsis.
+def redact(text: Column) -> Column:
+    """Mask secrets in the whole text.
 
     A plain substring test decides whether a pattern has to run at all; most texts hold no secret.
     """
@@ -40,11 +40,12 @@ def redact(text: Column, max_length: int | None = MAX_LOG_TEXT) -> Column:
     for hints, pattern, replacement in SECRET_PATTERNS:
         possible = reduce(lambda a, b: a | b, (lower.contains(h) for h in hints))
         masked = F.when(possible, F.regexp_replace(masked, pattern, replacement)).otherwise(masked)
-    if max_length is None:
-        return masked
-    return F.when(F.length(masked) > max_length, F.concat(F.substring(masked, 1, max_length), F.lit("…"))).otherwise(
-        masked
-    )
+    return masked
+
+
+def shorten(text: Column, max_length: int = MAX_LOG_TEXT) -> Column:
+    """The first ``max_length`` characters and an ellipsis, for those who want less than the whole text."""
+    return F.when(F.length(text) > max_length, F.concat(F.substring(text, 1, max_length), F.lit("…"))).otherwise(text)
 
 
 def contains_text(columns: Sequence[Column], query: str) -> Column:

@@ -12,11 +12,8 @@ from tideline.functions.days import before_day, column_type
 from tideline.functions.fingerprint import row_fingerprint
 from tideline.operators.closure import edge_condition
 from tideline.operators.selection import Tables
-from tideline.plans.group import FkEdge, GroupPlan
-from tideline.session import estimated_bytes, materialize
-
-# Live tables from this size on are read by key range.
-PRUNE_BYTES = 1 << 30
+from tideline.plans.group import FkEdge, GroupPlan, require_plannable
+from tideline.session import materialize
 
 
 def live_keys(df: DataFrame, primary_key: str, double_as: str | None = None) -> DataFrame:
@@ -103,34 +100,32 @@ def exact_removal(
     frozen: Mapping[str, DataFrame],
     live: Tables,
     double_as: str | None = None,
-    staged: bool = True,
-    prune_bytes: int = PRUNE_BYTES,
 ) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
     """Outcomes per frozen row and survivors per table, children first.
 
     A parent is held while any surviving child row points at it: one that drifted, was itself held, or
     arrived after the freeze. Tables outside the group count too when a foreign key names them.
 
-    ``staged`` writes each table's outcomes once, since its survivors, its parent's guard and the
-    reconciliation all read them. A live table of at least ``prune_bytes`` is then also read by the range of
-    the frozen keys, which should be stored as well: finding the range costs a small job per table.
+    A blocked plan is refused, and so is a missing table: without the rows of every table that points at the
+    group, no guard can tell which parents are still in use. Each table's outcomes are written once, since its
+    survivors, its parent's guard and the reconciliation all read them. Live tables are read by the range of the
+    frozen keys, which should be stored as well: finding the range costs a small job per table.
     """
+    require_plannable(plan)
+    wanted = {e.child for t in plan.removal_order for e in plan.incoming(t)} | set(plan.removal_order)
+    if missing := sorted(wanted - set(live)):
+        raise ValueError(f"removal needs the rows of {', '.join(missing)}")
     outcomes: dict[str, DataFrame] = {}
     remaining: dict[str, DataFrame] = dict(live)
     for table in plan.removal_order:
         pk = plan.primary_key(table)
         rows = live[table]
-        guards = [(e, remaining[e.child]) for e in plan.incoming(table) if e.child in remaining]
+        guards = [(e, remaining[e.child]) for e in plan.incoming(table)]
         held = referenced_keys(rows, pk, guards) if guards else None
-        if not staged:
-            outcomes[table] = row_outcomes(frozen[table], live_keys(rows, pk, double_as), held)
-            remaining[table] = survivors(rows, pk, outcomes[table])
-            continue
-        large = estimated_bytes(rows) >= prune_bytes
-        candidates = rows_in_range(rows, pk, key_range(frozen[table])) if large else rows
+        candidates = rows_in_range(rows, pk, key_range(frozen[table]))
         decided = row_outcomes(frozen[table], live_keys(candidates, pk, double_as), held)
         outcomes[table] = materialize(decided, "outcomes")
-        gone = key_range(outcomes[table].where("outcome = 'deleted'")) if large else None
+        gone = key_range(outcomes[table].where("outcome = 'deleted'"))
         remaining[table] = survivors(rows, pk, outcomes[table], gone)
     return outcomes, {t: remaining[t] for t in plan.spec.tables}
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tideline.operators.jobs import REMOVAL_MODE
 
-# Column types that can define a day, name hints, and the one supported archive format.
+# Column types that can define a day, name hints, and the archive formats that can be written.
 DATE_TYPES = ("date", "timestamp", "timestamp_ntz")
 PROTECTED_NAMES = (
     r"(?i)(^|_)(users?|profiles?|accounts?|members?|roles?|permissions?|settings?|config|plans?|products?"
@@ -18,6 +18,7 @@ ARCHIVE_NAMES = (
     r"|activity|tracking)"
 )
 LARGE_TABLE_ROWS = 100_000
+ARCHIVE_FORMATS = ("parquet", "csv.gz", "jsonl.gz")
 
 
 def reasons(*rules: tuple[Column, str]) -> Column:
@@ -25,12 +26,19 @@ def reasons(*rules: tuple[Column, str]) -> Column:
     return F.array_compact(F.array(*(F.when(condition, F.lit(text)) for condition, text in rules)))
 
 
+def unless(condition: Column) -> Column:
+    """True where ``condition`` does not hold for certain: an unknown value is a reason to refuse."""
+    return ~F.coalesce(condition, F.lit(False))
+
+
 def type_predicate(type_column: Column) -> Column:
     return type_column.isin(*DATE_TYPES)
 
 
-def policy_validation(policies: DataFrame, tables: DataFrame, default_grace: int | None) -> DataFrame:
-    """All reasons an ARCHIVE policy cannot run, and whether it is complete.
+def policy_validation(
+    policies: DataFrame, tables: DataFrame, default_grace: int | None, formats: tuple[str, ...] = ARCHIVE_FORMATS
+) -> DataFrame:
+    """All reasons an ARCHIVE policy cannot run, and whether it is complete. An unknown format is unsupported.
 
     ``tables`` gives each table's key columns, the type of the policy's date column (NULL when there is no
     such column) and its application's zone.
@@ -52,7 +60,7 @@ def policy_validation(policies: DataFrame, tables: DataFrame, default_grace: int
         (archive & grace.isNull(), "grace_period_not_configured"),
         (archive & (grace < 0), "grace_period_negative"),
         (archive & F.coalesce("time_zone", "app_time_zone").isNull(), "time_zone_not_configured"),
-        (archive & (F.col("archive_format") != "csv.gz"), "archive_format_unsupported"),
+        (archive & unless(F.col("archive_format").isin(*formats)), "archive_format_unsupported"),
     )
     incomplete = archive & (F.size("reasons") > 0)
     return p.withColumn("reasons", found).select(
@@ -64,15 +72,16 @@ def policy_validation(policies: DataFrame, tables: DataFrame, default_grace: int
 def group_preflight(members: DataFrame) -> DataFrame:
     """Blocking reasons per table of a group.
 
-    ``members``: role, key_columns, date_column, date_type, reachable, on_cycle.
+    ``members``: role, key_columns, date_column, date_type, reachable, on_cycle. Unknown values block; a table of
+    unknown role is held to the rules of a root.
     """
-    root = F.col("role") == "root"
+    root = F.coalesce(F.col("role") == "root", F.lit(True))
     found = reasons(
-        (F.col("key_columns") != 1, "no_single_column_primary_key"),
+        (unless(F.col("key_columns") == 1), "no_single_column_primary_key"),
         (root & F.col("date_type").isNull(), "date_column_missing"),
         (root & ~type_predicate(F.col("date_type")), "date_column_not_temporal"),
-        (~F.col("reachable"), "not_reachable_from_root"),
-        (F.col("on_cycle"), "cycle"),
+        (unless(F.col("reachable")), "not_reachable_from_root"),
+        (unless(~F.col("on_cycle")), "cycle"),
     )
     return members.withColumn("reasons", found)
 
@@ -80,7 +89,7 @@ def group_preflight(members: DataFrame) -> DataFrame:
 def removal_eligibility(
     jobs: DataFrame, now: Column, environments: tuple[str, ...], max_age_minutes: int, enabled: bool, kill_switch: bool
 ) -> DataFrame:
-    """All reasons removal is refused.
+    """All reasons removal is refused. Whatever is unknown refuses it.
 
     ``jobs`` carries its application's environment, the latest verification, the hashes at freeze and now,
     the integrity of the frozen keys and the outcome of the approval chain.
@@ -93,14 +102,14 @@ def removal_eligibility(
 
     found = reasons(
         (F.lit(not enabled), "removal_disabled"),
-        (~F.col("environment").isin(*environments), "environment_not_allowed"),
+        (unless(F.col("environment").isin(*environments)), "environment_not_allowed"),
         (F.lit(kill_switch), "kill_switch_on"),
-        (F.col("mode") != REMOVAL_MODE, "verify_only_job"),
-        (~F.col("status").isin("deletion_approved", "deleting"), "status_not_approved"),
+        (unless(F.col("mode") == REMOVAL_MODE), "verify_only_job"),
+        (unless(F.col("status").isin("deletion_approved", "deleting")), "status_not_approved"),
         (~has_verification, "no_verification"),
         (~F.col("verified"), "verification_failed"),
-        (F.col("verified_attempt") != F.col("attempt"), "verification_of_other_attempt"),
-        (age > max_age_minutes, "verification_too_old"),
+        (has_verification & unless(F.col("verified_attempt") == F.col("attempt")), "verification_of_other_attempt"),
+        (has_verification & unless(age <= max_age_minutes), "verification_too_old"),
         (changed("schema_hash", "live_schema_hash"), "schema_changed"),
         (changed("graph_hash", "live_graph_hash"), "graph_changed"),
         (~F.coalesce("candidate_set_intact", F.lit(False)), "candidate_set_damaged"),
@@ -123,9 +132,9 @@ def removal_blockers(mode: Column, verified: Column, gaps: Column, kill_switch:
     """Why a job shown for review cannot remove anything; removal is switched off in every deployment."""
     return reasons(
         (F.lit(True), "removal_disabled"),
-        (mode != REMOVAL_MODE, "verify_only_job"),
-        (F.size(gaps) > 0, "approval_policy_incomplete"),
-        (kill_switch, "kill_switch_on"),
+        (unless(mode == REMOVAL_MODE), "verify_only_job"),
+        (unless(F.size(gaps) == 0), "approval_policy_incomplete"),
+        (unless(~kill_switch), "kill_switch_on"),
         (~F.coalesce(verified, F.lit(False)), "verification_not_passed"),
     )
 
@@ -154,12 +163,13 @@ def schedule_eligibility(candidates: DataFrame, scheduling_enabled: bool, allow_
         (usable & F.col("target_rows").isNull(), "target_not_configured"),
         (F.col("grace_days").isNull(), "grace_period_not_configured"),
         (F.col("time_zone").isNull(), "time_zone_not_configured"),
-        (~F.col("storage_available"), "storage_unavailable"),
+        (unless(F.col("storage_available")), "storage_unavailable"),
         (F.col("previous_verification") == "failed", "previous_verification_failed"),
+        (F.col("previous_verification").isNull(), "previous_verification_unknown"),
         ((F.col("previous_verification") == "none") & F.lit(not allow_first_run), "no_previous_verification"),
         (F.col("active_job").isNotNull(), "active_job_for_group"),
-        (F.col("capacity_level") == "UNKNOWN", "capacity_unknown"),
-        (~F.col("credentials_valid"), "credentials_invalid"),
+        (F.coalesce("capacity_level", F.lit("UNKNOWN")) == "UNKNOWN", "capacity_unknown"),
+        (unless(F.col("credentials_valid")), "credentials_invalid"),
     )
     return candidates.withColumn("reasons", found).withColumn("eligible", F.size("reasons") == 0)
 
@@ -179,10 +189,10 @@ def threshold_order_check(settings: DataFrame) -> DataFrame:
     c_low, c_medium, c_high = F.col("capacity_low"), F.col("capacity_medium"), F.col("capacity_high")
     rising = (c_low > 0) & (c_low < c_medium) & (c_medium < c_high) & (c_high <= 100)
     found = reasons(
-        (~(low > 0), "low_not_positive"),
-        (~(medium > low), "medium_not_above_low"),
-        (~(high > medium), "high_not_above_medium"),
-        (~rising, "capacity_levels_not_rising"),
+        (unless(low > 0), "low_not_positive"),
+        (unless(medium > low), "medium_not_above_low"),
+        (unless(high > medium), "high_not_above_medium"),
+        (unless(rising), "capacity_levels_not_rising"),
     )
     return settings.withColumn("reasons", found)
 

@@ -157,7 +157,7 @@ def run_gate(
     checks: list[tuple[str, str, bool, str]] = []
 
     def add(stage: str, name: str, passed: bool, detail: object = "") -> None:
-        checks.append((stage, name, bool(passed), str(detail)[:200]))
+        checks.append((stage, name, bool(passed), str(detail)))
 
     def finish() -> GateResult:
         failed = next((s for s in STAGES if any(c[0] == s and not c[2] for c in checks)), None)
@@ -173,13 +173,30 @@ def run_gate(
     for stage, step in zip(STAGES, steps):
         try:
             step(context, lambda name, ok, detail="": add(stage, name, ok, detail))
-        except Exception as error:  # an unreadable object is a failed check, not a failed run
+        except Exception as error:  # an unreadable object is a failed check, anything else a failed run
+            if not _unreadable(error):
+                raise
             add(stage, "readable", False, f"{type(error).__name__}: {error}")
         if failing():
             break
     return finish()
 
 
+# How Spark and the file systems say that a stored object cannot be read or parsed.
+UNREADABLE = (
+    "FAILED_READ_FILE", "MALFORMED", "PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA", "CANNOT_READ", "FileNotFoundException",
+    "is not a Parquet file", "EOFException", "ZipException", "incorrect header check", "not a gzip file", "BadRecordException",
+)
+
+
+def _unreadable(error: Exception) -> bool:
+    """Is the archive at fault? A lost executor or a full disk says nothing about it."""
+    text = str(error)
+    if "ExecutorLost" in text or "OutOfMemory" in text or "No space left" in text:
+        return False
+    return isinstance(error, (ValueError, KeyError, TypeError)) or any(x in text for x in UNREADABLE)
+
+
 def _created(c: dict, check) -> None:
     record: ArchiveRecord = c["record"]
     stored = object_metadata(c["spark"], record.path).withColumnRenamed("bytes", "_stored")
@@ -201,7 +218,7 @@ def _created(c: dict, check) -> None:
 
 def _integrity(c: dict, check) -> None:
     record: ArchiveRecord = c["record"]
-    check("manifest digest as recorded", c["manifest_sha"] == record.manifest_sha256, c["manifest_sha"][:16])
+    check("manifest digest as recorded", c["manifest_sha"] == record.manifest_sha256, c["manifest_sha"])
     now = object_checksums(c["spark"], record.path).select("object", F.col("sha256").alias("_now"))
     changed = record.objects.join(now, "object", "left").where(~F.col("sha256").eqNullSafe(F.col("_now"))).count()
     check("object digests as recorded", changed == 0, f"{changed} differ")
@@ -259,4 +276,4 @@ def _restore(c: dict, check) -> None:
 def _schema(c: dict, check) -> None:
     record = c["record"]
     check("manifest schema hash as recorded", c["manifest"]["schema_hash"] == record.schema_hash)
-    check("live schema unchanged", c["current"] == record.schema_hash, c["current"][:16])
+    check("live schema unchanged", c["current"] == record.schema_hash, c["current"])

@@ -65,8 +65,8 @@ class GroupPlan:
         return [self.links[t] for t in self.spec.tables if t in self.links and self.links[t].parent == table]
 
     def incoming(self, table: str) -> list[FkEdge]:
-        """Every foreign key, selected or not, that points at ``table``."""
-        return [e for e in self.edges if e.parent == table and e.child != table]
+        """Every foreign key, selected or not, that points at ``table``; its own too."""
+        return [e for e in self.edges if e.parent == table]
 
 
 class PlanBlocked(ValueError):
@@ -138,6 +138,8 @@ def plan_group(spec: GroupSpec, schemas: Mapping[str, T.StructType], edges: Sequ
     stuck = [t for t in spec.tables if t not in order]
     if stuck:
         blocking.append(f"cycle among {', '.join(stuck)}")
+    selfish = [e for e in edges if e.child == e.parent and e.child in spec.tables]
+    blocking += [f"cycle: {e.name} ({e.child} → itself)" for e in selfish]
     return GroupPlan(spec, links, tuple(edges), tuple(order), tuple(blocking), tuple(warnings))
 
 

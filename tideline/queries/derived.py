@@ -111,13 +111,13 @@ derive(
     "policies",
     """
 SELECT app_id, schema_name, table_name,
-       CASE WHEN estimated_rows % 3 = 0 THEN 'REVIEW_REQUIRED' WHEN estimated_rows % 7 = 1 THEN 'DO_NOT_ARCHIVE'
+       CASE WHEN estimated_rows % 5 = 0 THEN 'REVIEW_REQUIRED' WHEN estimated_rows % 7 = 1 THEN 'DO_NOT_ARCHIVE'
             ELSE 'ARCHIVE' END AS policy,
        CASE WHEN app_id % 8 = 3 THEN NULL ELSE 'created_at' END AS date_column,
        CASE WHEN app_id % 10 = 4 THEN NULL ELSE CAST(app_id % 13 AS INTEGER) END AS protected_months,
        CAST(CASE WHEN app_id % 14 = 5 THEN NULL ELSE app_id % 9 * 10000 END AS BIGINT) AS target_rows,
        CASE WHEN app_id % 3 = 0 THEN NULL ELSE CAST(app_id % 12 AS INTEGER) - 1 END AS grace_days,
-       CASE WHEN app_id % 21 = 2 THEN 'parquet' ELSE 'csv.gz' END AS archive_format,
+       CASE WHEN app_id % 21 = 2 THEN 'xlsx' WHEN app_id % 22 = 3 THEN NULL ELSE 'csv.gz' END AS archive_format,
        CASE WHEN app_id % 5 = 2 THEN 'Europe/Paris' ELSE NULL END AS time_zone,
        app_id % 6 <> 1 AS enabled,
        CASE WHEN table_name = 'order_items' OR table_name = 'audit_logs' THEN schema_name || '.orders' ELSE NULL END

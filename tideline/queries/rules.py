@@ -40,7 +40,10 @@ _POLICY_REASONS = reason_sql(
     ("policy = 'ARCHIVE' AND grace_days IS NULL", "grace_period_not_configured"),
     ("policy = 'ARCHIVE' AND grace_days < 0", "grace_period_negative"),
     ("policy = 'ARCHIVE' AND coalesce(p.time_zone, app_time_zone) IS NULL", "time_zone_not_configured"),
-    ("policy = 'ARCHIVE' AND archive_format <> 'csv.gz'", "archive_format_unsupported"),
+    (
+        "policy = 'ARCHIVE' AND coalesce(archive_format NOT IN ('parquet', 'csv.gz', 'jsonl.gz'), true)",
+        "archive_format_unsupported",
+    ),
 )
 check_table(
     "policy_reasons",
@@ -270,28 +273,37 @@ def gated(inputs: Inputs) -> DataFrame:
 
 
 _REMOVAL = reason_sql(
-    ("environment NOT IN ('synthetic')", "environment_not_allowed"),
-    ("mode <> 'ARCHIVE_VERIFY_DELETE'", "verify_only_job"),
-    ("status NOT IN ('deletion_approved', 'deleting')", "status_not_approved"),
+    ("coalesce(environment NOT IN ('synthetic'), true)", "environment_not_allowed"),
+    ("coalesce(mode <> 'ARCHIVE_VERIFY_DELETE', true)", "verify_only_job"),
+    ("coalesce(status NOT IN ('deletion_approved', 'deleting'), true)", "status_not_approved"),
     ("verified IS NULL", "no_verification"),
     ("NOT verified", "verification_failed"),
-    ("verified_attempt <> attempt", "verification_of_other_attempt"),
-    (f"verified_at < TIMESTAMP '{NOW}' - INTERVAL 525600 MINUTE", "verification_too_old"),
+    ("verified IS NOT NULL AND coalesce(verified_attempt <> attempt, true)", "verification_of_other_attempt"),
+    (
+        f"verified IS NOT NULL AND coalesce(verified_at < TIMESTAMP '{NOW}' - INTERVAL 525600 MINUTE, true)",
+        "verification_too_old",
+    ),
     ("coalesce(live_schema_hash <> schema_hash, true)", "schema_changed"),
     ("coalesce(live_graph_hash <> graph_hash, true)", "graph_changed"),
     ("NOT candidate_set_intact", "candidate_set_damaged"),
-    ("NOT authorized", "not_authorized"),
+    ("NOT coalesce(authorized, false)", "not_authorized"),
+)
+# Every input of the gate is unknown for some jobs.
+_UNKNOWN = (
+    ("environment", 31), ("mode", 37), ("status", 41), ("verified_attempt", 43), ("verified_at", 47), ("authorized", 53),
+)
+_WITH_UNKNOWNS = "SELECT * REPLACE ({}) FROM {{gated}}".format(
+    ", ".join(f"CASE WHEN job_id % {n} <> 0 THEN {c} END AS {c}" for c, n in _UNKNOWN)
 )
 
 
 @query(
     "removal_eligibility",
-    f"SELECT job_id, reasons, reasons = '' AS allowed FROM (SELECT job_id, {_REMOVAL} AS reasons FROM {{gated}})",
+    f"SELECT job_id, reasons, reasons = '' AS allowed FROM (SELECT job_id, {_REMOVAL} AS reasons FROM ({_WITH_UNKNOWNS}))",
 )
 def eligibility(inputs: Inputs) -> DataFrame:
-    checked = rules.removal_eligibility(
-        gated(inputs), F.lit(NOW).cast("timestamp_ntz"), ("synthetic",), 525_600, True, False
-    )
+    jobs = gated(inputs).withColumns({c: F.when(F.col("job_id") % n != 0, F.col(c)) for c, n in _UNKNOWN})
+    checked = rules.removal_eligibility(jobs, F.lit(NOW).cast("timestamp_ntz"), ("synthetic",), 525_600, True, False)
     return checked.select("job_id", joined(), "allowed")
 
 
@@ -432,7 +444,7 @@ SELECT app_id, CASE WHEN app_id % 5 = 0 THEN NULL ELSE 2 END AS required_approve
        CASE WHEN app_id % 7 = 0 THEN NULL ELSE true END AS excludes_creator,
        CASE WHEN app_id % 8 = 0 THEN NULL ELSE 30 END AS authorization_validity_minutes,
        CASE WHEN app_id % 9 = 0 THEN NULL ELSE '22:00' END AS removal_window,
-       app_id % 100 - 3 AS low, 40 + app_id % 50 AS medium, 60 + app_id % 20 AS high,
+       CASE WHEN app_id % 15 <> 0 THEN app_id % 100 - 3 END AS low, 40 + app_id % 50 AS medium, 60 + app_id % 20 AS high,
        app_id % 71 AS capacity_low, 50 + app_id % 30 AS capacity_medium, 60 + app_id % 45 AS capacity_high
 FROM {applications}
 """,
@@ -448,7 +460,7 @@ def settings(inputs: Inputs) -> DataFrame:
     return inputs.applications.select(
         "app_id", unless(5, 2).alias("required_approvers"), unless(6, 60).alias("approval_validity_minutes"),
         unless(7, True).alias("excludes_creator"), unless(8, 30).alias("authorization_validity_minutes"),
-        unless(9, "22:00").alias("removal_window"), (app % 100 - 3).alias("low"), (40 + app % 50).alias("medium"),
+        unless(9, "22:00").alias("removal_window"), F.when(app % 15 != 0, app % 100 - 3).alias("low"), (40 + app % 50).alias("medium"),
         (60 + app % 20).alias("high"), (app % 71).alias("capacity_low"), (50 + app % 30).alias("capacity_medium"),
         (60 + app % 45).alias("capacity_high"),
     )
@@ -471,9 +483,9 @@ def gaps(inputs: Inputs) -> DataFrame:
     "threshold_order_check",
     "SELECT app_id, "
     + reason_sql(
-        ("NOT low > 0", "low_not_positive"),
-        ("NOT medium > low", "medium_not_above_low"),
-        ("NOT high > medium", "high_not_above_medium"),
+        ("NOT coalesce(low > 0, false)", "low_not_positive"),
+        ("NOT coalesce(medium > low, false)", "medium_not_above_low"),
+        ("NOT coalesce(high > medium, false)", "high_not_above_medium"),
         (
             "NOT (capacity_low > 0 AND capacity_low < capacity_medium AND capacity_medium < capacity_high "
             "AND capacity_high <= 100)",
@@ -575,8 +587,7 @@ for _pattern, _replacement in (
 @query(
     "redact_text",
     f"""
-SELECT doc_id, CASE WHEN length(t) > 1000 THEN substring(t, 1, 1000) || '…' ELSE t END AS redacted
-FROM (SELECT doc_id, {_MASKED} AS t FROM {{documents}})
+SELECT doc_id, {_MASKED} AS redacted FROM {{documents}}
 """,
 )
 def masked(inputs: Inputs) -> DataFrame:
@@ -588,8 +599,8 @@ def masked(inputs: Inputs) -> DataFrame:
     f"SELECT doc_id, md5({_MASKED}) AS digest FROM {{documents}}",
 )
 def masked_whole(inputs: Inputs) -> DataFrame:
-    """The same masks without shortening, so secrets late in a long text are covered too."""
-    return inputs.documents.select("doc_id", F.md5(text.redact(F.col("text"), None)).alias("digest"))
+    """Digests of the masked texts."""
+    return inputs.documents.select("doc_id", F.md5(text.redact(F.col("text"))).alias("digest"))
 
 
 @query(

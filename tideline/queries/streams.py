@@ -153,8 +153,24 @@ def ledger(inputs: Inputs) -> DataFrame:
     return done.groupBy("job_id", "batch_no").agg(F.count(F.lit(1)).alias("runs"))
 
 
-@query("stream_suppress", "SELECT DISTINCT user_id, event_type FROM {events}")
+@query(
+    "stream_suppress",
+    """
+WITH RECURSIVE seen AS (SELECT DISTINCT user_id, event_type, epoch_us(ts) AS micros FROM {events}),
+following AS (
+  SELECT a.user_id, a.event_type, a.micros, min(b.micros) AS next_micros FROM seen a JOIN seen b
+    ON a.user_id = b.user_id AND a.event_type = b.event_type AND b.micros >= a.micros + 86400000000
+  GROUP BY 1, 2, 3
+), reported(user_id, event_type, micros) AS (
+  SELECT user_id, event_type, min(micros) FROM seen GROUP BY 1, 2
+  UNION ALL
+  SELECT r.user_id, r.event_type, f.next_micros FROM reported r JOIN following f
+    ON f.user_id = r.user_id AND f.event_type = r.event_type AND f.micros = r.micros
+)
+SELECT user_id, event_type, micros FROM reported
+""",
+)
 def suppressed(inputs: Inputs) -> DataFrame:
     stream = event_stream(inputs).withColumn("ts", jobs.utc_instant(F.col("ts")))
     kept = jobs.stream_suppress(stream, "ts", ["user_id", "event_type"], 24)
-    return drain(inputs, kept.select("user_id", "event_type"), "suppressed")
+    return drain(inputs, kept.select("user_id", "event_type", F.unix_micros("ts").alias("micros")), "suppressed")

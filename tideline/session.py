@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import os
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Sequence
 from concurrent.futures import ThreadPoolExecutor
@@ -13,8 +12,6 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_local_roots: dict[str, str] = {}
-
 
 def build_session(
     app_name: str = "tideline",
@@ -41,18 +38,9 @@ def build_session(
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
-
-    Only a local-mode session may fall back to a folder of this machine: on a cluster the executors
-    would not see it.
-    """
+    """The shared folder named by ``spark.checkpoint.dir``, or where that is unset one in the session's warehouse."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-    return _local_roots.setdefault(context.applicationId, tempfile.mkdtemp(prefix="tideline-"))
+    return (configured or os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "scratch")).rstrip("/")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -62,7 +50,6 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 PARALLEL_JOBS = 16
 SORTED_PARTITION_BYTES = 256 * 1024 * 1024
-MAX_SORTED_PARTITIONS = 50_000
 
 
 def estimated_bytes(df: DataFrame) -> int:
@@ -72,8 +59,7 @@ def estimated_bytes(df: DataFrame) -> int:
 
 def sorted_partitions(df: DataFrame) -> int:
     """How many range partitions to sort ``df`` in: the session's number, or more when its size asks for it."""
-    wanted = min(estimated_bytes(df) // SORTED_PARTITION_BYTES, MAX_SORTED_PARTITIONS)
-    return max(wanted, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return max(estimated_bytes(df) // SORTED_PARTITION_BYTES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

@@ -29,8 +29,8 @@ from tideline.operators.selection import Tables, daily_totals, selected_days
 from tideline.plans.group import GroupPlan, edges_frame, require_plannable
 from tideline.session import hadoop_path, in_parallel, materialize
 
-# Rows per file: keeps every object far below the size one binaryFile row can hold.
-ROWS_PER_FILE = 200_000
+# Files are cut by bytes, as measured on some rows: far below the size one binaryFile row can hold.
+FILE_BYTES, WIDTH_ROWS = 256 * 1024 * 1024, 1_000
 
 CSV_NULL = "\\N"
 CSV_OPTIONS = {
@@ -71,8 +71,14 @@ def discard_attempt(spark: SparkSession, path: str) -> None:
 # --- formats -----------------------------------------------------------------------------------------------
 
 
+def rows_per_file(df: DataFrame) -> int:
+    """How many rows as wide as the widest of ``WIDTH_ROWS`` make a file of ``FILE_BYTES``."""
+    width = df.limit(WIDTH_ROWS).agg(F.max(F.octet_length(F.to_json(F.struct("*"))))).first()[0]
+    return max(1, FILE_BYTES // max(1, width or 1))
+
+
 def write_parquet(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("maxRecordsPerFile", ROWS_PER_FILE).parquet(path)
+    df.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file(df)).parquet(path)
 
 
 def read_parquet(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -115,7 +121,7 @@ def write_csv_gz(df: DataFrame, path: str) -> None:
         elif isinstance(f.dataType, T.VariantType):
             column = F.to_json(column)
         columns.append(column.alias(f.name))
-    writer = df.select(*columns).write.mode("overwrite").option("maxRecordsPerFile", ROWS_PER_FILE)
+    writer = df.select(*columns).write.mode("overwrite").option("maxRecordsPerFile", rows_per_file(df))
     writer.options(**CSV_OPTIONS).option("compression", "gzip").csv(path)
 
 
@@ -141,7 +147,7 @@ _JSON_TIMES = {
 
 
 def write_jsonl_gz(df: DataFrame, path: str) -> None:
-    writer = df.write.mode("overwrite").option("maxRecordsPerFile", ROWS_PER_FILE).options(**_JSON_TIMES)
+    writer = df.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file(df)).options(**_JSON_TIMES)
     writer.option("ignoreNullFields", "false").option("compression", "gzip").json(path)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tideline.functions.days import column_type, local_day
@@ -17,6 +18,7 @@ from tideline.functions.severity import LEVELS, Thresholds
 from tideline.session import path_exists
 from tideline.sources.state import latest_wins, read_deltas, write_delta
 
+_AT = "_at_micros"
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -70,8 +72,28 @@ def classify_late(
 
 
 def stream_suppress(stream: DataFrame, column: str, keys: Sequence[str], hours: int) -> DataFrame:
-    """Drop repeats of the same key inside the suppression window."""
-    return stream.withWatermark(column, f"{hours} hours").dropDuplicatesWithinWatermark(list(keys))
+    """Report a key, then leave out its repeats until ``hours`` after the time that was reported.
+
+    The last reported time of each key is kept in state, so events that arrive in order are reported the same way
+    however they are split into batches. A late event is left out if it is within the window of the last report.
+    """
+    window = hours * 3_600_000_000
+
+    def report(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(frames).sort_values(_AT, kind="stable")
+        last = state.get[0] if state.exists else None
+        kept = []
+        for place, at in enumerate(rows[_AT].tolist()):
+            if last is None or abs(at - last) >= window:
+                kept.append(place)
+                last = at if last is None else max(last, at)
+        state.update((last,))
+        yield rows.iloc[kept].drop(columns=_AT)
+
+    timed = stream.withColumn(_AT, F.unix_micros(column))
+    return timed.groupBy(*keys).applyInPandasWithState(
+        report, stream.schema, "last long", "append", GroupStateTimeout.NoTimeout
+    )
 
 
 ALERT_OUTPUT = T.StructType(
