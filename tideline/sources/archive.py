@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from tideline.functions.fingerprint import FINGERPRINT_ALGORITHM, row_fingerprint
 from tideline.functions.hashes import graph_hash, schema_columns, schema_hash
-from tideline.operators.closure import group_rows
+from tideline.operators.closure import edge_condition, group_rows
 from tideline.operators.freeze import (
     PART,
     POSITION,
@@ -77,8 +77,10 @@ def rows_per_file(df: DataFrame) -> int:
     return max(1, FILE_BYTES // max(1, width or 1))
 
 
-def write_parquet(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file(df)).parquet(path)
+def write_parquet(df: DataFrame, path: str, like: DataFrame | None = None) -> None:
+    """``like`` has rows as wide, for a ``df`` that is too costly to look at twice."""
+    rows = rows_per_file(df if like is None else like)
+    df.write.mode("overwrite").option("maxRecordsPerFile", rows).parquet(path)
 
 
 def read_parquet(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -258,17 +260,33 @@ def load_record(spark: SparkSession, path: str) -> ArchiveRecord:
 
 
 def export_table(
-    plan: GroupPlan, tables: Tables, table: str, end_day: str, path: str, double_as: str | None = None
+    plan: GroupPlan, tables: Tables, table: str, rows: DataFrame, path: str, double_as: str | None = None
 ) -> None:
-    """Write one table's rows in key order.
+    """Write one table's selected ``rows`` in key order.
 
     Each row carries its place in that order and the fingerprint of its source row. Hashing comes after
     the sort, so sampling the key ranges does not hash every row a second time.
     """
-    rows = group_rows(plan, tables, table, end_day)
     placed = place_rows(rows, [plan.primary_key(table)])
     stamp = row_fingerprint(rows, double_as=double_as)
-    write_parquet(placed.withColumn(FROZEN_FP, stamp), f"{path}/data/{table}")
+    write_parquet(placed.withColumn(FROZEN_FP, stamp), f"{path}/data/{table}", tables[table])
+
+
+def selected_rows(plan: GroupPlan, tables: Tables, end_day: str) -> dict[str, DataFrame]:
+    """The rows of every table of the group. The keys that a table's children ask for are written once."""
+    rows: dict[str, DataFrame] = {}
+    keys: dict[str, DataFrame] = {}
+    for table in plan.export_order:
+        if table == plan.spec.root:
+            rows[table] = group_rows(plan, tables, table, end_day)
+        else:
+            edge = plan.links[table]
+            parents = keys[edge.parent].select(*edge.parent_columns)
+            rows[table] = tables[table].join(parents, edge_condition(tables[table], parents, edge), "left_semi")
+        asked = list(dict.fromkeys(c for e in plan.children(table) for c in e.parent_columns))
+        if asked:
+            keys[table] = materialize(rows[table].select(*asked), "selected")
+    return rows
 
 
 def record_keys(spark: SparkSession, plan: GroupPlan, schema: T.StructType, table: str, path: str) -> DataFrame:
@@ -320,9 +338,10 @@ def freeze_and_export(
     schemas = {t: tables[t].schema for t in spec.tables}
 
     write_schema_doc(spark, f"{path}/schema", schemas)
+    rows = selected_rows(plan, tables, end_day)
 
     def export(table: str) -> tuple[DataFrame, DataFrame]:
-        export_table(plan, tables, table, end_day, path, double_as)
+        export_table(plan, tables, table, rows[table], path, double_as)
         recorded = record_keys(spark, plan, schemas[table], table, path)
         write_parquet(recorded.drop("table_name"), f"{path}/keys/{table}")
         return recorded, materialize(chunk_digests(recorded, ["table_name"]), "chunks")
