@@ -255,13 +255,17 @@ FROM {lineitem}
 derive(
     "approvals",
     """
-SELECT line_id AS approval_id, order_id AS job_id, order_id % 3 + 1 AS attempt, line_id % 45 AS operator_id,
+SELECT line_id AS approval_id, order_id AS job_id, order_id % 3 + 1 - CASE WHEN line_id % 38 = 0 THEN 1 ELSE 0 END AS attempt,
+       line_id % 45 AS operator_id,
        CASE WHEN line_id % 12 = 0 THEN 'reject' ELSE 'approve' END AS decision,
        CASE WHEN line_id % 15 = 0 THEN shipped ELSE NULL END AS revoked_at,
        CASE WHEN line_id % 25 = 0 THEN NULL WHEN line_id % 4 = 1 THEN TIMESTAMP '2001-08-01 00:00:00'
             ELSE TIMESTAMP '2001-09-01 00:00:00' END AS expires_at,
-       'sha-' || CAST((order_id + CASE WHEN line_id % 18 = 0 THEN 1 ELSE 0 END) % 500 AS VARCHAR(20)) AS manifest_sha256
-FROM {order_lines}
+       'sha-' || CAST((order_id + CASE WHEN line_id % 18 = 0 THEN 1 ELSE 0 END) % 500 AS VARCHAR(20)) AS manifest_sha256,
+       CASE WHEN line_id % 26 = 0 THEN 'schema-x' WHEN line_id % 27 = 0 THEN NULL ELSE j.schema_hash END AS schema_hash,
+       CASE WHEN line_id % 34 = 0 THEN 'graph-x' ELSE j.graph_hash END AS graph_hash,
+       'set-' || CAST((order_id + CASE WHEN line_id % 22 = 0 THEN 1 ELSE 0 END) % 700 AS VARCHAR(20)) AS candidate_digest
+FROM {order_lines} JOIN {jobs} j ON j.job_id = order_id
 """,
 )
 

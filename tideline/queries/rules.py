@@ -10,7 +10,7 @@ from tideline.functions.severity import Thresholds
 from tideline.operators import graph, health, rules
 from tideline.queries.derived import NOW
 from tideline.queries.groups import LINE_EDGE, TABLE_EDGES
-from tideline.queries.registry import Inputs, check_table, query
+from tideline.queries.registry import BASE_TABLES, Inputs, check_table, query
 from tideline.session import materialize, scratch_path
 from tideline.sources import catalog, state
 
@@ -512,18 +512,16 @@ def shown_policies(inputs: Inputs) -> DataFrame:
     return named.select(*health.TABLE_KEY, health.policy_code(F.col("shown")).alias("code"), "shown")
 
 
-@query(
-    "archive_hints",
-    "SELECT app_id, table_name, "
-    + reason_sql(
-        (
-            "key_columns = 1 AND date_candidates > 0 AND (table_name LIKE '%log%' OR table_name LIKE '%attendance%')",
-            "event_like_name",
-        ),
-        ("key_columns = 1 AND date_candidates > 0 AND estimated_rows >= 100000", "large"),
-    )
-    + " AS hints FROM {tables}",
+_ARCHIVE_HINTS = reason_sql(
+    (
+        "key_columns = 1 AND date_candidates > 0 AND (table_name LIKE '%log%' OR table_name LIKE '%attendance%')",
+        "event_like_name",
+    ),
+    ("key_columns = 1 AND date_candidates > 0 AND estimated_rows >= 100000", "large"),
 )
+
+
+@query("archive_hints", f"SELECT app_id, table_name, {_ARCHIVE_HINTS} AS hints FROM {{tables}}")
 def hints(inputs: Inputs) -> DataFrame:
     counted = inputs.tables.withColumn("row_count", F.col("estimated_rows"))
     return rules.archive_hints(counted).select("app_id", "table_name", joined("hints"))
@@ -546,20 +544,22 @@ def table_edges(inputs: Inputs) -> DataFrame:
     return inputs.tables.select("app_id", name.alias("child"), parent.alias("parent")).where("parent IS NOT NULL")
 
 
-@query(
-    "protection_hints",
-    "SELECT app_id, table_name, children, "
-    + reason_sql(
-        ("children > 0 AND date_candidates = 0", "referenced_master_data"),
-        ("children > 0 AND date_candidates > 0", "parent_of_others"),
-        ("key_columns = 0", "no_primary_key"),
-        ("key_columns > 1", "composite_primary_key"),
-        ("table_name = 'members'", "identity_like_name"),
-    )
-    + """ AS hints FROM (
+_PROTECTION_HINTS = reason_sql(
+    ("children > 0 AND date_candidates = 0", "referenced_master_data"),
+    ("children > 0 AND date_candidates > 0", "parent_of_others"),
+    ("key_columns = 0", "no_primary_key"),
+    ("key_columns > 1", "composite_primary_key"),
+    ("table_name = 'members'", "identity_like_name"),
+)
+_WITH_CHILDREN = """
 SELECT t.*, coalesce(n, 0) AS children FROM {tables} t
 LEFT JOIN (SELECT app_id, parent, count(*) AS n FROM {table_edges} GROUP BY 1, 2) e
-  ON e.app_id = t.app_id AND e.parent = t.table_name)""",
+  ON e.app_id = t.app_id AND e.parent = t.table_name"""
+
+
+@query(
+    "protection_hints",
+    f"SELECT app_id, table_name, children, {_PROTECTION_HINTS} AS hints FROM (" + _WITH_CHILDREN + ")",
 )
 def protections(inputs: Inputs) -> DataFrame:
     found = rules.protection_hints(inputs.tables, table_edges(inputs))
@@ -630,27 +630,29 @@ def guarded_keys(inputs: Inputs) -> DataFrame:
 KEYS = {
     "orders": ("o_orderkey",), "customer": ("c_custkey",), "supplier": ("s_suppkey",), "part": ("p_partkey",),
     "events": ("event_id",), "documents": ("doc_id",), "nation": ("n_nationkey",), "region": ("r_regionkey",),
+    "embeddings": ("vec_id",), "pages": ("page_id",), "benchmark": ("item_id",), "labels": ("doc_id",),
+}
+# Date column and number of columns of every table, as the checks state them.
+_SHAPES = {
+    "orders": ("o_orderdate", 6), "lineitem": ("l_shipdate", 11), "customer": ("", 5), "supplier": ("", 4), "part": ("", 6),
+    "events": ("ts", 6), "documents": ("", 5), "nation": ("", 3), "region": ("", 2), "embeddings": ("", 3), "pages": ("", 3),
+    "benchmark": ("", 2), "labels": ("", 3), "conversations": ("", 4),
 }
-PROFILED = ("orders", "lineitem", "customer", "supplier", "part", "events", "documents")
 
 
-@query(
-    "catalog_join",
-    """
-SELECT 'orders' AS table_name, 'o_orderkey' AS primary_key, 6 AS columns, 'o_orderdate' AS date_candidates,
-       count(*) AS row_count, CAST(min(o_orderdate) AS VARCHAR) AS oldest, CAST(max(o_orderdate) AS VARCHAR) AS newest
-FROM {orders}
-UNION ALL SELECT 'lineitem', '', 11, 'l_shipdate', count(*), CAST(min(l_shipdate) AS VARCHAR),
-  CAST(max(l_shipdate) AS VARCHAR) FROM {lineitem}
-UNION ALL SELECT 'customer', 'c_custkey', 5, '', count(*), NULL, NULL FROM {customer}
-UNION ALL SELECT 'supplier', 's_suppkey', 4, '', count(*), NULL, NULL FROM {supplier}
-UNION ALL SELECT 'part', 'p_partkey', 6, '', count(*), NULL, NULL FROM {part}
-UNION ALL SELECT 'events', 'event_id', 6, 'ts', count(*), CAST(min(ts) AS VARCHAR), CAST(max(ts) AS VARCHAR) FROM {events}
-UNION ALL SELECT 'documents', 'doc_id', 5, '', count(*), NULL, NULL FROM {documents}
-""",
-)
+def _shape_sql(table: str) -> str:
+    day, columns = _SHAPES[table]
+    low, high = (f"CAST({f}({day}) AS VARCHAR)" if day else "NULL" for f in ("min", "max"))
+    key = ",".join(KEYS.get(table, ()))
+    return (
+        f"SELECT '{table}' AS table_name, '{key}' AS primary_key, {columns} AS columns, '{day}' AS date_candidates, "
+        f"count(*) AS row_count, {low} AS oldest, {high} AS newest FROM {{{table}}}"
+    )
+
+
+@query("catalog_join", " UNION ALL ".join(map(_shape_sql, BASE_TABLES)))
 def profiles(inputs: Inputs) -> DataFrame:
-    paths = {t: inputs.path(t) for t in PROFILED}
+    paths = {t: inputs.path(t) for t in BASE_TABLES}
     found = catalog.profile_catalog(inputs.spark, paths, KEYS)
     return found.select(
         "table_name", F.array_join("primary_key", ",").alias("primary_key"), "columns",
@@ -663,13 +665,11 @@ def profiles(inputs: Inputs) -> DataFrame:
     "SELECT table_name, n AS estimated_rows, "
     "CASE WHEN n <= 20000 OR abs(n - 500000) <= 25000 OR abs(n - 600000) <= 30000 OR abs(n - 700000) <= 35000 THEN n END "
     "AS exact_rows FROM ("
-    + " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n FROM {{{t}}}" for t in (
-        "orders", "lineitem", "customer", "supplier", "part", "events", "documents"
-    ))
+    + " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n FROM {{{t}}}" for t in BASE_TABLES)
     + ")",
 )
 def estimates(inputs: Inputs) -> DataFrame:
-    paths = {t: inputs.path(t) for t in PROFILED}
+    paths = {t: inputs.path(t) for t in BASE_TABLES}
     return catalog.estimate_then_exact(inputs.spark, paths, Thresholds(500_000, 600_000, 700_000), 20_000)
 
 
@@ -689,9 +689,8 @@ def stamps(inputs: Inputs) -> DataFrame:
 
 @query(
     "archive_report",
-    """
-SELECT app_id, schema_name, table_name, estimated_rows AS row_count, growth_status FROM {tables}
-""",
+    "SELECT app_id, schema_name, table_name, estimated_rows AS row_count, growth_status, avg_per_day, children, "
+    + _ARCHIVE_HINTS + " AS archive_hints, " + _PROTECTION_HINTS + " AS hints FROM (" + _WITH_CHILDREN + ")",
 )
 def report(inputs: Inputs) -> DataFrame:
     """The profile of every table with its hints, written as a table and read back."""
@@ -699,7 +698,9 @@ def report(inputs: Inputs) -> DataFrame:
     counted = inputs.tables.withColumn("row_count", F.col("estimated_rows"))
     hinted = rules.archive_hints(counted).withColumnRenamed("hints", "archive_hints")
     rules.protection_hints(hinted, table_edges(inputs)).write.parquet(path)
-    return inputs.spark.read.parquet(path).select(*health.TABLE_KEY, "row_count", "growth_status")
+    return inputs.spark.read.parquet(path).select(
+        *health.TABLE_KEY, "row_count", "growth_status", "avg_per_day", "children", joined("archive_hints"), joined("hints")
+    )
 
 
 @query(
