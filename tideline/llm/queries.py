@@ -97,7 +97,30 @@ def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, table(spark, folder, "labels")))
 
 
-@query("op2_warc")
+WARC_SQL = """
+WITH hashed AS (
+  SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS hex FROM pages
+), bits AS (
+  SELECT page_id, octet_length(encode(payload)) AS payload_bytes, hex, array_to_string(list_transform(string_split(hex, ''),
+      lambda c: ['0000', '0001', '0010', '0011', '0100', '0101', '0110', '0111', '1000', '1001', '1010', '1011', '1100', '1101',
+            '1110', '1111'][position(c IN '0123456789abcdef')]), '') AS b
+  FROM hashed
+), named AS (
+  SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      1 + substr(b, CAST(5 * i + 1 AS BIGINT), 1)::BIGINT * 16 + substr(b, CAST(5 * i + 2 AS BIGINT), 1)::BIGINT * 8
+        + substr(b, CAST(5 * i + 3 AS BIGINT), 1)::BIGINT * 4 + substr(b, CAST(5 * i + 4 AS BIGINT), 1)::BIGINT * 2
+        + substr(b, CAST(5 * i + 5 AS BIGINT), 1)::BIGINT, 1)), '') AS payload_digest,
+    min(page_id) OVER (PARTITION BY hex) AS first
+  FROM bits
+)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
+  CASE WHEN first IS NOT NULL AND (page_id IS NULL OR page_id > first) THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first IS NOT NULL AND (page_id IS NULL OR page_id > first) THEN first END AS refers_to
+FROM named
+"""
+
+
+@query("op2_warc", WARC_SQL)
 def op2_warc(spark: SparkSession, folder: str) -> DataFrame:
     found = warc.round_trip(table(spark, folder, "pages"))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
