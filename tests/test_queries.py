@@ -38,6 +38,9 @@ VALUES = {
     "ui_policy_map": None,
     "group_policy_join": None,
     "candidate_integrity": ("intact", {True, False}),
+    "new_table_flag": ("is_new", {True, False}),
+    "growth_average": ("spike_days", {1}),
+    "evidence_equal": ("same", {True, False}),
     "policy_validation": ("policy", {"ARCHIVE", "DO_NOT_ARCHIVE", "REVIEW_REQUIRED"}),
 }
 

@@ -34,6 +34,19 @@ GROUP BY l_orderkey, l_linenumber
 """,
 )
 
+# Shipments per return flag, with two days on which twenty times as many went out.
+derive(
+    "shipments",
+    """
+SELECT l_returnflag, l_shipdate FROM {lineitem}
+UNION ALL
+SELECT l_returnflag, l_shipdate FROM {lineitem}
+CROSS JOIN (VALUES (1), (2), (3), (4), (5), (6), (7), (8), (9), (10), (11), (12), (13), (14), (15), (16), (17), (18), (19))
+  AS copies(n)
+WHERE CAST(l_shipdate AS DATE) = DATE '2001-03-15' OR CAST(l_shipdate AS DATE) = DATE '2001-05-20'
+""",
+)
+
 # The orders as they look after a freeze: some edited, some gone, some arrived late inside the archived range.
 derive(
     "live_orders",

@@ -206,11 +206,15 @@ def severities(inputs: Inputs) -> DataFrame:
 @query(
     "new_table_flag",
     f"""
-SELECT app_id, table_name, first_discovered >= TIMESTAMP '{NOW}' - INTERVAL 7 DAY AS is_new FROM {{tables}}
+SELECT app_id, table_name, CASE WHEN app_id % 37 = 0 THEN TIMESTAMP '2001-08-10' ELSE first_discovered END
+         >= TIMESTAMP '{NOW}' - INTERVAL 7 DAY AS is_new
+FROM {{tables}}
 """,
 )
 def new_flags(inputs: Inputs) -> DataFrame:
-    flag = health.is_new_table(F.col("first_discovered"), now())
+    """Some applications were connected in the last week."""
+    recent = F.lit("2001-08-10").cast("timestamp_ntz")
+    flag = health.is_new_table(F.when(F.col("app_id") % 37 == 0, recent).otherwise(F.col("first_discovered")), now())
     return inputs.tables.select("app_id", "table_name", flag.alias("is_new"))
 
 
@@ -390,23 +394,30 @@ def rates(inputs: Inputs) -> DataFrame:
     )
 
 
+check_table(
+    "flag_daily",
+    f"SELECT l_returnflag, CAST(l_shipdate AS DATE) AS day, count(*) AS n FROM {{shipments}} WHERE {_WINDOW} GROUP BY 1, 2",
+)
+
+
 @query(
     "growth_average",
     """
-SELECT s.l_suppkey, 181 AS days, coalesce(n, 0) AS records_in_window,
+SELECT s.l_returnflag, 181 AS days, coalesce(n, 0) AS records_in_window,
        CAST(floor(coalesce(n, 0) / 181 + 0.5) AS BIGINT) AS avg_per_day, coalesce(k, 0) AS spike_days,
        CAST(floor((coalesce(n, 0) - coalesce(x, 0)) / greatest(1, 181 - coalesce(k, 0)) + 0.5) AS BIGINT)
          AS avg_without_spikes
-FROM (SELECT DISTINCT l_suppkey FROM {lineitem}) s
-LEFT JOIN (SELECT l_suppkey, CAST(sum(n) AS BIGINT) AS n FROM {supplier_daily} GROUP BY 1) d USING (l_suppkey)
-LEFT JOIN (SELECT d.l_suppkey, count(*) AS k, CAST(sum(n) AS BIGINT) AS x FROM {supplier_daily} d
-           JOIN (SELECT l_suppkey, list(n ORDER BY n)[count(*) // 2 + 1] AS median FROM {supplier_daily}
-                 GROUP BY 1 HAVING count(*) >= 7) m ON m.l_suppkey = d.l_suppkey AND n > 5 * median GROUP BY 1) k
-  USING (l_suppkey)
+FROM (SELECT DISTINCT l_returnflag FROM {lineitem}) s
+LEFT JOIN (SELECT l_returnflag, CAST(sum(n) AS BIGINT) AS n FROM {flag_daily} GROUP BY 1) d USING (l_returnflag)
+LEFT JOIN (SELECT d.l_returnflag, count(*) AS k, CAST(sum(n) AS BIGINT) AS x FROM {flag_daily} d
+           JOIN (SELECT l_returnflag, list(n ORDER BY n)[count(*) // 2 + 1] AS median FROM {flag_daily}
+                 GROUP BY 1 HAVING count(*) >= 7) m ON m.l_returnflag = d.l_returnflag AND n > 5 * median GROUP BY 1) k
+  USING (l_returnflag)
 """,
 )
 def averages(inputs: Inputs) -> DataFrame:
-    return growth.growth_average(supplier_daily(inputs), suppliers(inputs), TODAY, ["l_suppkey"])
+    daily = growth.growth_daily(inputs.shipments, "l_shipdate", ZONE, TODAY, ["l_returnflag"])
+    return growth.growth_average(daily, inputs.lineitem.select("l_returnflag").distinct(), TODAY, ["l_returnflag"])
 
 
 @query("spike_days", "SELECT l_suppkey, CAST(day AS VARCHAR) AS day, n, median FROM {supplier_spikes}")
