@@ -91,17 +91,13 @@ def _nested_columns(schema: T.StructType) -> list[str]:
     return [f.name for f in schema.fields if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
 
 
-def require_csv_faithful(df: DataFrame) -> None:
-    """Refuse rows CSV cannot carry: nested values, and text equal to the marker that stands for NULL."""
-    nested = _nested_columns(df.schema)
-    if nested:
-        raise UnfaithfulFormat(f"CSV cannot hold nested columns: {', '.join(nested)}")
-    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    if texts:
-        clash = df.agg(*(F.count_if(F.col(f"`{c}`") == CSV_NULL).alias(c) for c in texts)).first()
-        bad = [c for c in texts if clash[c]]
-        if bad:
-            raise UnfaithfulFormat(f"text equal to the NULL marker in: {', '.join(bad)}")
+CSV_CLASH = "text equal to the NULL marker in: "
+
+
+def csv_text(name: str) -> Column:
+    """A text column that fails the write where it equals the marker that stands for NULL."""
+    column = F.col(f"`{name}`")
+    return F.when(column == CSV_NULL, F.raise_error(F.lit(CSV_CLASH + name))).otherwise(column)
 
 
 def _csv_text_schema(schema: T.StructType) -> T.StructType:
@@ -114,7 +110,10 @@ def _csv_text_schema(schema: T.StructType) -> T.StructType:
 
 
 def write_csv_gz(df: DataFrame, path: str) -> None:
-    require_csv_faithful(df)
+    """Refuses what CSV cannot carry: nested values, and, while writing, text equal to the NULL marker."""
+    nested = _nested_columns(df.schema)
+    if nested:
+        raise UnfaithfulFormat(f"CSV cannot hold nested columns: {', '.join(nested)}")
     columns = []
     for f in df.schema.fields:
         column = F.col(f"`{f.name}`")
@@ -122,9 +121,16 @@ def write_csv_gz(df: DataFrame, path: str) -> None:
             column = F.base64(column)
         elif isinstance(f.dataType, T.VariantType):
             column = F.to_json(column)
+        elif isinstance(f.dataType, T.StringType):
+            column = csv_text(f.name)
         columns.append(column.alias(f.name))
     writer = df.select(*columns).write.mode("overwrite").option("maxRecordsPerFile", rows_per_file(df))
-    writer.options(**CSV_OPTIONS).option("compression", "gzip").csv(path)
+    try:
+        writer.options(**CSV_OPTIONS).option("compression", "gzip").csv(path)
+    except Exception as error:
+        if CSV_CLASH not in str(error):
+            raise
+        raise UnfaithfulFormat(CSV_CLASH + str(error).split(CSV_CLASH, 1)[1].split()[0]) from error
 
 
 def read_csv_gz(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
