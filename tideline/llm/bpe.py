@@ -229,7 +229,7 @@ def encoded(docs: DataFrame, per_text: Callable[[Bpe, np.ndarray], dict], schema
     return found.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], *[n for n, _ in fields])
 
 
-def by_bytes(batch: pa.RecordBatch, column: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def by_bytes(batch: pa.RecordBatch, column: int, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows whose texts have about ``most`` bytes, one row at least."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
     at = 0

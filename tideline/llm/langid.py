@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tideline.llm.bpe import by_bytes
 from tideline.llm.tokens import UNITS, Units
 
 VOCABULARY = "piece_bpe_32k.model"
@@ -247,8 +248,7 @@ def predict(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ("doc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge(shared.value)
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
+            for batch in by_bytes(whole, len(keep)):
                 languages, scores = judge.batch(batch.column(len(keep)).to_pylist())
                 columns = [*(batch.column(i) for i in range(len(keep))), pa.array(languages, pa.string()), pa.array(scores, pa.float64())]
                 yield pa.RecordBatch.from_arrays(columns, names=[*(f"k{i}" for i in range(len(keep))), "lang_pred", "score"])
@@ -265,8 +265,7 @@ def accepted(docs: DataFrame, model: LanguageModel, least: float = 0.5, text: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge(shared.value)
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
+            for batch in by_bytes(whole, place):
                 languages, scores = judge.batch(batch.column(place).to_pylist())
                 yield batch.filter(pa.array([x != UNDETERMINED and s >= least for x, s in zip(languages, scores)], pa.bool_()))
 

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tideline.llm.bpe import by_bytes
 from tideline.session import materialize
 
 BUCKETS = 1 << 16
@@ -166,7 +167,7 @@ def kept_rows(docs: DataFrame, model: Quality, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = shared.value
-        for batch in batches:
+        for batch in (part for whole in batches for part in by_bytes(whole, place)):
             texts = (v.as_py() for v in batch.column(place).cast(pa.binary()))
             yield batch.filter(pa.array([not fails_base(base_counts(t)) and held.score(t) >= held.threshold for t in texts], pa.bool_()))
 

@@ -369,10 +369,13 @@ def drop_near_duplicates(docs: DataFrame, bits: int = 9, width: int = 5, least:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [text_words(t.as_py()) for t in batch.column(2).cast(pa.binary())]
-            fps = pa.array([fingerprint(w, 2) for w in own], pa.int64())
-            sketches = pa.array([sketch(w, width) for w in own], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), fps, sketches], names=["doc_id", "text_id", "fp", "sketch"])
+            fps, sketches = [], []
+            for text in batch.column(2).cast(pa.binary()):
+                words = text_words(text.as_py())
+                fps.append(fingerprint(words, 2))
+                sketches.append(sketch(words, width))
+            made = [pa.array(fps, pa.int64()), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["doc_id", "text_id", "fp", "sketch"])
 
     rows = materialize(named.mapInArrow(run, "doc_id long, text_id long, fp long, sketch binary"), "fingerprints")
     texts = materialize(rows.groupBy("text_id").agg(F.first("fp").alias("fp"), F.first("sketch").alias("sketch")), "texts")
