@@ -6,7 +6,8 @@ widened until the wanted recall is reached. Visited leaves are joined with their
 exactly on the original vectors in double precision.
 
 Equal vectors are searched for, and as, one: of each distinct vector only the ``k + 1`` smallest ids can be among anyone's
-``k`` nearest. Leaves over ``GROUP_ROWS`` rows are dealt into several groups, each of which meets all of the leaf's queries.
+``k`` nearest. Neighbouring leaves share a group of about ``GROUP_ROWS`` rows, which keeps the ``k + 1`` nearest of each query
+that visits any of them; larger leaves are dealt into several groups, each of which meets all of the leaf's queries.
 """
 
 from __future__ import annotations
@@ -145,6 +146,56 @@ def _matrix(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
     return whole.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
 
 
+def deal_leaves(tree: Tree, sizes: dict[int, int], group_rows: int) -> tuple[dict[int, int], dict[int, int]]:
+    """First group and number of groups of every leaf that has rows.
+
+    Neighbouring leaves share a group of about ``group_rows`` rows; a larger leaf has several groups to itself.
+    """
+    first, parts, waiting, group, held = {}, {}, [0], 0, 0
+    while waiting:
+        node = waiting.pop()
+        waiting += range(tree.first[node] + tree.count[node] - 1, tree.first[node] - 1, -1) if tree.count[node] else []
+        size = sizes.get(node, 0)
+        if not size:
+            continue
+        if held and held + size > group_rows:
+            group, held = group + 1, 0
+        first[node], parts[node] = group, -(-size // group_rows)
+        if parts[node] > 1:
+            group, held = group + parts[node], 0
+        else:
+            held += size
+    return first, parts
+
+
+def _nearest_in_leaves(ids, mine, leaf_of, norms, names, theirs, query_of, leaves, most) -> tuple[np.ndarray, ...]:
+    """The ``most`` nearest of each query among the vectors of its leaves; vectors come sorted by leaf.
+
+    Blocks find candidates; their scores are then computed pair by pair, so equal vectors score equally.
+    """
+    own_norms = np.sqrt((theirs**2).sum(axis=1))
+    rows, cols = [], []
+    for leaf in np.unique(leaves):
+        low, high = np.searchsorted(leaf_of, [leaf, leaf + 1])
+        if low == high:
+            continue
+        asking = query_of[leaves == leaf]
+        rough = (theirs[asking] @ mine[low:high].T) / norms[low:high] / own_norms[asking, None]
+        keep = min(high - low, most)
+        floor = np.partition(rough, high - low - keep, axis=1)[:, high - low - keep] - 1e-9
+        row, col = np.nonzero(rough >= floor[:, None])
+        rows.append(asking[row])
+        cols.append(col + low)
+    if not rows:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    row, col = np.concatenate(rows), np.concatenate(cols)
+    exact = (theirs[row] * mine[col]).sum(axis=1) / (own_norms[row] * norms[col])
+    order = np.lexsort((ids[col], -exact, row))
+    row, col, exact = row[order], col[order], exact[order]
+    kept = np.arange(len(row)) - np.searchsorted(row, row) < most
+    return names[row[kept]], ids[col[kept]], exact[kept]
+
+
 def nearest(vectors: DataFrame, queries: Column, k: int = 5, sample_rows: int = SAMPLE_ROWS, leaf_rows: int = LEAF_ROWS,
             group_rows: int = GROUP_ROWS, recall: float = RECALL) -> DataFrame:
     """``query_id, rank, vec_id, score``: for each row of ``vectors(vec_id, embedding)`` that ``queries`` holds for, its
@@ -175,44 +226,55 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, sample_rows: int =
                 leaves = tree.value.assign(unit(_matrix(batch.column(1), width)))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(leaves)], names=["vec_id", "embedding", "leaf"])
 
+    kind = vectors.schema["embedding"].dataType.simpleString()
+    dealt = materialize(indexed.select("vec_id", "embedding").mapInArrow(assign, f"vec_id long, embedding {kind}, leaf long"), "leaves")
+    sizes = {r.leaf: r["count"] for r in dealt.groupBy("leaf").count().collect()}
+    first, parts = deal_leaves(tree.value, sizes, group_rows)
+
+    def of(values: dict[int, int]) -> Column:
+        return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])[F.col("leaf")]
+
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                found = tree.value.search(unit(_matrix(batch.column(1), width)), tree.value.visits)
-                rows = np.repeat(np.arange(batch.num_rows), [len(x) for x in found])
-                leaves = pa.array([leaf for x in found for leaf in x], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows)), leaves], names=["class", "asked", "leaf"])
-
-    kind = vectors.schema["embedding"].dataType.simpleString()
-    dealt = materialize(indexed.select("vec_id", "embedding").mapInArrow(assign, f"vec_id long, embedding {kind}, leaf long"), "leaves")
-    sizes = {r.leaf: -(-r["count"] // group_rows) for r in dealt.groupBy("leaf").count().collect()}
-    groups = F.try_element_at(F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair]), F.col("leaf")) if sizes else F.lit(None)
-    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(9)), groups))
-    visits = classes.select("class", "embedding").mapInArrow(visit, f"class long, asked {kind}, leaf long")
-    visits = visits.withColumn("part", F.explode(F.sequence(F.lit(0), groups - 1))).withColumn("part", F.col("part").cast("long"))
+                rows, groups, leaves = [], [], []
+                for row, found in enumerate(tree.value.search(unit(_matrix(batch.column(1), width)), tree.value.visits)):
+                    by_group: dict[int, list[int]] = {}
+                    for leaf in found:
+                        for group in range(first.get(leaf, 0), first.get(leaf, 0) + parts.get(leaf, 0)):
+                            by_group.setdefault(group, []).append(leaf)
+                    rows += [row] * len(by_group)
+                    groups += by_group.keys()
+                    leaves += by_group.values()
+                taken = [batch.column(i).take(pa.array(rows, pa.int64())) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays(
+                    [*taken, pa.array(groups, pa.int64()), pa.array(leaves, pa.list_(pa.int64()))], names=["class", "asked", "group", "leaves"]
+                )
+
+    if not sizes:
+        return empty
+    dealt = dealt.withColumn("group", of(first) + F.pmod(F.xxhash64("vec_id", F.lit(9)), of(parts)))
+    visits = classes.select("class", "embedding").mapInArrow(visit, f"class long, asked {kind}, group long, leaves array<long>")
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple] = []
         if left.num_rows and right.num_rows:
-            ids, mine, theirs = left.column("vec_id").to_numpy(), _matrix(left.column("embedding"), width), _matrix(right.column("asked"), width)
-            names = right.column("class").to_numpy()
-            norms, own_norms = np.sqrt((mine**2).sum(axis=1)), np.sqrt((theirs**2).sum(axis=1))
-            most = min(len(ids), k + 1)
-            for at in range(0, len(names), 512):
-                rough = (theirs[at : at + 512] @ mine.T) / norms / own_norms[at : at + 512, None]
-                floor = np.partition(rough, len(ids) - most, axis=1)[:, len(ids) - most] - 1e-9
-                rows, cols = np.nonzero(rough >= floor[:, None])
-                exact = (theirs[at + rows] * mine[cols]).sum(axis=1) / (own_norms[at + rows] * norms[cols])
-                order = np.lexsort((ids[cols], -exact, rows))
-                rows, cols, exact = rows[order], cols[order], exact[order]
-                place = np.arange(len(rows)) - np.searchsorted(rows, rows)
-                keep = place < most
-                out.append((names[at + rows[keep]], ids[cols[keep]], exact[keep]))
-        parts = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        return pa.table({"class": pa.array(parts[0], pa.int64()), "vec_id": pa.array(parts[1], pa.int64()), "score": pa.array(parts[2], pa.float64())})
-
-    met = dealt.groupBy("leaf", "part").cogroup(visits.groupBy("leaf", "part")).applyInArrow(compare, "class long, vec_id long, score double")
+            ids, mine, leaf_of = left.column("vec_id").to_numpy(), _matrix(left.column("embedding"), width), left.column("leaf").to_numpy()
+            order = np.argsort(leaf_of, kind="stable")
+            ids, mine, leaf_of = ids[order], mine[order], leaf_of[order]
+            norms = np.sqrt((mine**2).sum(axis=1))
+            for at in range(0, right.num_rows, 512):
+                block = right.slice(at, 512)
+                names, theirs = block.column("class").to_numpy(), _matrix(block.column("asked"), width)
+                asked_leaves = block.column("leaves").combine_chunks()
+                query_of = np.repeat(np.arange(len(names)), asked_leaves.value_lengths().to_numpy(zero_copy_only=False))
+                asked_leaves = asked_leaves.flatten().to_numpy(zero_copy_only=False)
+                out.append(_nearest_in_leaves(ids, mine, leaf_of, norms, names, theirs, query_of, asked_leaves, k + 1))
+        parts_ = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        return pa.table({"class": pa.array(parts_[0], pa.int64()), "vec_id": pa.array(parts_[1], pa.int64()), "score": pa.array(parts_[2], pa.float64())})
+
+    met = dealt.groupBy("group").cogroup(visits.groupBy("group")).applyInArrow(compare, "class long, vec_id long, score double")
     best = Window.partitionBy("class").orderBy(F.col("score").desc(), "vec_id")
     top = met.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1).drop("n")
     named = asked.join(classes, ["digest", "embedding"]).select(F.col("vec_id").alias("query_id"), "class")
