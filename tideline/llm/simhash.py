@@ -30,6 +30,8 @@ SEED = 42
 SAMPLE = 2048
 BUCKET = 20_000
 PROBE_COST, COMPARE_COST = 3.0, 0.01
+#: Parts are planned for this many rows at least: small inputs are looked up as finely as middling ones.
+PLAN_ROWS = 250_000
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 CHUNK = 1 << 20
 
@@ -280,7 +282,7 @@ def links(classes: DataFrame, bits: int = 4, bucket: int = BUCKET, near: int = 0
     share = min(0.5, SAMPLE / max(1, rows))
     drawn = classes.where((F.abs(F.xxhash64("fp", F.lit(7))) % 1_000_003) < int(share * 1_000_003)).select("fp").limit(2 * SAMPLE)
     sample = np.array([r.fp for r in drawn.collect()], np.int64).view(np.uint64)
-    found = probes(classes, plan_parts(sample, rows, bits))
+    found = probes(classes, plan_parts(sample, max(rows, PLAN_ROWS), bits))
     hot = found.groupBy("key").count().where(F.col("count") > bucket)
     hot = materialize(hot.select("key", F.ceil(F.col("count") / bucket).cast("long").alias("blocks")), "hot")
     if not hot.isEmpty():
