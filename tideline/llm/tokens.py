@@ -14,7 +14,7 @@ from functools import lru_cache
 
 import numpy as np
 
-UNITS = 300_000
+UNITS = 200_000
 CLEAN_BLANK = re.compile(r"(?<=\S) (?=\S)")
 #: Letters whose class is the same in every Unicode version, then marks that make one piece.
 PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ʯ]+)([.,!?;:]*)")
