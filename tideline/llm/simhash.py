@@ -382,22 +382,22 @@ def drop_near_duplicates(docs: DataFrame, bits: int = 9, width: int = 5, least:
     rows = materialize(named.mapInArrow(run, "doc_id long, text_id long, fp long, sketch binary"), "fingerprints")
     texts = materialize(rows.groupBy("text_id").agg(F.first("fp").alias("fp"), F.first("sketch").alias("sketch")), "texts")
     # A fingerprint that several texts have is stood for by two of them.
-    shown = F.array_distinct(F.array(F.min("text_id"), F.max("text_id"))).alias("shown")
-    classes = materialize(texts.groupBy("fp").agg(shown), "classes")
-    within = texts.select("text_id", "fp").join(classes, "fp").select(F.col("text_id").alias("a"), F.explode("shown").alias("b")).where("a <> b")
-    near = links(classes.select("fp"), bits, near=NEAR)
+    text = F.struct("text_id", "sketch")
+    classes = materialize(texts.groupBy("fp").agg(F.array_distinct(F.array(F.min(text), F.max(text))).alias("shown")), "classes")
+    within = texts.select(text.alias("left"), "fp").join(classes, "fp").select("left", F.explode("shown").alias("right"))
+    near = links(classes.select("fp"), bits, near=NEAR).select("a", "b").distinct()
     ends = [classes.select(F.col("fp").alias(x), F.col("shown").alias(f"{x}_shown")) for x in ("a", "b")]
-    between = near.join(ends[0], "a").join(ends[1], "b").select(F.explode("a_shown").alias("a"), "b_shown").select("a", F.explode("b_shown").alias("b"))
-    found = materialize(between.unionByName(within).distinct(), "candidates")
-    left = texts.select(F.col("text_id").alias("a"), F.col("sketch").alias("x"))
-    right = texts.select(F.col("text_id").alias("b"), F.col("sketch").alias("y"))
+    between = near.join(ends[0], "a").join(ends[1], "b").select(F.explode("a_shown").alias("left"), "b_shown")
+    pairs = within.unionByName(between.select("left", F.explode("b_shown").alias("right"))).select(
+        F.col("left.text_id").alias("a"), F.col("right.text_id").alias("b"), F.col("left.sketch").alias("x"), F.col("right.sketch").alias("y")
+    )
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = [similarity(x, y) >= least for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    held = found.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
+    held = pairs.where("a <> b").mapInArrow(verify, "a long, b long")
     label = components(held).withColumnRenamed("node", "text_id")
     members = rows.groupBy("text_id", "doc_id").agg(F.count(F.lit(1)).alias("copies")).join(label, "text_id", "left")
     members = members.withColumn("label", F.coalesce("label", "text_id"))
