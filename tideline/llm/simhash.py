@@ -273,6 +273,23 @@ def bucket_links(key: np.ndarray, fp: np.ndarray, probe: np.ndarray, bits: int,
     return own[a], own[b], apart
 
 
+def dealt(found: DataFrame, bucket: int, by: str) -> DataFrame:
+    """``found`` with the keys of over ``bucket`` rows split into pairs of blocks by the digest of ``by``."""
+    hot = found.groupBy("key").count().where(F.col("count") > bucket)
+    hot = materialize(hot.select("key", F.ceil(F.col("count") / bucket).cast("long").alias("blocks")), "hot")
+    if hot.isEmpty():
+        return found
+    own = F.pmod(F.xxhash64(by), F.col("blocks"))
+    blocked = (
+        found.join(hot, "key", "left")
+        .withColumn("own", own)
+        .withColumn("other", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))))
+    )
+    split = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
+    rest = [c for c in found.columns if c != "key"]
+    return blocked.select(F.when(F.col("blocks").isNull(), F.col("key")).otherwise(split).alias("key"), *rest)
+
+
 def links(classes: DataFrame, bits: int = 4, bucket: int = BUCKET, near: int = 0) -> DataFrame:
     """``a, b, apart``: links between distinct fingerprints ``fp`` that connect all pairs within ``bits`` bits.
 
@@ -283,17 +300,7 @@ def links(classes: DataFrame, bits: int = 4, bucket: int = BUCKET, near: int = 0
     drawn = classes.where((F.abs(F.xxhash64("fp", F.lit(7))) % 1_000_003) < int(share * 1_000_003)).select("fp").limit(2 * SAMPLE)
     sample = np.array([r.fp for r in drawn.collect()], np.int64).view(np.uint64)
     found = probes(classes, plan_parts(sample, max(rows, PLAN_ROWS), bits))
-    hot = found.groupBy("key").count().where(F.col("count") > bucket)
-    hot = materialize(hot.select("key", F.ceil(F.col("count") / bucket).cast("long").alias("blocks")), "hot")
-    if not hot.isEmpty():
-        own = F.pmod(F.xxhash64("fp"), F.col("blocks"))
-        dealt = (
-            found.join(hot, "key", "left")
-            .withColumn("own", own)
-            .withColumn("other", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))))
-        )
-        split = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
-        found = dealt.select(F.when(F.col("blocks").isNull(), F.col("key")).otherwise(split).alias("key"), "fp", "probe")
+    found = dealt(found, bucket, "fp")
     lined = found.repartition("key").sortWithinPartitions("key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -340,65 +347,186 @@ def near_duplicates(docs: DataFrame, width: int = 4, bits: int = 4, text: str =
     return rows.join(by_class, "fp").select("doc_id", "fp", "component_id")
 
 
-SKETCH, NEAR = 256, 4
+NEAR = 4
+COMMON_DOCS, COMMON_SEEN, COMMON_MOST = 2000, 3, 50_000
 
 
-def sketch(words: list[bytes], width: int, size: int = SKETCH) -> bytes:
-    """The ``size`` smallest distinct hashes of the shingles, cut to 32 bits, in order."""
-    hashes = shingle_hashes(words, width)
-    return np.unique(hashes[:, :4].copy().view(">u4").ravel())[:size].astype("<u4").tobytes()
+def shingle_set(words: list[bytes], width: int) -> np.ndarray:
+    """The distinct hashes of the shingles, in order."""
+    return np.unique(shingle_hashes(words, width).copy().view(">u8").ravel().astype(np.uint64))
+
+
+def similar(x: np.ndarray, y: np.ndarray, least: float) -> bool:
+    """Whether whole sets share ``least`` of all they have; empty sets are alike."""
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return common >= least * (len(x) + len(y) - common)
+
+
+def prefix(own: np.ndarray, common: np.ndarray, least: float) -> np.ndarray:
+    """The hashes of which two sets similar to ``least`` share one: those before the last ``least`` of the set, and one
+    more. All sets are in one order, ``common`` hashes last; which they are only moves cost. Empty sets share a 0."""
+    if not len(own):
+        return np.zeros(1, np.uint64)
+    often = np.isin(own, common, assume_unique=True)
+    return np.concatenate((own[~often], own[often]))[: len(own) - int(np.ceil(least * len(own) - 1e-9)) + 1]
 
 
-def similarity(a: bytes, b: bytes, size: int = SKETCH) -> float:
-    """Share of common shingles among all: exact where both have at most ``size``, else estimated from the smallest."""
-    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
-    both = np.union1d(x, y)[:size]
-    if not len(both):
-        return 1.0
-    return float(np.isin(both, np.intersect1d(x, y, assume_unique=True), assume_unique=True).mean())
+def common_shingles(docs: DataFrame, width: int) -> np.ndarray:
+    """Shingles that several texts of a bounded sample have."""
+    texts = docs.where("text IS NOT NULL").select("text_id", "text")
+    share = min(1.0, 2 * COMMON_DOCS / max(1, texts.count()))
+    drawn = texts.where(F.pmod(F.xxhash64("text_id", F.lit(3)), F.lit(1_000_003)) < int(share * 1_000_003)).limit(COMMON_DOCS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
+                own = shingle_set(text_words(text.as_py()), width).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), text_id)), pa.array(own)], names=["text_id", "key"])
+
+    seen = drawn.mapInArrow(run, "text_id long, key long").distinct().groupBy("key").count().where(F.col("count") >= COMMON_SEEN)
+    listed = seen.orderBy(F.col("count").desc(), "key").limit(COMMON_MOST).collect()
+    return np.sort(np.array([r.key for r in listed], np.int64).view(np.uint64))
+
+
+def held_pairs(pairs: DataFrame, docs: DataFrame, width: int, least: float) -> DataFrame:
+    """``a, b`` of those ``pairs`` of text ids whose whole shingle sets are similar to ``least``."""
+    pairs = materialize(pairs.distinct(), "pairs")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("text_id")).distinct()
+    texts = docs.join(ids, "text_id", "left_semi").groupBy("text_id").agg(F.first("text").alias("text"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(text_words(t.as_py()), width).tobytes() for t in batch.column(1).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["text_id", "shingles"])
+
+    sets = materialize(texts.mapInArrow(cut, "text_id long, shingles binary"), "shingles")
+    ends = [sets.select(F.col("text_id").alias(x), F.col("shingles").alias(f"{x}_set")) for x in ("a", "b")]
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = zip(*([np.frombuffer(v.as_buffer(), np.uint64) for v in batch.column(i)] for i in (2, 3)))
+            yield batch.select([0, 1]).filter(pa.array([similar(x, y, least) for x, y in both], pa.bool_()))
+
+    joined = pairs.join(ends[0], "a").join(ends[1], "b").select("a", "b", "a_set", "b_set")
+    return joined.mapInArrow(verify, "a long, b long")
+
+
+def open_pairs(label: np.ndarray, n: np.ndarray, place: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of one bucket that may be similar to ``least`` and are not connected yet.
+
+    A similar pair has sizes within ``least`` of each other and, in the bucket of the first hash that both have, enough
+    hashes left on both sides.
+    """
+    labels, group, sizes = np.unique(label, return_inverse=True, return_counts=True)
+    if len(labels) < 2:
+        return
+    # Rows of the largest label only meet the others.
+    largest = group == sizes.argmax()
+    rows = np.concatenate((np.flatnonzero(~largest), np.flatnonzero(largest)))
+    group, n, left, first = group[rows], n[rows], (n - place)[rows], int((~largest).sum())
+    block = max(1, CHUNK // len(rows))
+    for at in range(0, first, block):
+        i = np.arange(at, min(first, at + block))
+        fits = (np.arange(len(rows))[None, :] > i[:, None]) & (group[i, None] != group[None, :])
+        fits &= np.minimum(n[i, None], n[None, :]) >= least * np.maximum(n[i, None], n[None, :]) - 1e-6
+        fits &= np.minimum(left[i, None], left[None, :]) >= least / (1 + least) * (n[i, None] + n[None, :]) - 1e-6
+        x, y = np.nonzero(fits)
+        yield rows[i[x]], rows[y]
+
+
+def missing_pairs(texts: DataFrame, least: float, bucket: int = BUCKET) -> DataFrame:
+    """``a, b``: pairs of ``texts(text_id, label, n, prefix)`` with different labels, among them all similar to ``least``."""
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                some = batch.slice(at, 256)
+                own = [np.frombuffer(v.as_buffer(), np.int64) for v in some.column(3)]
+                times = np.array([len(x) for x in own])
+                ids, label, n = (np.repeat(some.column(i).to_numpy(zero_copy_only=False), times) for i in range(3))
+                place = np.concatenate([np.arange(x) for x in times])
+                arrays = [pa.array(np.concatenate(own)), pa.array(ids), pa.array(label), pa.array(n), pa.array(place.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["key", "text_id", "label", "n", "place"])
+
+    made = texts.select("text_id", "label", "n", "prefix").mapInArrow(keys, "key long, text_id long, label long, n int, place int")
+    lined = dealt(made, bucket, "text_id").repartition("key").sortWithinPartitions("key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def flush(last: bool):
+            nonlocal held
+            columns = [np.concatenate(x) for x in zip(*held)]
+            key = columns[0]
+            cut = len(key) if last else int(np.searchsorted(key, key[-1]))
+            held = [tuple(c[cut:] for c in columns)]
+            if not cut:
+                return
+            edges = np.flatnonzero(np.concatenate(([True], key[1:cut] != key[: cut - 1], [True])))
+            low, high = (f.reduceat(columns[2][:cut], edges[:-1]) for f in (np.minimum, np.maximum))
+            several = np.flatnonzero(low != high)
+            for start, end in zip(edges[several], edges[several + 1]):
+                _, ids, label, n, place = (c[start:end] for c in columns)
+                for i, j in open_pairs(label, n, place, least):
+                    a, b = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        for batch in batches:
+            held.append(tuple(c.to_numpy(zero_copy_only=False) for c in batch.columns))
+            if sum(len(x[0]) for x in held) > CHUNK:
+                yield from flush(False)
+        if held:
+            yield from flush(True)
+
+    return lined.mapInArrow(run, "a long, b long")
 
 
 def drop_near_duplicates(docs: DataFrame, bits: int = 9, width: int = 5, least: float = 0.8) -> DataFrame:
     """One row of each group of near duplicates of ``docs(doc_id, text, ...)``: that with the smallest id.
 
-    Candidates have fingerprints of word pairs within ``bits`` bits: one changed word changes two pairs but five
-    shingles of five words, so documents of the wanted similarity stay within reach. A candidate link holds if the
-    ``width``-word shingles of both texts are similar to ``least``; besides a spanning forest of the candidates, the
-    ``NEAR`` shortest links of each text are tested, as a forest alone may run over links that fail. Equal texts are one text; texts without words are
-    alike. Null ids come last; of rows equal in id and text one stays.
+    Texts are linked if their whole sets of ``width``-word shingles are similar to ``least``, and groups are all that
+    links connect. Fingerprints of word pairs within ``bits`` bits come first: a spanning forest of them and the
+    ``NEAR`` shortest links of each are tested, which joins most of every large group. What may still be missing
+    between two groups so found comes from shingles: two similar texts share one of the first fifth of their hashes,
+    so every such pair is met and tested, whatever its fingerprints are. Equal texts are one text; texts without words
+    are alike. Null ids come last; of rows equal in id and text one stays.
     """
     named = docs.select("doc_id", F.xxhash64("text", F.lit(1)).alias("text_id"), "text")
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(named, width))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, sketches = [], []
+            fps, sizes, prefixes = [], [], []
             for text in batch.column(2).cast(pa.binary()):
                 words = text_words(text.as_py())
+                own = shingle_set(words, width)
                 fps.append(fingerprint(words, 2))
-                sketches.append(sketch(words, width))
-            made = [pa.array(fps, pa.int64()), pa.array(sketches, pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["doc_id", "text_id", "fp", "sketch"])
-
-    rows = materialize(named.mapInArrow(run, "doc_id long, text_id long, fp long, sketch binary"), "fingerprints")
-    texts = materialize(rows.groupBy("text_id").agg(F.first("fp").alias("fp"), F.first("sketch").alias("sketch")), "texts")
-    # A fingerprint that several texts have is stood for by two of them.
-    text = F.struct("text_id", "sketch")
+                sizes.append(len(own))
+                prefixes.append(prefix(own, common.value, least).tobytes())
+            made = [pa.array(fps, pa.int64()), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["doc_id", "text_id", "fp", "n", "prefix"])
+
+    rows = materialize(named.mapInArrow(run, "doc_id long, text_id long, fp long, n int, prefix binary"), "fingerprints")
+    firsts = [F.first(c).alias(c) for c in ("fp", "n", "prefix")]
+    texts = materialize(rows.groupBy("text_id").agg(*firsts), "texts")
+    # A fingerprint that several texts have is stood for by two of them here.
+    text = F.struct("text_id", "n")
     classes = materialize(texts.groupBy("fp").agg(F.array_distinct(F.array(F.min(text), F.max(text))).alias("shown")), "classes")
     within = texts.select(text.alias("left"), "fp").join(classes, "fp").select("left", F.explode("shown").alias("right"))
     near = links(classes.select("fp"), bits, near=NEAR).select("a", "b").distinct()
     ends = [classes.select(F.col("fp").alias(x), F.col("shown").alias(f"{x}_shown")) for x in ("a", "b")]
     between = near.join(ends[0], "a").join(ends[1], "b").select(F.explode("a_shown").alias("left"), "b_shown")
-    pairs = within.unionByName(between.select("left", F.explode("b_shown").alias("right"))).select(
-        F.col("left.text_id").alias("a"), F.col("right.text_id").alias("b"), F.col("left.sketch").alias("x"), F.col("right.sketch").alias("y")
-    )
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = [similarity(x, y) >= least for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    held = pairs.where("a <> b").mapInArrow(verify, "a long, b long")
-    label = components(held).withColumnRenamed("node", "text_id")
+    pairs = within.unionByName(between.select("left", F.explode("b_shown").alias("right")))
+    pairs = pairs.where(F.least("left.n", "right.n") >= least * F.greatest("left.n", "right.n") - 1e-6)
+    pairs = pairs.select(F.least("left.text_id", "right.text_id").alias("a"), F.greatest("left.text_id", "right.text_id").alias("b"))
+    label = components(held_pairs(pairs.where("a <> b"), named, width, least)).withColumnRenamed("node", "text_id")
+    texts = texts.select("text_id", "n", "prefix").join(label, "text_id", "left").withColumn("label", F.coalesce("label", "text_id"))
+    texts = materialize(texts, "labelled")
+    rest = held_pairs(missing_pairs(texts, least), named, width, least)
+    for x in ("a", "b"):
+        rest = rest.join(texts.select(F.col("text_id").alias(x), F.col("label").alias(f"{x}_label")), x)
+    whole = components(rest.select(F.col("a_label").alias("a"), F.col("b_label").alias("b"))).select(F.col("node").alias("label"), F.col("label").alias("to"))
+    label = texts.select("text_id", "label").join(whole, "label", "left").select("text_id", F.coalesce("to", "label").alias("label"))
     members = rows.groupBy("text_id", "doc_id").agg(F.count(F.lit(1)).alias("copies")).join(label, "text_id", "left")
     members = members.withColumn("label", F.coalesce("label", "text_id"))
     order = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "text_id", "copies")
