@@ -33,3 +33,11 @@ def test_partners_in_a_group_of_one_fingerprint(spark):
     texts = bases + [[*b[:-1], "changed"] for b in bases]
     assert len({simhash.fingerprint([w.encode() for w in t], 2) for t in texts}) == 1
     assert wanted(texts) == set(range(20)) == kept(spark, texts)
+
+
+def test_appended_and_cut_blocks(spark):
+    rng = np.random.default_rng(2)
+    bases = [words(rng, 200) for _ in range(60)]
+    texts = bases + [b + words(rng, 48) for b in bases[:30]] + [b[42:] if i % 2 else b[:160] for i, b in enumerate(bases[30:])]
+    want = wanted(texts)
+    assert len(want) < 100 and want == kept(spark, texts)
