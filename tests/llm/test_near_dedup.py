@@ -41,3 +41,11 @@ def test_appended_and_cut_blocks(spark):
     texts = bases + [b + words(rng, 48) for b in bases[:30]] + [b[42:] if i % 2 else b[:160] for i, b in enumerate(bases[30:])]
     want = wanted(texts)
     assert len(want) < 100 and want == kept(spark, texts)
+
+
+def test_long_texts_are_compared_whole(spark):
+    rng = np.random.default_rng(3)
+    bases = [words(rng, 1504) for _ in range(40)]
+    texts = bases + [b + words(rng, 365 if i % 2 else 385) for i, b in enumerate(bases)]
+    want = wanted(texts)
+    assert want == set(range(40)) | set(range(40, 80, 2)) and want == kept(spark, texts)
