@@ -388,18 +388,38 @@ def common_shingles(docs: DataFrame, width: int) -> np.ndarray:
     return np.sort(np.array([r.key for r in listed], np.int64).view(np.uint64))
 
 
-def held_pairs(pairs: DataFrame, docs: DataFrame, width: int, least: float) -> DataFrame:
-    """``a, b`` of those ``pairs`` of text ids whose whole shingle sets are similar to ``least``."""
-    pairs = materialize(pairs.distinct(), "pairs")
+def cells(own: np.ndarray) -> bytes:
+    """How many hashes of a set end in each of 64 ways."""
+    return np.bincount((own & np.uint64(63)).astype(np.int64), minlength=64).astype("<u4").tobytes()
+
+
+def held_pairs(pairs: DataFrame, texts: DataFrame, docs: DataFrame, width: int, least: float) -> DataFrame:
+    """``a, b`` of those ``pairs`` of text ids whose whole shingle sets are similar to ``least``.
+
+    Two sets share at most the smaller count of each of their ``cells``; pairs that even so stay below are left out
+    before whole sets are made.
+    """
+    counted = pairs.distinct()
+    for x in ("a", "b"):
+        counted = counted.join(texts.select(F.col("text_id").alias(x), F.col("cells").alias(f"{x}_cells")), x)
+
+    def may(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.array([np.frombuffer(v.as_buffer(), "<u4") for v in batch.column(i)], np.int64).reshape(-1, 64) for i in (2, 3))
+            common = np.minimum(x, y).sum(axis=1)
+            yield batch.select([0, 1]).filter(pa.array(common >= least * (x.sum(axis=1) + y.sum(axis=1) - common) - 1e-6))
+
+    counted = counted.select("a", "b", "a_cells", "b_cells").mapInArrow(may, "a long, b long")
+    pairs = materialize(counted, "pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("text_id")).distinct()
-    texts = docs.join(ids, "text_id", "left_semi").groupBy("text_id").agg(F.first("text").alias("text"))
+    needed = docs.join(ids, "text_id", "left_semi").groupBy("text_id").agg(F.first("text").alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(text_words(t.as_py()), width).tobytes() for t in batch.column(1).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["text_id", "shingles"])
 
-    sets = materialize(texts.mapInArrow(cut, "text_id long, shingles binary"), "shingles")
+    sets = materialize(needed.mapInArrow(cut, "text_id long, shingles binary"), "shingles")
     ends = [sets.select(F.col("text_id").alias(x), F.col("shingles").alias(f"{x}_set")) for x in ("a", "b")]
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -496,18 +516,19 @@ def drop_near_duplicates(docs: DataFrame, bits: int = 9, width: int = 5, least:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, sizes, prefixes = [], [], []
+            fps, sizes, prefixes, counts = [], [], [], []
             for text in batch.column(2).cast(pa.binary()):
                 words = text_words(text.as_py())
                 own = shingle_set(words, width)
                 fps.append(fingerprint(words, 2))
                 sizes.append(len(own))
                 prefixes.append(prefix(own, common.value, least).tobytes())
-            made = [pa.array(fps, pa.int64()), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["doc_id", "text_id", "fp", "n", "prefix"])
+                counts.append(cells(own))
+            made = [pa.array(fps, pa.int64()), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.binary()), pa.array(counts, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["doc_id", "text_id", "fp", "n", "prefix", "cells"])
 
-    rows = materialize(named.mapInArrow(run, "doc_id long, text_id long, fp long, n int, prefix binary"), "fingerprints")
-    firsts = [F.first(c).alias(c) for c in ("fp", "n", "prefix")]
+    rows = materialize(named.mapInArrow(run, "doc_id long, text_id long, fp long, n int, prefix binary, cells binary"), "fingerprints")
+    firsts = [F.first(c).alias(c) for c in ("fp", "n", "prefix", "cells")]
     texts = materialize(rows.groupBy("text_id").agg(*firsts), "texts")
     # A fingerprint that several texts have is stood for by two of them here.
     text = F.struct("text_id", "n")
@@ -519,10 +540,10 @@ def drop_near_duplicates(docs: DataFrame, bits: int = 9, width: int = 5, least:
     pairs = within.unionByName(between.select("left", F.explode("b_shown").alias("right")))
     pairs = pairs.where(F.least("left.n", "right.n") >= least * F.greatest("left.n", "right.n") - 1e-6)
     pairs = pairs.select(F.least("left.text_id", "right.text_id").alias("a"), F.greatest("left.text_id", "right.text_id").alias("b"))
-    label = components(held_pairs(pairs.where("a <> b"), named, width, least)).withColumnRenamed("node", "text_id")
-    texts = texts.select("text_id", "n", "prefix").join(label, "text_id", "left").withColumn("label", F.coalesce("label", "text_id"))
+    label = components(held_pairs(pairs.where("a <> b"), texts, named, width, least)).withColumnRenamed("node", "text_id")
+    texts = texts.select("text_id", "n", "prefix", "cells").join(label, "text_id", "left").withColumn("label", F.coalesce("label", "text_id"))
     texts = materialize(texts, "labelled")
-    rest = held_pairs(missing_pairs(texts, least), named, width, least)
+    rest = held_pairs(missing_pairs(texts, least), texts, named, width, least)
     for x in ("a", "b"):
         rest = rest.join(texts.select(F.col("text_id").alias(x), F.col("label").alias(f"{x}_label")), x)
     whole = components(rest.select(F.col("a_label").alias("a"), F.col("b_label").alias("b"))).select(F.col("node").alias("label"), F.col("label").alias("to"))
