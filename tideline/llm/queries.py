@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import ann, bpe, langid, mixing, pages, quality, simhash, tokenfile, urls, warc
+from tideline.llm import ann, bpe, langid, mixing, pages, quality, simhash, spelling, tokenfile, urls, warc
 from tideline.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -141,3 +141,8 @@ def op5_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
 def op4_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     found = table(spark, folder, "pages")
     return pages.extract(found, pages.fit(found))
+
+
+@query("op11_spelling_variants")
+def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variant_groups(spelling.corpus_words(table(spark, folder, "documents")))
