@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import ann, bpe, langid, mixing, negatives, pages, quality, simhash, spelling, tokenfile, urls, warc
+from tideline.llm import ann, bpe, langid, lm, mixing, negatives, pages, quality, simhash, spelling, tokenfile, urls, warc
 from tideline.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -173,3 +173,8 @@ QUALIFY row_number() OVER w <= 3
 def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return negatives.hard_negatives(table(spark, folder, "embeddings"), F.col("id") % 50 == 0, label)
+
+
+@query("op13_lm_scoring")
+def op13_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return lm.score(table(spark, folder, "documents"))
