@@ -35,15 +35,14 @@ GROUP BY l_orderkey, l_linenumber
 )
 
 # Shipments per return flag, with two days on which twenty times as many went out.
+SPIKE_DAYS, SPIKE_COPIES = ("2001-03-15", "2001-05-20"), 19
+_COPIES = ", ".join(f"(DATE '{day}', {n})" for day in SPIKE_DAYS for n in range(SPIKE_COPIES))
 derive(
     "shipments",
-    """
-SELECT l_returnflag, l_shipdate FROM {lineitem}
+    f"""
+SELECT l_returnflag, l_shipdate FROM {{lineitem}}
 UNION ALL
-SELECT l_returnflag, l_shipdate FROM {lineitem}
-CROSS JOIN (VALUES (1), (2), (3), (4), (5), (6), (7), (8), (9), (10), (11), (12), (13), (14), (15), (16), (17), (18), (19))
-  AS copies(n)
-WHERE CAST(l_shipdate AS DATE) = DATE '2001-03-15' OR CAST(l_shipdate AS DATE) = DATE '2001-05-20'
+SELECT l_returnflag, l_shipdate FROM {{lineitem}} JOIN (VALUES {_COPIES}) AS copies(day, n) ON CAST(l_shipdate AS DATE) = day
 """,
 )
 
