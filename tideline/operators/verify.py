@@ -15,12 +15,11 @@ from tideline.session import in_parallel, small_frame
 from tideline.sources.archive import (
     KEYS_SCHEMA,
     ArchiveRecord,
-    object_checksums,
-    object_metadata,
     read_archive,
     read_manifest,
     read_schema_doc,
 )
+from tideline.sources.objects import read_digests, read_sizes
 
 # Fixed order of the stages.
 STAGES = (
@@ -199,7 +198,7 @@ def _unreadable(error: Exception) -> bool:
 
 def _created(c: dict, check) -> None:
     record: ArchiveRecord = c["record"]
-    stored = object_metadata(c["spark"], record.path).withColumnRenamed("bytes", "_stored")
+    stored = read_sizes(record.objects, record.path).withColumnRenamed("bytes", "_stored")
     sizes = record.objects.join(stored, "object", "left").agg(
         F.count_if(F.col("_stored").isNull()).alias("missing"),
         F.count_if(F.col("_stored") != F.col("bytes")).alias("resized"),
@@ -219,7 +218,7 @@ def _created(c: dict, check) -> None:
 def _integrity(c: dict, check) -> None:
     record: ArchiveRecord = c["record"]
     check("manifest digest as recorded", c["manifest_sha"] == record.manifest_sha256, c["manifest_sha"])
-    now = object_checksums(c["spark"], record.path).select("object", F.col("sha256").alias("_now"))
+    now = read_digests(record.objects, record.path).select("object", F.col("sha256").alias("_now"))
     changed = record.objects.join(now, "object", "left").where(~F.col("sha256").eqNullSafe(F.col("_now"))).count()
     check("object digests as recorded", changed == 0, f"{changed} differ")
     c["schemas"] = read_schema_doc(c["spark"], f"{record.path}/schema")

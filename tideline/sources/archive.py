@@ -28,6 +28,7 @@ from tideline.operators.freeze import (
 from tideline.operators.selection import Tables, daily_totals, selected_days
 from tideline.plans.group import GroupPlan, edges_frame, require_plannable
 from tideline.session import hadoop_path, in_parallel, materialize
+from tideline.sources.objects import list_folders, list_objects, read_digests
 
 # Files are cut by bytes, as measured on some rows: far below the size one binaryFile row can hold.
 FILE_BYTES, WIDTH_ROWS = 256 * 1024 * 1024, 1_000
@@ -173,27 +174,14 @@ FORMATS = {
 # --- objects -----------------------------------------------------------------------------------------------
 
 
-def _objects(spark: SparkSession, path: str) -> DataFrame:
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    return reader.option("pathGlobFilter", "*[0-9a-zA-Z]").load(path)
-
-
-def _relative(path: str) -> Column:
-    """Object name below the archive folder."""
-    tail = path.rstrip("/").split("/")[-1]
-    return F.regexp_extract("path", f"/{tail}/(.*)$", 1)
-
-
 def object_metadata(spark: SparkSession, path: str) -> DataFrame:
     """``(object, bytes)``; listing only, no object is opened."""
-    return _objects(spark, path).select(_relative(path).alias("object"), F.col("length").alias("bytes"))
+    return list_objects(spark, path)
 
 
 def object_checksums(spark: SparkSession, path: str) -> DataFrame:
     """``(object, bytes, sha256)`` of the stored bytes."""
-    return _objects(spark, path).select(
-        _relative(path).alias("object"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")
-    )
+    return read_digests(list_objects(spark, path), path)
 
 
 def archive_bytes(objects: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -364,7 +352,8 @@ def freeze_and_export(
         return {r[0]: r[1] for r in chunks.groupBy("table_name").agg(F.sum("row_count")).collect()}
 
     def list_objects() -> tuple[DataFrame, dict]:
-        objects = materialize(object_checksums(spark, path), "objects")
+        folders = ["schema", *(f"{part}/{t}" for t in plan.export_order for part in ("data", "keys"))]
+        objects = materialize(read_digests(list_folders(spark, path, folders), path), "objects")
         table = F.regexp_extract("object", "^(data|keys)/([^/]+)/", 2).alias("table_name")
         per_table = objects.groupBy(table).agg(F.count(F.lit(1)).alias("objects"), F.sum("bytes").alias("bytes"))
         return objects, {r["table_name"]: r for r in per_table.collect() if r["table_name"]}
