@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from tideline.functions.days import before_day, column_type
 from tideline.functions.fingerprint import row_fingerprint
 from tideline.operators.closure import edge_condition
+from tideline.operators.keyfilter import KeyFilter, key_filter
 from tideline.operators.selection import Tables
 from tideline.plans.group import FkEdge, GroupPlan, require_plannable
-from tideline.session import materialize
+from tideline.session import in_parallel, materialize
 
 
 def live_keys(df: DataFrame, primary_key: str, double_as: str | None = None) -> DataFrame:
@@ -46,45 +47,34 @@ def row_outcomes(frozen: DataFrame, live: DataFrame, held: DataFrame | None = No
     return rows.withColumn("outcome", outcome).drop("_live_fp", "_held")
 
 
-KeyRange = tuple[object, object]
-
-
-def key_range(keys: DataFrame) -> KeyRange:
-    """Smallest and largest key: two values that let a scan skip everything outside."""
-    row = keys.agg(F.min("pk"), F.max("pk")).first()
-    return row[0], row[1]
-
-
-def rows_in_range(rows: DataFrame, primary_key: str, bounds: KeyRange) -> DataFrame:
-    low, high = bounds
-    return rows.where(F.lit(False) if low is None else F.col(primary_key).between(low, high))
-
-
-def survivors(
-    live_rows: DataFrame, primary_key: str, outcomes: DataFrame, bounds: KeyRange | None = None
-) -> DataFrame:
+def survivors(live_rows: DataFrame, primary_key: str, outcomes: DataFrame, count: int | None = None) -> DataFrame:
     """The live table without its deleted rows. Written to a new path by the caller; inputs are never overwritten.
 
-    With the range of the deleted keys, rows outside it pass straight through and only the rest is joined.
-    Old rows tend to have old keys, so that is most of the table.
+    Rows that a filter over the deleted keys rules out pass straight through; only the few others are shuffled and
+    joined. ``count`` is the number of outcomes, where it is known.
     """
     gone = outcomes.where("outcome = 'deleted'").select(F.col("pk").alias(primary_key))
-    if bounds is None:
-        return live_rows.join(gone, primary_key, "left_anti")
-    if bounds[0] is None:
-        return live_rows
-    outside = live_rows.where(F.col(primary_key).isNull() | ~F.col(primary_key).between(*bounds))
-    inside = rows_in_range(live_rows, primary_key, bounds)
-    return outside.unionByName(inside.join(gone, primary_key, "left_anti"))
+    kind = live_rows.schema[primary_key].dataType
+    tested = key_filter(gone, primary_key, outcomes.count() if count is None else count, kind)
+    doubtful = tested.may_hold(live_rows, primary_key)
+    # An outer join, since the optimizer would move an anti join below the filter and shuffle the whole table.
+    kept = doubtful.join(gone.withColumn("_gone", F.lit(True)), primary_key, "left").where("_gone IS NULL")
+    kept = kept.select(*(F.col(f"`{c}`") for c in live_rows.columns))
+    return tested.cannot_hold(live_rows, primary_key).unionByName(kept)
 
 
-def referenced_keys(parent_rows: DataFrame, primary_key: str, edges: Sequence[tuple[FkEdge, DataFrame]]) -> DataFrame:
+def referenced_keys(
+    parent_rows: DataFrame, primary_key: str, edges: Sequence[tuple[FkEdge, DataFrame]], asked: KeyFilter | None = None
+) -> DataFrame:
     """Primary keys of parent rows that a remaining child row references, over every incoming foreign key.
 
-    A foreign key to the primary key names those keys itself; only other keys are looked up in the parent.
+    A foreign key to the primary key names those keys itself; only other keys are looked up in the parent. With a
+    filter over the keys that are asked for, children of other parents never leave their scan.
     """
     parts = []
     for edge, children in edges:
+        if asked and edge.parent_columns == (primary_key,):
+            children = asked.may_hold(children.select(*edge.child_columns), edge.child_columns[0])
         keys = children.select(*edge.child_columns).distinct()
         if edge.parent_columns == (primary_key,):
             parts.append(keys.select(F.col(edge.child_columns[0]).alias("pk")))
@@ -108,25 +98,26 @@ def exact_removal(
 
     A blocked plan is refused, and so is a missing table: without the rows of every table that points at the
     group, no guard can tell which parents are still in use. Each table's outcomes are written once, since its
-    survivors, its parent's guard and the reconciliation all read them. Live tables are read by the range of the
-    frozen keys, which should be stored as well: finding the range costs a small job per table.
+    survivors, its parent's guard and the reconciliation all read them. A filter over the frozen keys (``keyfilter``)
+    is tested where live tables are scanned, so only rows that may be frozen are hashed and shuffled.
     """
     require_plannable(plan)
     wanted = {e.child for t in plan.removal_order for e in plan.incoming(t)} | set(plan.removal_order)
     if missing := sorted(wanted - set(live)):
         raise ValueError(f"removal needs the rows of {', '.join(missing)}")
+    spark = next(iter(frozen.values())).sparkSession
+    counts = dict(zip(frozen, in_parallel(spark, lambda df: df.count(), frozen.values())))
     outcomes: dict[str, DataFrame] = {}
     remaining: dict[str, DataFrame] = dict(live)
     for table in plan.removal_order:
         pk = plan.primary_key(table)
         rows = live[table]
+        asked = key_filter(frozen[table], "pk", counts[table], rows.schema[pk].dataType)
         guards = [(e, remaining[e.child]) for e in plan.incoming(table)]
-        held = referenced_keys(rows, pk, guards) if guards else None
-        candidates = rows_in_range(rows, pk, key_range(frozen[table]))
-        decided = row_outcomes(frozen[table], live_keys(candidates, pk, double_as), held)
+        held = referenced_keys(rows, pk, guards, asked) if guards else None
+        decided = row_outcomes(frozen[table], live_keys(asked.may_hold(rows, pk), pk, double_as), held)
         outcomes[table] = materialize(decided, "outcomes")
-        gone = key_range(outcomes[table].where("outcome = 'deleted'"))
-        remaining[table] = survivors(rows, pk, outcomes[table], gone)
+        remaining[table] = survivors(rows, pk, outcomes[table], counts[table])
     return outcomes, {t: remaining[t] for t in plan.spec.tables}
 
 
