@@ -2,7 +2,10 @@
 
 import itertools
 
+import time
+
 import numpy as np
+import pytest
 
 from tideline.llm import pages
 
@@ -63,3 +66,47 @@ def test_held_out_layouts_and_odd_rows(spark):
 def test_no_rows(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert pages.extract(empty, pages.Field(np.zeros((pages.FEATURES, 2)), np.zeros((2, 2)))).count() == 0
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div>word word. " * 100_000,
+        "<span>word word. " * 20_000 + "<p>text. " * 40_000,
+        "<b><i>" * 50_000 + "</p>" * 50_000 + "end.",
+        "<div class='a%d'>x. " * 1 + "".join(f"<div class='n{i}'>x. " for i in range(50_000)),
+        "<p " * 200_000 + '"',
+        "<a href='x>text " * 100_001,
+        "<ul>" * 30_000 + "<li>x. " * 60_000,
+        "<td>" * 60_000 + "<tr>x. " * 60_000,
+        "<p>" + "many plain words. " * 300_000 + "</p>",
+    ],
+    ids=["blocks", "inline", "stray", "names", "quote", "quotes", "lists", "cells", "long"],
+)
+def test_pages_of_any_shape_take_linear_time(page):
+    field = pages.Field(np.zeros((pages.FEATURES, 2)), np.zeros((2, 2)))
+    began = time.process_time()
+    blocks = pages.leaf_blocks(page)
+    assert len(field.labels(blocks)) == len(blocks)
+    assert time.process_time() - began < 25
+
+
+def test_scores_of_nested_pages_are_those_of_all_features():
+    rng = np.random.default_rng(3)
+    field = pages.Field(rng.normal(size=(pages.FEATURES, 2)), rng.normal(size=(2, 2)))
+    tags = ["div class='a b'", "div class='b'", "p", "/p", "/div", "ul", "li", "/ul", "a href=x", "/a", "span id=q", "title", "/title", "td", "tr"]
+    for _ in range(60):
+        page = "".join(f"<{rng.choice(tags)}>word {i}. " for i in range(60))
+        blocks = pages.leaf_blocks(page)
+        assert np.allclose(field.scores(pages.own_features(blocks)) + field.around(blocks), field.scores(pages.block_features(blocks)))
+        for block in blocks:
+            want = {f"in {t}" for t, _ in block.path} | {f"name {n}" for _, names in block.path for n in names.split()}
+            node, added = block.node, []
+            while node:
+                added += node.added
+                node = node.parent
+            assert sorted(added) == sorted(map(pages._number, want))
+
+
+def test_a_quote_that_is_not_closed():
+    assert [b.text for b in pages.leaf_blocks('<p>one</p><p title="two>three</p><p>four</p>')] == ["one", "three", "four"]
