@@ -54,3 +54,34 @@ def test_nothing_to_learn_from(spark):
     for labelled in (one_kind.limit(0), one_kind):
         assert {r.verdict for r in urls.judge(docs, urls.fit(labelled)).where("rule IS NULL").collect()} == {"allow"}
     assert urls.judge(docs.limit(0), urls.fit(one_kind.limit(0))).count() == 0
+
+
+def test_every_site_counts(spark):
+    """Five thousand sites, each wholly allowed or blocked; nothing but the site tells which."""
+    rng = np.random.default_rng(5)
+    sites = [f"s{i}.org" for i in range(5000)]
+    blocked = dict(zip(sites, rng.random(5000) < 0.5))
+    labelled = [(f"http://{s}/{rng.integers(10**6)}", "block" if b else "allow") for s, b in blocked.items() for _ in range(5)]
+    model = urls.fit(spark.createDataFrame(labelled, "url string, verdict string"), sample_rows=8000, trees=4)
+    asked = [(i, f"http://{s}/{rng.integers(10**6)}") for i, s in enumerate(sites)]
+    got = {r.page_id: r.verdict for r in urls.judge(spark.createDataFrame(asked, "page_id long, url string"), model, rules=()).collect()}
+    assert len(got) == 5000 and np.mean([(got[i] == "block") == blocked[s] for i, s in enumerate(sites)]) > 0.99
+
+
+def test_a_hot_site_and_rare_ones_have_their_shares(spark):
+    rows = [("http://hot.com/a", "block")] * 3000 + [(f"http://r{i}.net/b", "allow") for i in range(3000)]
+    model = urls.fit(spark.createDataFrame(rows, "url string, verdict string"), sample_rows=100, trees=1)
+    asked = urls.with_parts(spark.createDataFrame([("http://hot.com/x",), ("http://r7.net/x",), ("http://new.org/x",)], "url string"))
+    found = {r.host: r.f_s_site for r in urls._with_shares(asked, model).collect()}
+    share = {"hot.com": (3000 + urls.PRIOR * 0.5) / (3000 + urls.PRIOR), "r7.net": urls.PRIOR * 0.5 / (1 + urls.PRIOR), "new.org": 0.5}
+    assert {h: round(v, 9) for h, v in found.items()} == {h: round(v, 9) for h, v in share.items()}
+
+
+def test_entropy_of_whole_urls(spark):
+    long = "http://a.com/" + "a" * 1_200_000 + "bé" * 300_000
+    some = ["http://x.org/abc", long, "", None]
+    made = urls.with_features(urls.with_parts(spark.createDataFrame([(u,) for u in some], "url string")))
+    for r in made.collect():
+        text = r.url or ""
+        want = -sum(text.count(c) / len(text) * np.log2(text.count(c) / len(text)) for c in set(text))
+        assert abs(r.f_entropy - want) < 1e-9

@@ -7,7 +7,7 @@ of it is built-in functions and Spark's own boosted trees.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -26,8 +26,10 @@ RULES = (
     ("block", "net", "/fr/"),
 )
 SAMPLE_ROWS, TREES, DEPTH = 20_000, 12, 4
-SUFFIXES = 512
+#: A suffix of at least one in ``COMMON`` of all labelled URLs is looked up without a shuffle; there are at most so many of a kind.
+COMMON = 1000
 PRIOR = 4.0
+CHUNK = 65_536
 
 
 def lower_ascii(text: Column) -> Column:
@@ -57,9 +59,10 @@ def with_features(urls: DataFrame, url: str = "url") -> DataFrame:
     """Adds the lexical features ``f_*`` to ``urls`` with ``host`` and ``path``; null counts as empty."""
     text = F.coalesce(F.col(f"`{url}`"), F.lit(""))
     length = F.length(text)
-    letters = F.array_remove(F.split(F.substring(text, 1, 1_000_000), ""), "")
+    runs = F.sequence(F.lit(0), F.floor(length / CHUNK).cast("int"))
+    letters = F.flatten(F.transform(runs, lambda i: F.array_distinct(F.split(F.substring(text, i * CHUNK + 1, F.lit(CHUNK)), ""))))
     shown = F.transform(
-        F.array_distinct(letters),
+        F.array_distinct(F.array_remove(letters, "")),
         lambda c: (length - F.length(F.replace(text, c, F.lit("")))) / F.greatest(length, F.lit(1)),
     )
     entropy = F.aggregate(shown, F.lit(0.0), lambda s, p: s - p * F.log2(F.greatest(p, F.lit(1e-12))))
@@ -93,23 +96,40 @@ def suffixes() -> dict[str, Column]:
 
 @dataclass(frozen=True)
 class UrlModel:
-    """Block shares of the most frequent suffixes, the share of all, and the trees; no trees: ``base`` decides."""
+    """Counts of all suffixes, ``(kind, suffix, n, blocked)``, and of all labelled URLs, and the trees; no trees: the share
+    of block among all decides."""
 
-    shares: dict[str, dict[str, float]]
-    base: float
+    counts: DataFrame | None
+    total: int
+    blocked: float
     trees: GBTClassificationModel | None
 
+    @property
+    def base(self) -> float:
+        return self.blocked / self.total if self.total else 0.0
 
-def _with_shares(urls: DataFrame, shares: dict[str, dict[str, float]], base: float) -> DataFrame:
-    added = {}
+
+def _with_shares(urls: DataFrame, model: UrlModel) -> DataFrame:
+    """Adds the block share ``f_s_*`` of each suffix, drawn towards the share of all; a suffix never seen has that.
+
+    Common suffixes come from a broadcast of at most ``COMMON`` rows a kind, so a host with a third of all URLs is not
+    shuffled by its name; rows that had theirs are spread by digest in the join with all others.
+    """
+    share = ((F.col("blocked") + PRIOR * model.base) / (F.col("n") + PRIOR)).alias("share")
     for name, suffix in suffixes().items():
-        known = shares.get(name) or {}
-        value = F.lit(None).cast("double")
-        if known:
-            listed = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
-            value = F.try_element_at(listed, suffix)
-        added[f"f_{name}"] = F.coalesce(value, F.lit(base))
-    return urls.withColumns(added)
+        found = urls.withColumn("own", suffix)
+        if model.counts is None:
+            urls = found.withColumn(f"f_{name}", F.lit(model.base)).drop("own")
+            continue
+        own = model.counts.where(F.col("kind") == name).select(F.col("suffix").alias("own"), share, "n")
+        is_common = F.col("n") * COMMON >= model.total
+        common = own.where(is_common).select("own", F.col("share").alias("common"))
+        rare = own.where(~is_common).select(F.col("own").alias("key"), F.col("share").alias("rare"))
+        found = found.join(F.broadcast(common), "own", "left")
+        spread = F.concat(F.lit("\n"), F.pmod(F.xxhash64("host", "path"), F.lit(COMMON)).cast("string"))
+        found = found.withColumn("key", F.when(F.col("common").isNull(), F.col("own")).otherwise(spread)).join(rare, "key", "left")
+        urls = found.withColumn(f"f_{name}", F.coalesce("common", "rare", F.lit(model.base))).drop("own", "key", "common", "rare")
+    return urls
 
 
 FEATURES = (
@@ -121,8 +141,8 @@ FEATURES = (
 def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, trees: int = TREES, depth: int = DEPTH, url: str = "url") -> UrlModel:
     """Learns from ``labelled`` with the URL and ``verdict`` (``allow`` or ``block``; others are left out).
 
-    Suffix statistics count all labelled rows: the ``SUFFIXES`` most frequent suffixes of a kind keep their share of
-    block, drawn towards the share of all. The trees see the ``sample_rows`` rows with the smallest digests.
+    Suffix statistics count all labelled rows and all suffixes. The trees see the ``sample_rows`` rows with the smallest
+    digests.
     """
     known = with_parts(labelled.where(F.col("verdict").isin("allow", "block")).select(F.col(f"`{url}`").alias("url"), "verdict"))
     known = known.withColumn("label", (F.col("verdict") == "block").cast("double"))
@@ -131,19 +151,15 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, trees: int = TREES,
     counts = materialize(counts, "suffixes")
     whole = counts.where("kind = 's_top'").agg(F.sum("n").alias("n"), F.sum("blocked").alias("blocked")).first()
     if not whole.n:
-        return UrlModel({}, 0.0, None)
-    base = whole.blocked / whole.n
-    shares = {}
-    for name in suffixes():
-        top = counts.where(F.col("kind") == name).orderBy(F.col("n").desc(), "suffix").limit(SUFFIXES).collect()
-        shares[name] = {r.suffix: (r.blocked + PRIOR * base) / (r.n + PRIOR) for r in top}
+        return UrlModel(None, 0, 0.0, None)
+    model = UrlModel(counts, whole.n, whole.blocked, None)
     if whole.blocked in (0, whole.n):
-        return UrlModel(shares, base, None)
+        return model
     drawn = known.orderBy(F.xxhash64("url"), "url").limit(sample_rows).select("url", "host", "path", "label")
-    ready = _with_shares(with_features(drawn), shares, base).select("label", *FEATURES)
+    ready = _with_shares(with_features(drawn), model).select("label", *FEATURES)
     assembled = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(materialize(ready, "url-features"))
     classifier = GBTClassifier(labelCol="label", maxIter=trees, maxDepth=depth, stepSize=0.3, seed=7, cacheNodeIds=False)
-    return UrlModel(shares, base, classifier.fit(assembled.select("label", "features")))
+    return replace(model, trees=classifier.fit(assembled.select("label", "features")))
 
 
 def judge(urls: DataFrame, model: UrlModel, rules: tuple = RULES, url: str = "url", keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
@@ -160,7 +176,7 @@ def judge(urls: DataFrame, model: UrlModel, rules: tuple = RULES, url: str = "ur
     if model.trees is None:
         scored = rest.withColumn("score", F.lit(float(model.base)))
     else:
-        ready = _with_shares(with_features(rest), model.shares, model.base)
+        ready = _with_shares(with_features(rest).drop("url", "found"), model)
         ready = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(ready)
         scored = model.trees.transform(ready).withColumn("score", vector_to_array("probability")[1])
     verdict = F.when(F.col("score") >= 0.5, "block").otherwise("allow")
