@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -161,7 +161,7 @@ def yearly_objects(inputs: Inputs) -> tuple[DataFrame, str]:
     path = scratch_path(inputs.spark, "yearly")
     dated = inputs.orders.withColumn("year", F.year("o_orderdate"))
     dated.repartition("year").sortWithinPartitions("o_orderkey").write.partitionBy("year").parquet(path)
-    recorded = materialize(archive.object_checksums(inputs.spark, path).withColumn("year", _YEAR), "recorded")
+    recorded = materialize(archive.object_checksums(inputs.spark, path).select("*", object_year()), "recorded")
 
     def damage(batches):
         store, top = store_of(path)
@@ -185,7 +185,10 @@ def yearly_objects(inputs: Inputs) -> tuple[DataFrame, str]:
     return recorded, path
 
 
-_YEAR = F.regexp_extract("object", "year=([0-9]+)/", 1).cast("int")
+def object_year() -> Column:
+    return F.regexp_extract("object", "year=([0-9]+)/", 1).cast("int").alias("year")
+
+
 _YEARS = """
 SELECT CAST(year AS INT) AS year, CASE year % 4 WHEN 0 THEN 'missing' WHEN 1 THEN 'resized' WHEN 2 THEN '{}' ELSE 'present' END AS state
 FROM (SELECT DISTINCT year(o_orderdate) AS year FROM {{orders}})
@@ -196,13 +199,13 @@ FROM (SELECT DISTINCT year(o_orderdate) AS year FROM {{orders}})
 def metadata(inputs: Inputs) -> DataFrame:
     recorded, path = yearly_objects(inputs)
     state = object_state(recorded.select("object", "bytes"), read_sizes(recorded, path))
-    return state.select(_YEAR.alias("year"), "state")
+    return state.select(object_year(), "state")
 
 
 @query("object_checksum", _YEARS.format("changed"))
 def checksums(inputs: Inputs) -> DataFrame:
     recorded, path = yearly_objects(inputs)
-    return object_state(recorded, read_digests(recorded, path)).select(_YEAR.alias("year"), "state")
+    return object_state(recorded, read_digests(recorded, path)).select(object_year(), "state")
 
 
 @query(
