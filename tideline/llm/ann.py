@@ -7,7 +7,8 @@ exactly on the original vectors in double precision.
 
 Equal vectors are searched for, and as, one: of each distinct vector only the ``k + 1`` smallest ids can be among anyone's
 ``k`` nearest. Neighbouring leaves share a group of about ``GROUP_ROWS`` rows, which keeps the ``k + 1`` nearest of each query
-that visits any of them; larger leaves are dealt into several groups, each of which meets all of the leaf's queries.
+that visits any of them; larger leaves are dealt into several groups, each of which meets all of the leaf's queries. A group
+is a file of the shared folder; its queries are dealt into blocks of tasks that read it and take 512 of them at a time.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from heapq import heappop, heappush
+from io import BytesIO
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +24,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tideline.session import materialize
+from tideline.llm.files import AtomicFile, open_file
+from tideline.session import materialize, scratch_path
 
-SAMPLE_ROWS, LEAF_ROWS, GROUP_ROWS = 20_000, 512, 8192
+SAMPLE_ROWS, LEAF_ROWS, GROUP_ROWS, QUERY_ROWS = 20_000, 512, 8192, 16_384
 BRANCHES, ROUNDS = 8, 8
 PROBES, RECALL = 400, 0.98
 
@@ -197,7 +200,7 @@ def _nearest_in_leaves(ids, mine, leaf_of, norms, names, theirs, query_of, leave
 
 
 def nearest(vectors: DataFrame, queries: Column, k: int = 5, sample_rows: int = SAMPLE_ROWS, leaf_rows: int = LEAF_ROWS,
-            group_rows: int = GROUP_ROWS, recall: float = RECALL) -> DataFrame:
+            group_rows: int = GROUP_ROWS, recall: float = RECALL, query_rows: int = QUERY_ROWS) -> DataFrame:
     """``query_id, rank, vec_id, score``: for each row of ``vectors(vec_id, embedding)`` that ``queries`` holds for, its
     ``k`` nearest other rows found, ties to the smaller id.
 
@@ -257,24 +260,48 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, sample_rows: int =
     dealt = dealt.withColumn("group", of(first) + F.pmod(F.xxhash64("vec_id", F.lit(9)), of(parts)))
     visits = classes.select("class", "embedding").mapInArrow(visit, f"class long, asked {kind}, group long, leaves array<long>")
 
-    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[tuple] = []
-        if left.num_rows and right.num_rows:
-            ids, mine, leaf_of = left.column("vec_id").to_numpy(), _matrix(left.column("embedding"), width), left.column("leaf").to_numpy()
-            order = np.argsort(leaf_of, kind="stable")
-            ids, mine, leaf_of = ids[order], mine[order], leaf_of[order]
-            norms = np.sqrt((mine**2).sum(axis=1))
-            for at in range(0, right.num_rows, 512):
-                block = right.slice(at, 512)
-                names, theirs = block.column("class").to_numpy(), _matrix(block.column("asked"), width)
-                asked_leaves = block.column("leaves").combine_chunks()
-                query_of = np.repeat(np.arange(len(names)), asked_leaves.value_lengths().to_numpy(zero_copy_only=False))
-                asked_leaves = asked_leaves.flatten().to_numpy(zero_copy_only=False)
-                out.append(_nearest_in_leaves(ids, mine, leaf_of, norms, names, theirs, query_of, asked_leaves, k + 1))
-        parts_ = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        return pa.table({"class": pa.array(parts_[0], pa.int64()), "vec_id": pa.array(parts_[1], pa.int64()), "score": pa.array(parts_[2], pa.float64())})
-
-    met = dealt.groupBy("group").cogroup(visits.groupBy("group")).applyInArrow(compare, "class long, vec_id long, score double")
+    folder = scratch_path(spark, "leaf-groups")
+
+    def store(rows: pa.Table) -> pa.Table:
+        """A group's vectors in order of leaves, as a file that any task may read."""
+        leaf = rows.column("leaf").to_numpy()
+        order = np.argsort(leaf, kind="stable")
+        held = BytesIO()
+        np.savez(held, ids=rows.column("vec_id").to_numpy()[order], vectors=_matrix(rows.column("embedding"), width)[order], leaf=leaf[order])
+        file = AtomicFile(f"{folder}/group-{rows.column('group')[0].as_py():08d}.npz")
+        file.write(held.getvalue())
+        file.close()
+        return pa.table({"group": rows.column("group").slice(0, 1)})
+
+    stored = materialize(dealt.select("vec_id", "embedding", "leaf", "group").groupBy("group").applyInArrow(store, "group long"), "groups")
+    groups, asking, tasks = stored.count(), classes.count(), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # The queries of a group are dealt into blocks, each a task's; a block reads its group's file.
+    blocks = max(1, -(-asking // query_rows), -(-2 * tasks // groups))
+    visits = visits.withColumn("block", F.pmod(F.xxhash64("class", F.lit(4)), F.lit(blocks)))
+    lined = visits.repartition(max(tasks, min(groups * blocks, -(-asking * groups // query_rows))), "group", "block").sortWithinPartitions("group", "block")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, group = None, None
+        for whole in batches:
+            own = whole.column(2).to_numpy(zero_copy_only=False)
+            edges = [0, *(np.flatnonzero(own[1:] != own[:-1]) + 1).tolist(), len(own)]
+            for start, end in zip(edges, edges[1:]):
+                for at in range(start, end, 512):
+                    block = whole.slice(at, min(512, end - at))
+                    if held is None or group != own[at]:
+                        group = int(own[at])
+                        with open_file(f"{folder}/group-{group:08d}.npz") as stream, np.load(BytesIO(stream.read())) as x:
+                            held = x["ids"], x["vectors"], x["leaf"]
+                        norms = np.sqrt((held[1] ** 2).sum(axis=1))
+                    names, theirs = block.column(0).to_numpy(), _matrix(block.column(1), width)
+                    asked_leaves = block.column(3)
+                    query_of = np.repeat(np.arange(len(names)), asked_leaves.value_lengths().to_numpy(zero_copy_only=False))
+                    leaves = asked_leaves.flatten().to_numpy(zero_copy_only=False)
+                    found = _nearest_in_leaves(held[0], held[1], held[2], norms, names, theirs, query_of, leaves, k + 1)
+                    kinds = (pa.int64(), pa.int64(), pa.float64())
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(found, kinds)], names=["class", "vec_id", "score"])
+
+    met = lined.select("class", "asked", "group", "leaves").mapInArrow(compare, "class long, vec_id long, score double")
     best = Window.partitionBy("class").orderBy(F.col("score").desc(), "vec_id")
     top = met.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1).drop("n")
     named = asked.join(classes, ["digest", "embedding"]).select(F.col("vec_id").alias("query_id"), "class")
