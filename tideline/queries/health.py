@@ -523,3 +523,17 @@ FROM ({_LAG}) GROUP BY 1
 def lateness(inputs: Inputs) -> DataFrame:
     points = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
     return stats.disc_percentiles(lag_histogram(inputs), points, ["l_returnflag"])
+
+
+@query(
+    "price_percentiles",
+    """
+SELECT l_returnflag, count(*) AS n, percentile_disc(0.01) WITHIN GROUP (ORDER BY l_extendedprice) AS p01,
+       percentile_disc(0.5) WITHIN GROUP (ORDER BY l_extendedprice) AS p50,
+       percentile_disc(0.95) WITHIN GROUP (ORDER BY l_extendedprice) AS p95, max(l_extendedprice) AS max
+FROM {lineitem} GROUP BY 1
+""",
+)
+def prices(inputs: Inputs) -> DataFrame:
+    """Exact percentiles of a measure with almost as many values as rows."""
+    return stats.radix_percentiles(inputs.lineitem, "l_extendedprice", {"p01": 0.01, "p50": 0.5, "p95": 0.95}, ["l_returnflag"])
