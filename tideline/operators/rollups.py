@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.functions.severity import level_rank, megabytes, round_to
+from tideline.operators.intervals import days_in_ranges
 from tideline.operators.jobs import ACTIVE_STATES, ATTENTION_STATES, FINISHED_STATES
 
 
@@ -123,5 +124,10 @@ def restore_lookup(covered: DataFrame, days: DataFrame) -> DataFrame:
     return covered.select("job_id", "table_name", "day").distinct().join(wanted, "day")
 
 
+def restore_lookup_ranges(covered: DataFrame, days: DataFrame) -> DataFrame:
+    """The same of ``covered(job_id, table_name, first_day, last_day)``, one row per job and boundary, never one per day."""
+    return days_in_ranges(covered.select("job_id", "table_name", "first_day", "last_day").distinct(), days).select("job_id", "table_name", "day").distinct()
+
+
 def oldest_keys(df: DataFrame, date_column: str, key: str, k: int) -> DataFrame:
     return df.where(F.col(date_column).isNotNull()).orderBy(date_column, key).limit(k)

@@ -480,3 +480,27 @@ def lookup_days(inputs: Inputs) -> DataFrame:
         F.date_add(F.lit("1995-01-01").cast("date"), (F.col("doc_id") % 2500).cast("int")).alias("day")
     )
     return rollups.restore_lookup(covered, days)
+
+
+@query(
+    "restore_ranges",
+    """
+WITH covered AS (
+  SELECT order_id AS job_id, CAST(min(shipped) AS DATE) AS first_day, CAST(max(shipped) AS DATE) AS last_day FROM {order_lines} GROUP BY 1
+), wanted AS (SELECT DISTINCT DATE '1995-01-01' + CAST(doc_id % 2500 AS INTEGER) AS day FROM {documents} WHERE doc_id % 2500 IS NOT NULL)
+SELECT CAST(day AS VARCHAR) AS day, count(*) AS jobs, min(job_id) AS first_job, max(job_id) AS last_job
+FROM wanted JOIN covered ON day BETWEEN first_day AND last_day GROUP BY 1
+""",
+)
+def lookup_ranges(inputs: Inputs) -> DataFrame:
+    """Which orders were being shipped on a wanted day, by their first and last shipment."""
+    covered = inputs.order_lines.groupBy(F.col("order_id").alias("job_id")).agg(
+        F.min("shipped").cast("date").alias("first_day"), F.max("shipped").cast("date").alias("last_day")
+    )
+    days = inputs.documents.select(
+        F.date_add(F.lit("1995-01-01").cast("date"), (F.col("doc_id") % 2500).cast("int")).alias("day")
+    )
+    found = rollups.restore_lookup_ranges(covered.withColumn("table_name", F.lit("orders")), days)
+    return found.groupBy("day").agg(
+        F.count(F.lit(1)).alias("jobs"), F.min("job_id").alias("first_job"), F.max("job_id").alias("last_job")
+    )
