@@ -92,3 +92,16 @@ def test_edge_data(spark):
     parent = spark.sql("SELECT id FROM range(10) UNION ALL SELECT 5L")
     row = graph.check_edge_data(child, "fk", parent, "id").first()
     assert (row["child_rows"], row["null_keys"], row["orphans"], row["repeated_parent_keys"]) == (10, 1, 2, 1)
+
+
+def test_plans_do_not_grow_with_the_rounds(spark):
+    """A chain of 25 tables takes as many rounds; what is returned still reads one folder."""
+    edges = [("a", f"t{i + 1:02}", f"t{i:02}") for i in range(24)]
+    frames, tables = frame(spark, edges), tables_of(spark, edges)
+    roots = spark.createDataFrame([("a", "t00")], "app string, root string")
+    reached = graph.reachability(tables, roots, frames, ["app"])
+    order = graph.removal_order(tables, frames, ["app"])
+    assert reached.where("reachable").count() == 25
+    assert {r["table_name"]: r["round"] for r in order.collect()} == {f"t{i:02}": 24 - i for i in range(25)}
+    for df, scans in ((reached, 1), (order, 2)):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count(" parquet") <= scans

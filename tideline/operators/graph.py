@@ -11,7 +11,25 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.session import materialize
+from tideline.session import materialize, scratch_path
+
+
+class Rounds:
+    """Rows of all rounds in one folder, so that reading them is one scan however many rounds there were."""
+
+    def __init__(self, first: DataFrame, label: str):
+        self.spark, self.schema, self.path, self.count = first.sparkSession, first.schema, scratch_path(first.sparkSession, label), 0
+        self.add(first)
+
+    def add(self, rows: DataFrame) -> DataFrame:
+        """Writes the next round's rows; returns them as written."""
+        place = f"{self.path}/round_no={self.count}"
+        rows.write.mode("errorifexists").parquet(place)
+        self.count += 1
+        return self.spark.read.schema(self.schema).parquet(place)
+
+    def all(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).option("recursiveFileLookup", "true").parquet(self.path)
 
 
 def transitive_closure(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -43,16 +61,13 @@ def reachability(tables: DataFrame, roots: DataFrame, edges: DataFrame, by: Sequ
     keys = list(by)
     inside = edges_between(edges.where(F.size("child_columns") == 1), tables, by).select(*keys, "child", "parent")
     inside = materialize(inside.distinct(), "edges")
-    found = materialize(roots.select(*keys, F.col("root").alias("table_name")).distinct(), "reached")
-    newest = found
-    while True:
+    found = Rounds(roots.select(*keys, F.col("root").alias("table_name")).distinct(), "reached")
+    newest = found.all()
+    while not newest.isEmpty():
         step = inside.join(newest.withColumnRenamed("table_name", "parent"), [*keys, "parent"], "left_semi")
         step = step.select(*keys, F.col("child").alias("table_name")).distinct()
-        newest = materialize(step.join(found, [*keys, "table_name"], "left_anti"), "reached")
-        if newest.isEmpty():
-            break
-        found = found.unionByName(newest)
-    marked = tables.join(found.withColumn("_hit", F.lit(True)), [*keys, "table_name"], "left")
+        newest = found.add(step.join(found.all(), [*keys, "table_name"], "left_anti"))
+    marked = tables.join(found.all().withColumn("_hit", F.lit(True)), [*keys, "table_name"], "left")
     return marked.select(*keys, "table_name", F.coalesce("_hit", F.lit(False)).alias("reachable"))
 
 
@@ -104,21 +119,22 @@ def removal_order(tables: DataFrame, edges: DataFrame, by: Sequence[str]) -> Dat
     waiting = edges_between(edges.where("child <> parent"), tables, by).select(*keys, "child", "parent").distinct()
     waiting = materialize(waiting, "waiting")
     left = materialize(tables.select(*keys, "table_name").distinct(), "left")
-    levels, number = None, 0
+    levels = None
     while True:
         blocked = waiting.select(*keys, F.col("parent").alias("table_name")).distinct()
-        ready = materialize(left.join(blocked, [*keys, "table_name"], "left_anti"), "ready")
+        ready = left.join(blocked, [*keys, "table_name"], "left_anti").withColumn("round", F.lit(levels.count if levels else 0))
+        if levels is None:
+            levels = Rounds(ready, "levels")
+            ready = levels.all()
+        else:
+            ready = levels.add(ready)
         if ready.isEmpty():
             break
-        numbered = ready.withColumn("round", F.lit(number))
-        levels = numbered if levels is None else levels.unionByName(numbered)
+        ready = ready.drop("round")
         left = materialize(left.join(ready, [*keys, "table_name"], "left_anti"), "left")
         done = ready.withColumnRenamed("table_name", "child")
         waiting = materialize(waiting.join(done, [*keys, "child"], "left_anti"), "waiting")
-        number += 1
-    if levels is None:
-        return left.withColumn("round", F.lit(0)).where(F.lit(False))
-    return levels.join(left.select(*keys).distinct(), keys, "left_anti")
+    return levels.all().join(left.select(*keys).distinct(), keys, "left_anti")
 
 
 def selection_issues(edges: DataFrame, selected: DataFrame, by: Sequence[str] = ()) -> DataFrame:
