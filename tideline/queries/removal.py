@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.functions.fingerprint import row_fingerprint, row_fingerprint_md5
-from tideline.operators import freeze
+from tideline.operators import digesttree, freeze
 from tideline.operators.closure import mark_referenced, orphan_counts
 from tideline.operators.removal import (
     exact_matches,
@@ -33,7 +33,7 @@ from tideline.queries.groups import (
     live_group,
 )
 from tideline.queries.registry import Inputs, query
-from tideline.session import in_parallel, materialize
+from tideline.session import in_parallel, materialize, scratch_path
 
 
 def frozen(inputs: Inputs) -> dict[str, DataFrame]:
@@ -159,6 +159,29 @@ def integrity(inputs: Inputs) -> DataFrame:
     return freeze.candidate_integrity(damaged, recorded, ["table_name"])
 
 
+@query(
+    "damaged_chunks",
+    """
+WITH numbered AS (
+  SELECT 'orders' AS table_name, pk, rn FROM {numbered_orders} UNION ALL SELECT 'order_lines', pk, rn FROM {numbered_lines}
+)
+SELECT table_name, (rn - 1) // 2000 AS chunk_no, rn, pk, 'changed' AS state FROM numbered WHERE pk % 1009 = 5
+""",
+)
+def damaged(inputs: Inputs) -> DataFrame:
+    """Keys that lost their fingerprint in a copy, found by descending two stored hash trees, four chunks to a node."""
+    spark, merged = inputs.spark, None
+    for table, df in frozen(inputs).items():
+        keys = materialize(freeze.number_chunks(df), "chunked")
+        copy = keys.withColumn("fp", F.when(F.col("pk") % 1009 == 5, "").otherwise(F.col("fp")))
+        paths = [scratch_path(spark, "tree") for _ in range(2)]
+        levels = [digesttree.store_tree(freeze.chunk_digests(k), path, table, 4) for k, path in zip((keys, copy), paths)]
+        found = digesttree.differing_chunks(spark, *paths, table, levels[0], 4)
+        part = digesttree.damaged_keys(keys, copy, found.chunks).withColumn("table_name", F.lit(table))
+        merged = part if merged is None else merged.unionByName(part)
+    return merged.select("table_name", "chunk_no", "rn", "pk", "state")
+
+
 @query(
     "batch_number",
     """

@@ -30,7 +30,7 @@ from tideline.plans.group import GroupPlan, edges_frame, require_plannable
 from tideline.session import hadoop_path, in_parallel, materialize
 from tideline.sources.objects import list_folders, list_objects, read_digests
 
-# Files are cut by bytes, as measured on some rows: far below the size one binaryFile row can hold.
+# Files are cut by about so many bytes, as measured on some rows. Nothing depends on it: objects are read in blocks.
 FILE_BYTES, WIDTH_ROWS = 256 * 1024 * 1024, 1_000
 
 CSV_NULL = "\\N"
