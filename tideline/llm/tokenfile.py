@@ -118,7 +118,7 @@ def write_files(docs: DataFrame, folder: str, path: str | None = None, text: str
 
         try:
             for whole in batches:
-                for batch in by_bytes(whole, 1, 1 << 20):
+                for batch in by_bytes(whole, 1, 1 << 18):
                     ids, counts = encoder.batch(batch.column(1).to_pylist())
                     own = np.insert(ids, np.cumsum(counts), np.uint32(end_id))
                     names += batch.column(0).to_pylist()
