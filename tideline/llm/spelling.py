@@ -216,7 +216,9 @@ def near_words(words: DataFrame, dictionary: Grams) -> DataFrame:
                     times += [n] * len(found)
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(own, pa.string()), pa.array(times, pa.int64())], names=["key", "word", "n"])
 
-    listed = words.select("word", "n").mapInArrow(index, "key string, word string, n long")
+    # A stated number of tasks: words are few bytes but much work.
+    tasks = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    listed = words.select("word", "n").repartition(tasks, "word").mapInArrow(index, "key string, word string, n long")
     # Words of one list come together; its name says the band and what they share.
     lined = listed.repartition(F.xxhash64("key")).sortWithinPartitions("key")
 
