@@ -1,6 +1,7 @@
 """Groups of the near-dedup stage against all pairs, where fingerprints or samples of shingles do not tell."""
 
 import numpy as np
+import pytest
 
 from tideline.llm import simhash
 
@@ -49,3 +50,42 @@ def test_long_texts_are_compared_whole(spark):
     texts = bases + [b + words(rng, 365 if i % 2 else 385) for i, b in enumerate(bases)]
     want = wanted(texts)
     assert want == set(range(40)) | set(range(40, 80, 2)) and want == kept(spark, texts)
+
+
+@pytest.mark.parametrize("block", [1, 4096, 1 << 26])
+def test_groups_in_blocks(spark, monkeypatch, block):
+    """Groups larger than a block of sets are tested in pairs of blocks, with the same result."""
+    monkeypatch.setattr(simhash.held_pairs, "__defaults__", (block,))
+    rng = np.random.default_rng(4)
+    bases = [words(rng, 120) for _ in range(6)]
+    texts = []
+    for base in bases:
+        own = list(base)
+        for _ in range(12):
+            texts.append(list(own))
+            at = int(rng.integers(0, 116))
+            own[at : at + 2] = words(rng, 2)
+    want = wanted(texts)
+    assert 6 <= len(want) < 40 and want == kept(spark, texts)
+
+
+def test_links_that_connect():
+    sets = {i: np.arange(i, i + 100, dtype=np.uint64) for i in range(0, 40, 5)}
+    pairs = [(a, b) for a in sets for b in sets if a < b]
+    kept = simhash.linking(*map(list, zip(*pairs)), sets, 0.8)
+    assert len(kept) == 7 and {pairs[i] for i in kept} <= {(a, b) for a, b in pairs if b - a <= 10}
+
+
+def test_shared_keys(spark):
+    rows = [(1, [5, 7, 9]), (2, [7]), (3, [9, 11, 7]), (4, []), (5, [13])]
+    frame = spark.createDataFrame([(no, np.array(own, np.int64).tobytes()) for no, own in rows], "no long, prefix binary").repartition(3)
+    common = spark.sparkContext.broadcast(np.array([13], np.uint64))
+    found = {(r.key, r.no, r.place) for r in simhash.shared_keys(frame, common).collect()}
+    assert found == {(7, 1, 1), (7, 2, 0), (7, 3, 2), (9, 1, 2), (9, 3, 0), (13, 5, 0)}
+
+
+def test_cells_never_leave_out():
+    rng = np.random.default_rng(5)
+    x, y = (np.unique(rng.integers(0, 3 * 10**5, n).astype(np.uint64)) * np.uint64(64) for n in (80_000, 120_000))
+    bounds = simhash.most_common(*(np.frombuffer(simhash.cells(v), "<u2").astype(np.int64).reshape(1, 64) for v in (x, y)))
+    assert bounds[0] >= len(np.intersect1d(x, y))

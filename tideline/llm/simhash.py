@@ -19,12 +19,15 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tideline.llm.components import components
-from tideline.session import materialize
+from tideline.llm.files import AtomicFile, open_file
+from tideline.session import materialize, scratch_path
 
 SEED = 42
 SAMPLE = 2048
@@ -349,6 +352,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, bits: int = 4, text: str =
 
 NEAR = 4
 COMMON_DOCS, COMMON_SEEN, COMMON_MOST = 2000, 3, 50_000
+BLOCK_BYTES, FILE_BITS = 64 << 20, 33
 
 
 def shingle_set(words: list[bytes], width: int) -> np.ndarray:
@@ -372,63 +376,177 @@ def prefix(own: np.ndarray, common: np.ndarray, least: float) -> np.ndarray:
 
 
 def common_shingles(docs: DataFrame, width: int) -> np.ndarray:
-    """Shingles that several texts of a bounded sample have."""
-    texts = docs.where("text IS NOT NULL").select("text_id", "text")
+    """Shingles that several texts of a bounded sample of ``docs(h1, text)`` have."""
+    texts = docs.where("text IS NOT NULL").select("h1", "text")
     share = min(1.0, 2 * COMMON_DOCS / max(1, texts.count()))
-    drawn = texts.where(F.pmod(F.xxhash64("text_id", F.lit(3)), F.lit(1_000_003)) < int(share * 1_000_003)).limit(COMMON_DOCS)
+    drawn = texts.where(F.pmod(F.xxhash64("h1", F.lit(3)), F.lit(1_000_003)) < int(share * 1_000_003)).limit(COMMON_DOCS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
+            for h1, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
                 own = shingle_set(text_words(text.as_py()), width).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), text_id)), pa.array(own)], names=["text_id", "key"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), h1)), pa.array(own)], names=["h1", "key"])
 
-    seen = drawn.mapInArrow(run, "text_id long, key long").distinct().groupBy("key").count().where(F.col("count") >= COMMON_SEEN)
+    seen = drawn.mapInArrow(run, "h1 long, key long").distinct().groupBy("key").count().where(F.col("count") >= COMMON_SEEN)
     listed = seen.orderBy(F.col("count").desc(), "key").limit(COMMON_MOST).collect()
     return np.sort(np.array([r.key for r in listed], np.int64).view(np.uint64))
 
 
 def cells(own: np.ndarray) -> bytes:
-    """How many hashes of a set end in each of 64 ways."""
-    return np.bincount((own & np.uint64(63)).astype(np.int64), minlength=64).astype("<u4").tobytes()
+    """How many hashes of a set end in each of 64 ways; 65,535 stands for so many or more."""
+    return np.minimum(np.bincount((own & np.uint64(63)).astype(np.int64), minlength=64), 65_535).astype("<u2").tobytes()
 
 
-def held_pairs(pairs: DataFrame, texts: DataFrame, docs: DataFrame, width: int, least: float) -> DataFrame:
-    """``a, b`` of those ``pairs`` of text ids whose whole shingle sets are similar to ``least``.
+def most_common(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The most hashes that sets with these cells can share, row by row."""
+    full = (x == 65_535) | (y == 65_535)
+    return np.where(full, np.inf, np.minimum(x, y)).sum(axis=1)
 
-    Two sets share at most the smaller count of each of their ``cells``; pairs that even so stay below are left out
-    before whole sets are made.
+
+def text_file(folder: str, number: int) -> str:
+    return f"{folder}/texts-{number:08d}.bin"
+
+
+def read_rows(docs: DataFrame, folder: str, common, width: int, least: float) -> DataFrame:
+    """``no, doc_id, h1, h2, fp, n, prefix, cells, offset, length`` of every row of ``docs(doc_id, h1, h2, text)``.
+
+    ``no`` numbers the rows; its high bits name the file below ``folder`` that holds the row's text, compressed by itself
+    at ``offset``. Both are written once, and nothing else carries prefixes or texts from here on.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, at = TaskContext.get().partitionId(), 0
+        packer, file = zstandard.ZstdCompressor(level=3), AtomicFile(text_file(folder, number))
+        try:
+            for batch in batches:
+                fps, sizes, prefixes, counts, offsets, lengths = [], [], [], [], [], []
+                for text in batch.column(3).cast(pa.binary()):
+                    raw = text.as_py() or b""
+                    words = text_words(raw)
+                    own = shingle_set(words, width)
+                    fps.append(fingerprint(words, 2))
+                    sizes.append(len(own))
+                    prefixes.append(prefix(own, common.value, least).tobytes())
+                    counts.append(cells(own))
+                    packed = packer.compress(raw)
+                    offsets.append(file.offset)
+                    lengths.append(len(packed))
+                    file.write(packed)
+                made = [pa.array(fps, pa.int64()), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.binary()), pa.array(counts, pa.binary())]
+                places = [pa.array(offsets, pa.int64()), pa.array(lengths, pa.int32())]
+                numbers = pa.array(np.arange(at, at + batch.num_rows) + (number << FILE_BITS))
+                at += batch.num_rows
+                yield pa.RecordBatch.from_arrays([numbers, *batch.columns[:3], *made, *places], names=names)
+        except BaseException:
+            file.discard()
+            raise
+        file.close()
+
+    names = ["no", "doc_id", "h1", "h2", "fp", "n", "prefix", "cells", "offset", "length"]
+    schema = "no long, doc_id long, h1 long, h2 long, fp long, n int, prefix binary, cells binary, offset long, length int"
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "h1", "h2", "text")
+    return materialize(chosen.mapInArrow(run, schema), "fingerprints")
+
+
+class _Sets:
+    """Shingle sets of numbered rows, read from their files in order of place, those of one group of pairs at a time."""
+
+    def __init__(self, folder: str, width: int):
+        self.folder, self.width, self.held = folder, width, {}
+        self.unpacker = zstandard.ZstdDecompressor()
+
+    def load(self, places: dict[int, tuple[int, int]]) -> None:
+        self.held = {no: own for no, own in self.held.items() if no in places}
+        stream, number = None, None
+        for no in sorted(set(places) - set(self.held)):
+            if no >> FILE_BITS != number:
+                if stream:
+                    stream.close()
+                number = no >> FILE_BITS
+                stream = open_file(text_file(self.folder, number))
+            offset, length = places[no]
+            stream.seek(offset)
+            raw = self.unpacker.decompress(stream.read(length))
+            self.held[no] = shingle_set(text_words(raw), self.width)
+        if stream:
+            stream.close()
+
+
+def linking(a: list[int], b: list[int], sets: dict[int, np.ndarray], least: float) -> list[int]:
+    """Which pairs are similar, without those whose ends similar pairs before them connect already."""
+    parent: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = parent.get(up, up)
+            x = up
+        return x
+
+    found = []
+    for i, (x, y) in enumerate(zip(a, b)):
+        p, q = top(x), top(y)
+        if p != q and similar(sets[x], sets[y], least):
+            parent[p] = q
+            found.append(i)
+    return found
+
+
+def held_pairs(pairs: DataFrame, rows: DataFrame, folder: str, width: int, least: float, block: int = BLOCK_BYTES) -> DataFrame:
+    """``a, b``: pairs of row numbers with whole shingle sets similar to ``least`` that connect all such ``pairs``.
+
+    Two sets share at most the smaller count of each of their ``cells``; pairs that even so stay below are left out first.
+    The others are dealt out by the groups they make, so that a task reads each text of a group once and tests all its
+    pairs. A group of over ``block`` bytes of sets is cut into pairs of blocks of its texts, which together still test everything.
     """
+    spark = pairs.sparkSession
     counted = pairs.distinct()
     for x in ("a", "b"):
-        counted = counted.join(texts.select(F.col("text_id").alias(x), F.col("cells").alias(f"{x}_cells")), x)
+        own = [F.col(c).alias(f"{x}_{c}") for c in ("cells", "n", "offset", "length")]
+        counted = counted.join(rows.select(F.col("no").alias(x), *own), x)
 
     def may(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.array([np.frombuffer(v.as_buffer(), "<u4") for v in batch.column(i)], np.int64).reshape(-1, 64) for i in (2, 3))
-            common = np.minimum(x, y).sum(axis=1)
-            yield batch.select([0, 1]).filter(pa.array(common >= least * (x.sum(axis=1) + y.sum(axis=1) - common) - 1e-6))
-
-    counted = counted.select("a", "b", "a_cells", "b_cells").mapInArrow(may, "a long, b long")
-    pairs = materialize(counted, "pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("text_id")).distinct()
-    needed = docs.join(ids, "text_id", "left_semi").groupBy("text_id").agg(F.first("text").alias("text"))
+            x, y = (np.array([np.frombuffer(v.as_buffer(), "<u2") for v in batch.column(i)], np.int64).reshape(-1, 64) for i in (2, 3))
+            both = batch.column(4).to_numpy(zero_copy_only=False).astype(np.int64) + batch.column(5).to_numpy(zero_copy_only=False)
+            common = most_common(x, y)
+            yield batch.select([0, 1, 4, 5, 6, 7, 8, 9]).filter(pa.array((common == np.inf) | (common * (1 + least) >= least * both - 1e-6)))
+
+    counted = counted.select("a", "b", "a_cells", "b_cells", "a_n", "b_n", "a_offset", "a_length", "b_offset", "b_length")
+    held = materialize(counted.mapInArrow(may, "a long, b long, a_n int, b_n int, a_offset long, a_length int, b_offset long, b_length int"), "pairs")
+    label = components(held.select("a", "b"))
+    ends = held.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("a_n").alias("n")), F.struct(F.col("b").alias("node"), F.col("b_n").alias("n")))).alias("end"))
+    sizes = ends.select("end.*").distinct().join(label, "node").groupBy("label").agg(F.sum(F.col("n").cast("long")).alias("n"))
+    blocks = sizes.select("label", F.greatest(F.lit(1), F.ceil(8 * F.col("n") / block)).cast("long").alias("blocks"))
+    dealt_out = held.join(label.withColumnRenamed("node", "a"), "a").join(blocks, "label")
+    one, two = (F.pmod(F.xxhash64(x, F.lit(13)), F.col("blocks")) for x in ("a", "b"))
+    dealt_out = dealt_out.withColumn("part", F.xxhash64("label", F.least(one, two), F.greatest(one, two)))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    lined = dealt_out.repartition(tasks, "part").sortWithinPartitions("part", "a", "b")
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_set(text_words(t.as_py()), width).tobytes() for t in batch.column(1).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["text_id", "shingles"])
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = _Sets(folder, width)
 
-    sets = materialize(needed.mapInArrow(cut, "text_id long, shingles binary"), "shingles")
-    ends = [sets.select(F.col("text_id").alias(x), F.col("shingles").alias(f"{x}_set")) for x in ("a", "b")]
+        def tested(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            group = pa.Table.from_batches(held)
+            a, b, at, size, other_at, other_size = (group.column(i).to_pylist() for i in range(1, 7))
+            sets.load(dict(zip(a, zip(at, size))) | dict(zip(b, zip(other_at, other_size))))
+            kept = linking(a, b, sets.held, least)
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for i in kept], pa.int64()) for x in (a, b)], names=["a", "b"])
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []
         for batch in batches:
-            both = zip(*([np.frombuffer(v.as_buffer(), np.uint64) for v in batch.column(i)] for i in (2, 3)))
-            yield batch.select([0, 1]).filter(pa.array([similar(x, y, least) for x, y in both], pa.bool_()))
+            part = batch.column(0).to_numpy(zero_copy_only=False)
+            edges = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), batch.num_rows]
+            for start, end in zip(edges, edges[1:]):
+                if waiting and start < end and waiting[0].column(0)[0].as_py() != int(part[start]):
+                    yield tested(waiting)
+                    waiting = []
+                if start < end:
+                    waiting.append(batch.slice(start, end - start))
+        if waiting:
+            yield tested(waiting)
 
-    joined = pairs.join(ends[0], "a").join(ends[1], "b").select("a", "b", "a_set", "b_set")
-    return joined.mapInArrow(verify, "a long, b long")
+    return lined.select("part", "a", "b", "a_offset", "a_length", "b_offset", "b_length").mapInArrow(verify, "a long, b long")
 
 
 def open_pairs(label: np.ndarray, n: np.ndarray, place: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -454,22 +572,61 @@ def open_pairs(label: np.ndarray, n: np.ndarray, place: np.ndarray, least: float
         yield rows[i[x]], rows[y]
 
 
-def missing_pairs(texts: DataFrame, least: float, bucket: int = BUCKET) -> DataFrame:
-    """``a, b``: pairs of ``texts(text_id, label, n, prefix)`` with different labels, among them all similar to ``least``."""
+def shared_keys(rows: DataFrame, common) -> DataFrame:
+    """``key, no, place`` of prefix hashes that more than one row has, and where in its prefix a row has them.
+
+    Common hashes surely are shared, and stay where they are; the others meet once, with nothing but their row's number.
+    """
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keys(often: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 256):
+                    some = batch.slice(at, 256)
+                    own = [np.frombuffer(v.as_buffer(), np.int64) for v in some.column(1)]
+                    times = np.array([len(x) for x in own])
+                    numbers = np.repeat(some.column(0).to_numpy(zero_copy_only=False), times)
+                    place = np.concatenate([np.arange(x) for x in times]).astype(np.int32)
+                    key = np.concatenate(own)
+                    chosen = np.isin(key.view(np.uint64), common.value) == often
+                    arrays = [pa.array(key[chosen]), pa.array(numbers[chosen]), pa.array(place[chosen])]
+                    yield pa.RecordBatch.from_arrays(arrays, names=["key", "no", "place"])
+
+        return rows.select("no", "prefix").mapInArrow(run, "key long, no long, place int")
+
+    def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before: pa.RecordBatch | None = None
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                own = [np.frombuffer(v.as_buffer(), np.int64) for v in some.column(3)]
-                times = np.array([len(x) for x in own])
-                ids, label, n = (np.repeat(some.column(i).to_numpy(zero_copy_only=False), times) for i in range(3))
-                place = np.concatenate([np.arange(x) for x in times])
-                arrays = [pa.array(np.concatenate(own)), pa.array(ids), pa.array(label), pa.array(n), pa.array(place.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(arrays, names=["key", "text_id", "label", "n", "place"])
-
-    made = texts.select("text_id", "label", "n", "prefix").mapInArrow(keys, "key long, text_id long, label long, n int, place int")
-    lined = dealt(made, bucket, "text_id").repartition("key").sortWithinPartitions("key")
+            table = pa.Table.from_batches([before, batch] if before is not None else [batch]).combine_chunks()
+            key = table.column(0).to_numpy()
+            # The last key may go on in the next batch.
+            cut = int(np.searchsorted(key, key[-1])) if len(key) else 0
+            yield from _shared(table.slice(0, cut))
+            left = table.slice(cut)
+            before = left.combine_chunks().to_batches()[0] if left.num_rows else None
+        if before is not None:
+            yield from _shared(pa.Table.from_batches([before]))
+
+    lined = keys(False).repartition("key").sortWithinPartitions("key")
+    return lined.mapInArrow(several, "key long, no long, place int").unionByName(keys(True))
+
+
+def _shared(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Rows of a sorted table whose key another row has."""
+    key = table.column(0).to_numpy()
+    if len(key) > 1:
+        same = key[1:] == key[:-1]
+        kept = np.concatenate(([False], same)) | np.concatenate((same, [False]))
+        yield from table.filter(pa.array(kept)).combine_chunks().to_batches()
+
+
+def missing_pairs(texts: DataFrame, keys: DataFrame, least: float, bucket: int = BUCKET) -> DataFrame:
+    """``a, b``: pairs of ``texts(no, label, n)`` with different labels, among them all similar to ``least``.
+
+    ``keys`` are the ``shared_keys`` of these texts and of any others, which are left out here.
+    """
+    made = keys.join(texts.select("no", "label", "n"), "no").select("key", "no", "label", "n", "place")
+    lined = dealt(materialize(made, "keys"), bucket, "no").repartition("key").sortWithinPartitions("key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -508,30 +665,20 @@ def drop_near_duplicates(docs: DataFrame, bits: int = 9, width: int = 5, least:
     links connect. Fingerprints of word pairs within ``bits`` bits come first: a spanning forest of them and the
     ``NEAR`` shortest links of each are tested, which joins most of every large group. What may still be missing
     between two groups so found comes from shingles: two similar texts share one of the first fifth of their hashes,
-    so every such pair is met and tested, whatever its fingerprints are. Equal texts are one text; texts without words
-    are alike. Null ids come last; of rows equal in id and text one stays.
+    so every such pair is met and tested, whatever its fingerprints are. Equal texts (told by 128 bits) are one text;
+    texts without words are alike. Null ids come last; of rows equal in id and text one stays.
     """
-    named = docs.select("doc_id", F.xxhash64("text", F.lit(1)).alias("text_id"), "text")
-    common = docs.sparkSession.sparkContext.broadcast(common_shingles(named, width))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fps, sizes, prefixes, counts = [], [], [], []
-            for text in batch.column(2).cast(pa.binary()):
-                words = text_words(text.as_py())
-                own = shingle_set(words, width)
-                fps.append(fingerprint(words, 2))
-                sizes.append(len(own))
-                prefixes.append(prefix(own, common.value, least).tobytes())
-                counts.append(cells(own))
-            made = [pa.array(fps, pa.int64()), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.binary()), pa.array(counts, pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["doc_id", "text_id", "fp", "n", "prefix", "cells"])
-
-    rows = materialize(named.mapInArrow(run, "doc_id long, text_id long, fp long, n int, prefix binary, cells binary"), "fingerprints")
-    firsts = [F.first(c).alias(c) for c in ("fp", "n", "prefix", "cells")]
-    texts = materialize(rows.groupBy("text_id").agg(*firsts), "texts")
+    spark = docs.sparkSession
+    hashes = [F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2")]
+    named = docs.select("doc_id", *hashes, "text")
+    common = spark.sparkContext.broadcast(common_shingles(named, width))
+    folder = scratch_path(spark, "texts")
+    rows = read_rows(named, folder, common, width, least)
+    # One row stands for each text.
+    texts = rows.groupBy("h1", "h2").agg(F.min(F.struct("no", "fp", "n")).alias("t"))
+    texts = materialize(texts.select("h1", "h2", "t.*"), "texts")
     # A fingerprint that several texts have is stood for by two of them here.
-    text = F.struct("text_id", "n")
+    text = F.struct("no", "n")
     classes = materialize(texts.groupBy("fp").agg(F.array_distinct(F.array(F.min(text), F.max(text))).alias("shown")), "classes")
     within = texts.select(text.alias("left"), "fp").join(classes, "fp").select("left", F.explode("shown").alias("right"))
     near = links(classes.select("fp"), bits, near=NEAR).select("a", "b").distinct()
@@ -539,24 +686,22 @@ def drop_near_duplicates(docs: DataFrame, bits: int = 9, width: int = 5, least:
     between = near.join(ends[0], "a").join(ends[1], "b").select(F.explode("a_shown").alias("left"), "b_shown")
     pairs = within.unionByName(between.select("left", F.explode("b_shown").alias("right")))
     pairs = pairs.where(F.least("left.n", "right.n") >= least * F.greatest("left.n", "right.n") - 1e-6)
-    pairs = pairs.select(F.least("left.text_id", "right.text_id").alias("a"), F.greatest("left.text_id", "right.text_id").alias("b"))
-    label = components(held_pairs(pairs.where("a <> b"), texts, named, width, least)).withColumnRenamed("node", "text_id")
-    texts = texts.select("text_id", "n", "prefix", "cells").join(label, "text_id", "left").withColumn("label", F.coalesce("label", "text_id"))
-    texts = materialize(texts, "labelled")
-    rest = held_pairs(missing_pairs(texts, least), texts, named, width, least)
+    pairs = pairs.select(F.least("left.no", "right.no").alias("a"), F.greatest("left.no", "right.no").alias("b"))
+    label = components(held_pairs(pairs.where("a <> b"), rows, folder, width, least)).withColumnRenamed("node", "no")
+    texts = materialize(texts.select("h1", "h2", "no", "n").join(label, "no", "left").withColumn("label", F.coalesce("label", "no")), "labelled")
+    rest = held_pairs(missing_pairs(texts, shared_keys(rows, common), least), rows, folder, width, least)
     for x in ("a", "b"):
-        rest = rest.join(texts.select(F.col("text_id").alias(x), F.col("label").alias(f"{x}_label")), x)
+        rest = rest.join(texts.select(F.col("no").alias(x), F.col("label").alias(f"{x}_label")), x)
     whole = components(rest.select(F.col("a_label").alias("a"), F.col("b_label").alias("b"))).select(F.col("node").alias("label"), F.col("label").alias("to"))
-    label = texts.select("text_id", "label").join(whole, "label", "left").select("text_id", F.coalesce("to", "label").alias("label"))
-    members = rows.groupBy("text_id", "doc_id").agg(F.count(F.lit(1)).alias("copies")).join(label, "text_id", "left")
-    members = members.withColumn("label", F.coalesce("label", "text_id"))
-    order = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "text_id", "copies")
-    winners = members.groupBy("label").agg(F.min(order).alias("w")).select("w.doc_id", "w.text_id", "w.copies")
-    winners = materialize(winners.select(F.col("doc_id").alias("d"), F.col("text_id").alias("t"), "copies"), "winners")
+    label = texts.join(whole, "label", "left").select("h1", "h2", F.coalesce("to", "label").alias("label"))
+    members = rows.groupBy("h1", "h2", "doc_id").agg(F.count(F.lit(1)).alias("copies")).join(label, ["h1", "h2"])
+    order = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "h1", "h2", "copies")
+    winners = members.groupBy("label").agg(F.min(order).alias("w")).select("w.doc_id", "w.h1", "w.h2", "w.copies")
+    winners = materialize(winners.select(F.col("doc_id").alias("d"), F.col("h1").alias("t1"), F.col("h2").alias("t2"), "copies"), "winners")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    packed = docs.select(row, F.col("doc_id"), F.xxhash64("text", F.lit(1)).alias("text_id"))
-    won = packed.join(winners, (F.col("text_id") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("d")))
+    packed = docs.select(row, F.col("doc_id"), *hashes)
+    won = packed.join(winners, (F.col("h1") == F.col("t1")) & (F.col("h2") == F.col("t2")) & F.col("doc_id").eqNullSafe(F.col("d")))
     single = won.where("copies = 1").select("row")
-    first = Window.partitionBy("t", "d").orderBy(F.lit(1))
+    first = Window.partitionBy("t1", "t2", "d").orderBy(F.lit(1))
     several = won.where("copies > 1").withColumn("n", F.row_number().over(first)).where("n = 1").select("row")
     return single.unionByName(several).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
