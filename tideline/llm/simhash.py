@@ -350,9 +350,8 @@ def near_duplicates(docs: DataFrame, width: int = 4, bits: int = 4, text: str =
     return rows.join(by_class, "fp").select("doc_id", "fp", "component_id")
 
 
-NEAR = 4
-COMMON_DOCS, COMMON_SEEN, COMMON_MOST = 2000, 3, 50_000
-BLOCK_BYTES, FILE_BITS = 64 << 20, 33
+COMMON_DOCS, COMMON_SHARE, COMMON_SEEN, COMMON_MOST = 2000, 0.1, 3, 500_000
+BLOCK_BYTES, FILE_BITS = 8 << 20, 33
 
 
 def shingle_set(words: list[bytes], width: int) -> np.ndarray:
@@ -371,15 +370,24 @@ def prefix(own: np.ndarray, common: np.ndarray, least: float) -> np.ndarray:
     more. All sets are in one order, ``common`` hashes last; which they are only moves cost. Empty sets share a 0."""
     if not len(own):
         return np.zeros(1, np.uint64)
-    often = np.isin(own, common, assume_unique=True)
+    often = among(own, common)
     return np.concatenate((own[~often], own[often]))[: len(own) - int(np.ceil(least * len(own) - 1e-9)) + 1]
 
 
+def among(own: np.ndarray, listed: np.ndarray) -> np.ndarray:
+    """Which hashes are in a sorted list."""
+    return listed[np.minimum(np.searchsorted(listed, own), len(listed) - 1)] == own if len(listed) else np.zeros(len(own), bool)
+
+
 def common_shingles(docs: DataFrame, width: int) -> np.ndarray:
-    """Shingles that several texts of a bounded sample of ``docs(h1, text)`` have."""
+    """The shingles that most texts of a sample of ``docs(h1, text)`` have, in order.
+
+    The sample is a share of all distinct texts, so the number of texts that may have a shingle which is not listed does
+    not grow with the corpus, until the list is full. The list only moves cost.
+    """
     texts = docs.where("text IS NOT NULL").select("h1", "text")
-    share = min(1.0, 2 * COMMON_DOCS / max(1, texts.count()))
-    drawn = texts.where(F.pmod(F.xxhash64("h1", F.lit(3)), F.lit(1_000_003)) < int(share * 1_000_003)).limit(COMMON_DOCS)
+    share = max(COMMON_SHARE, min(1.0, COMMON_DOCS / max(1, texts.count())))
+    drawn = texts.where(F.pmod(F.xxhash64("h1", F.lit(3)), F.lit(1_000_003)) < int(share * 1_000_003)).dropDuplicates(["h1"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -387,9 +395,9 @@ def common_shingles(docs: DataFrame, width: int) -> np.ndarray:
                 own = shingle_set(text_words(text.as_py()), width).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), h1)), pa.array(own)], names=["h1", "key"])
 
-    seen = drawn.mapInArrow(run, "h1 long, key long").distinct().groupBy("key").count().where(F.col("count") >= COMMON_SEEN)
-    listed = seen.orderBy(F.col("count").desc(), "key").limit(COMMON_MOST).collect()
-    return np.sort(np.array([r.key for r in listed], np.int64).view(np.uint64))
+    seen = drawn.mapInArrow(run, "h1 long, key long").groupBy("key").count().where(F.col("count") >= COMMON_SEEN)
+    listed = seen.orderBy(F.col("count").desc(), "key").limit(COMMON_MOST).select("key").toArrow().column("key")
+    return np.sort(listed.to_numpy().astype(np.int64).view(np.uint64))
 
 
 def cells(own: np.ndarray) -> bytes:
@@ -513,9 +521,8 @@ def held_pairs(pairs: DataFrame, rows: DataFrame, folder: str, width: int, least
 
     counted = counted.select("a", "b", "a_cells", "b_cells", "a_n", "b_n", "a_offset", "a_length", "b_offset", "b_length")
     held = materialize(counted.mapInArrow(may, "a long, b long, a_n int, b_n int, a_offset long, a_length int, b_offset long, b_length int"), "pairs")
-    label = components(held.select("a", "b"))
-    ends = held.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("a_n").alias("n")), F.struct(F.col("b").alias("node"), F.col("b_n").alias("n")))).alias("end"))
-    sizes = ends.select("end.*").distinct().join(label, "node").groupBy("label").agg(F.sum(F.col("n").cast("long")).alias("n"))
+    label = materialize(components(held.select("a", "b")), "groups")
+    sizes = rows.select(F.col("no").alias("node"), "n").join(label, "node").groupBy("label").agg(F.sum(F.col("n").cast("long")).alias("n"))
     blocks = sizes.select("label", F.greatest(F.lit(1), F.ceil(8 * F.col("n") / block)).cast("long").alias("blocks"))
     dealt_out = held.join(label.withColumnRenamed("node", "a"), "a").join(blocks, "label")
     one, two = (F.pmod(F.xxhash64(x, F.lit(13)), F.col("blocks")) for x in ("a", "b"))
@@ -588,7 +595,7 @@ def shared_keys(rows: DataFrame, common) -> DataFrame:
                     numbers = np.repeat(some.column(0).to_numpy(zero_copy_only=False), times)
                     place = np.concatenate([np.arange(x) for x in times]).astype(np.int32)
                     key = np.concatenate(own)
-                    chosen = np.isin(key.view(np.uint64), common.value) == often
+                    chosen = among(key.view(np.uint64), common.value) == often
                     arrays = [pa.array(key[chosen]), pa.array(numbers[chosen]), pa.array(place[chosen])]
                     yield pa.RecordBatch.from_arrays(arrays, names=["key", "no", "place"])
 
@@ -662,9 +669,8 @@ def drop_near_duplicates(docs: DataFrame, bits: int = 9, width: int = 5, least:
     """One row of each group of near duplicates of ``docs(doc_id, text, ...)``: that with the smallest id.
 
     Texts are linked if their whole sets of ``width``-word shingles are similar to ``least``, and groups are all that
-    links connect. Fingerprints of word pairs within ``bits`` bits come first: a spanning forest of them and the
-    ``NEAR`` shortest links of each are tested, which joins most of every large group. What may still be missing
-    between two groups so found comes from shingles: two similar texts share one of the first fifth of their hashes,
+    links connect. Fingerprints of word pairs within ``bits`` bits come first: a spanning forest of them is tested, which
+    joins most of every large group. What may still be missing between two groups so found comes from shingles: two similar texts share one of the first fifth of their hashes,
     so every such pair is met and tested, whatever its fingerprints are. Equal texts (told by 128 bits) are one text;
     texts without words are alike. Null ids come last; of rows equal in id and text one stays.
     """
@@ -681,7 +687,7 @@ def drop_near_duplicates(docs: DataFrame, bits: int = 9, width: int = 5, least:
     text = F.struct("no", "n")
     classes = materialize(texts.groupBy("fp").agg(F.array_distinct(F.array(F.min(text), F.max(text))).alias("shown")), "classes")
     within = texts.select(text.alias("left"), "fp").join(classes, "fp").select("left", F.explode("shown").alias("right"))
-    near = links(classes.select("fp"), bits, near=NEAR).select("a", "b").distinct()
+    near = links(classes.select("fp"), bits).select("a", "b").distinct()
     ends = [classes.select(F.col("fp").alias(x), F.col("shown").alias(f"{x}_shown")) for x in ("a", "b")]
     between = near.join(ends[0], "a").join(ends[1], "b").select(F.explode("a_shown").alias("left"), "b_shown")
     pairs = within.unionByName(between.select("left", F.explode("b_shown").alias("right")))
