@@ -55,3 +55,15 @@ def test_damaged_keys(spark):
     some = spark.createDataFrame([(1,)], "chunk_no long")
     found = {(r.chunk_no, r.rn, r.pk, r.state) for r in digesttree.damaged_keys(keys, copy, some).collect()}
     assert found == {(1, 12, 36, "lost"), (1, 17, 51, "changed"), (1, 99, 7, "added")}
+
+
+def test_hundreds_of_named_parents_far_from_each_other(spark, folder):
+    parents = [*range(0, 4000, 8), 4001, 4002]
+    wanted = digesttree.children_of(parents, 4)
+    found = [r.node for r in spark.range(20_000).withColumnRenamed("id", "node").where(wanted).orderBy("node").collect()]
+    assert found == [n for p in parents for n in range(4 * p, 4 * p + 4)]
+    changed = range(0, 8000, 16)
+    digesttree.store_tree(chunks(spark, 8000), f"{folder}/a", "t", 4)
+    levels = digesttree.store_tree(chunks(spark, 8000, changed), f"{folder}/b", "t", 4)
+    damage = digesttree.differing_chunks(spark, f"{folder}/a", f"{folder}/b", "t", levels, 4)
+    assert sorted(r.chunk_no for r in damage.chunks.collect()) == [*changed]
