@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tideline.operators import intervals
+from tideline.operators import intervals, rollups
 
 D = datetime.date
 
@@ -36,3 +36,19 @@ def test_plan_is_an_equi_join(spark):
     ranges = spark.sql("SELECT id, date_add(DATE '2001-01-01', CAST(id AS INT)) AS first_day, DATE '2010-01-01' AS last_day FROM range(10)")
     plan = intervals.days_in_ranges(ranges, ranges.select(F.col("first_day").alias("day")))._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_jobs_of_days_are_counted_without_pairs(spark):
+    rows = [(1, "2001-01-01", "2001-01-05"), (1, "2001-01-03", "2001-01-09"), (1, "2001-01-09", "2001-01-09"), (2, "2001-01-04", "2001-01-02")]
+    rows += [(3, None, "2001-01-05"), (4, "2001-01-05", "2003-05-01"), (None, "2001-01-05", "2001-01-05"), (4, "2001-01-05", "2003-05-01")]
+    covered = spark.createDataFrame(rows, "job_id long, a string, b string").selectExpr(
+        "job_id", "'t' AS table_name", "CAST(a AS DATE) AS first_day", "CAST(b AS DATE) AS last_day"
+    )
+    days = spark.sql("SELECT explode(array(DATE'2001-01-03', DATE'2001-01-05', DATE'2001-01-05', DATE'2001-01-09', DATE'2002-01-01', DATE'2009-01-01', NULL)) AS day")
+    pairs = rollups.restore_lookup_ranges(covered, days)
+    assert sorted((str(r.day), r.job_id or 0) for r in pairs.collect()) == [
+        ("2001-01-03", 1), ("2001-01-05", 0), ("2001-01-05", 1), ("2001-01-05", 4), ("2001-01-09", 1), ("2001-01-09", 4), ("2002-01-01", 4)
+    ]
+    counted = rollups.restore_lookup_ranges(covered, days, counted=True)
+    found = {(str(r.day), r.jobs, r.first_job, r.last_job) for r in counted.collect()}
+    assert found == {("2001-01-03", 1, 1, 1), ("2001-01-05", 3, 1, 4), ("2001-01-09", 2, 1, 4), ("2002-01-01", 1, 4, 4)}

@@ -7,8 +7,11 @@ a range and a day in it meet in exactly one piece, so the join is an equi-join a
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Pieces of up to 2^16 days, some 179 years; longer ranges have more of the largest.
 SIZES = 16
@@ -51,6 +54,34 @@ def day_pieces(day: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(SIZES)), lambda s: F.struct(s.alias("size"), F.floor(number / F.pow(F.lit(2), s)).cast("long").alias("piece")))
 
 
+def merged_ranges(ranges: DataFrame, by: Sequence[str], first: str = "first_day", last: str = "last_day") -> DataFrame:
+    """``(by, first, last)``: ranges that share a day, of the same ``by``, as one; those that hold no day are left out.
+
+    No day lies in two ranges of the same ``by`` then.
+    """
+    earlier = Window.partitionBy(*by).orderBy(first, last).rowsBetween(Window.unboundedPreceding, -1)
+    begins = F.coalesce(F.col(first) > F.max(last).over(earlier), F.lit(True))
+    marked = ranges.where(F.col(first) <= F.col(last)).select(*by, first, last).withColumn("_begins", begins.cast("int"))
+    runs = marked.withColumn("_run", F.sum("_begins").over(Window.partitionBy(*by).orderBy(first, last).rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy(*by, "_run").agg(F.min(first).alias(first), F.max(last).alias(last)).drop("_run")
+
+
+def days_held(ranges: DataFrame, days: DataFrame, key: str, by: Sequence[str] = (), first: str = "first_day", last: str = "last_day", day: str = "day") -> DataFrame:
+    """``(by, day, n, low, high)``: how many ranges hold each of the distinct ``days``, and their smallest and largest ``key``.
+
+    Ranges are counted by their ends, then by their dyadic pieces, before they meet the days, so no pair of a range and a
+    day is made: what is shuffled grows with the ranges, and what is joined with the days they span.
+    """
+    measures = [F.count(F.lit(1)).alias("n"), F.min(key).alias("low"), F.max(key).alias("high")]
+    again = [F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")]
+    ends = ranges.where(F.col(first) <= F.col(last)).groupBy(*by, first, last).agg(*measures)
+    cut = ends.select(*by, "n", "low", "high", F.explode(dyadic_pieces(F.col(first), F.col(last))).alias("_at"))
+    pieces = cut.groupBy(*by, F.col("_at.size").alias("size"), F.col("_at.piece").alias("piece")).agg(*again)
+    wanted = days.where(F.col(day).isNotNull()).select(F.col(day).alias("_day")).distinct()
+    placed = wanted.select("_day", F.explode(day_pieces(F.col("_day"))).alias("_at")).select("_day", "_at.*")
+    return pieces.join(placed, ["size", "piece"]).groupBy(*by, F.col("_day").alias(day)).agg(*again)
+
+
 def days_in_ranges(ranges: DataFrame, days: DataFrame, first: str = "first_day", last: str = "last_day", day: str = "day") -> DataFrame:
     """The rows of ``ranges`` with each of the distinct ``days`` that lies in them, both ends included.
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.functions.severity import level_rank, megabytes, round_to
-from tideline.operators.intervals import days_in_ranges
+from tideline.operators.intervals import days_held, days_in_ranges, merged_ranges
 from tideline.operators.jobs import ACTIVE_STATES, ATTENTION_STATES, FINISHED_STATES
 
 
@@ -124,9 +124,16 @@ def restore_lookup(covered: DataFrame, days: DataFrame) -> DataFrame:
     return covered.select("job_id", "table_name", "day").distinct().join(wanted, "day")
 
 
-def restore_lookup_ranges(covered: DataFrame, days: DataFrame) -> DataFrame:
-    """The same of ``covered(job_id, table_name, first_day, last_day)``, one row per job and boundary, never one per day."""
-    return days_in_ranges(covered.select("job_id", "table_name", "first_day", "last_day").distinct(), days).select("job_id", "table_name", "day").distinct()
+def restore_lookup_ranges(covered: DataFrame, days: DataFrame, counted: bool = False) -> DataFrame:
+    """The same of ``covered(job_id, table_name, first_day, last_day)``, one row per job and boundary, never one per day.
+
+    A job's ranges are merged first, so each of its days is found once. ``counted`` gives ``(table_name, day, jobs, first_job,
+    last_job)`` instead, without making a row per job and day.
+    """
+    merged = merged_ranges(covered, ["job_id", "table_name"])
+    if counted:
+        return days_held(merged, days, "job_id", ["table_name"]).withColumnsRenamed({"n": "jobs", "low": "first_job", "high": "last_job"})
+    return days_in_ranges(merged, days).select("job_id", "table_name", "day")
 
 
 def oldest_keys(df: DataFrame, date_column: str, key: str, k: int) -> DataFrame:
