@@ -4,9 +4,12 @@ import os
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 from compare import FOLDER
+from tideline import session
+from tideline.queries.registry import Inputs
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="the driver's tables are not here")
 
@@ -66,3 +69,16 @@ def test_only_aggregates_meet_in_one_task(spark):
         for i, line in enumerate(lines):
             if "Exchange SinglePartition" in line:
                 assert "Aggregate" in lines[i + 1], f"{name}: {lines[i + 1][:120]}"
+
+
+def test_grouped_tables_are_dealt_once_in_parts_of_bounded_size(spark, folder, monkeypatch):
+    rows = "SELECT CASE WHEN id < 10 THEN NULL ELSE id DIV 4 END AS l_orderkey, id % 7 AS l_partkey, CAST(id % 3 AS INT) AS l_linenumber, 1.5D AS l_quantity, 2.25D AS l_extendedprice, TIMESTAMP'2001-01-01' AS l_shipdate FROM range(400)"
+    spark.sql(rows).write.parquet(f"{folder}/lineitem.parquet")
+    monkeypatch.setattr(session, "DEALT_BYTES", 100)
+    inputs = Inputs(spark, folder)
+    for df in (inputs.order_lines, inputs.edges):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and df.rdd.getNumPartitions() > 4
+    assert inputs.edges.distinct().count() == inputs.edges.count()
+    assert inputs.order_lines.agg(F.sum("pieces")).first()[0] == 400
+    assert inputs.order_lines.where("order_id IS NULL").count() == 3

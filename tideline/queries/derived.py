@@ -32,6 +32,7 @@ SELECT l_orderkey * 8 + l_linenumber AS line_id, l_orderkey AS order_id, CAST(co
 FROM {lineitem}
 GROUP BY l_orderkey, l_linenumber
 """,
+    {"lineitem": ("l_orderkey", "l_linenumber")},
 )
 
 # Shipments per return flag, with two days on which twenty times as many went out.
@@ -325,6 +326,7 @@ SELECT DISTINCT l_orderkey AS app_id, 't' || CAST(l_linenumber AS VARCHAR(20)) A
          AS on_delete
 FROM {lineitem}
 """,
+    {"lineitem": ("l_orderkey",)},
 )
 
 # The tables of those databases: both ends of every key.

@@ -14,19 +14,26 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from tideline.session import dealt
+
 BASE_TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
     "pages", "benchmark", "labels", "conversations",
 )
 
 DERIVED: dict[str, str] = {}
+_DEALT: dict[str, dict[str, tuple[str, ...]]] = {}
 CHECK_TABLES: dict[str, str] = {}
 _SCHEMAS: dict[str, T.StructType] = {}
 
 
-def derive(name: str, sql: str) -> None:
-    """Register a derived table; other tables are named in braces."""
+def derive(name: str, sql: str, deal: dict[str, tuple[str, ...]] | None = None) -> None:
+    """Register a derived table; other tables are named in braces.
+
+    ``deal`` names tables that Spark deals out by some columns first, for a text that groups by these and more.
+    """
     DERIVED[name] = sql.strip()
+    _DEALT[name] = deal or {}
 
 
 def check_table(name: str, sql: str) -> None:
@@ -53,6 +60,7 @@ class Inputs:
         if name in DERIVED:
             sql = DERIVED[name]
             used = {n: getattr(self, n) for n in table_names(sql)}
+            used |= {n: dealt(used[n], *keys) for n, keys in _DEALT[name].items()}
             return self.spark.sql(sql, **used)
         raise AttributeError(name)
 
