@@ -105,3 +105,18 @@ def test_plans_do_not_grow_with_the_rounds(spark):
     assert {r["table_name"]: r["round"] for r in order.collect()} == {f"t{i:02}": 24 - i for i in range(25)}
     for df, scans in ((reached, 1), (order, 2)):
         assert df._jdf.queryExecution().optimizedPlan().toString().count(" parquet") <= scans
+
+
+def test_small_and_large_graphs_are_followed_alike(spark, monkeypatch):
+    """Graphs at both sides of the bound, some without a known application; the small ones are dealt out whole."""
+    monkeypatch.setattr(graph, "SMALL", 4)
+    edges = [("a", "x", "y"), ("a", "y", "z"), ("a", "z", "x"), ("a", "w", "x"), (None, "p", "q"), (None, "q", "p")]
+    edges += [("b", f"n{i}", f"n{i + 1}") for i in range(6)] + [("b", "n6", "n3"), ("c", "s", "s"), ("c", "s", "s"), ("d", "u", "v")]
+    df = spark.createDataFrame(edges, "app string, child string, parent string")
+    found = {(r.app, r.table_name): r.component for r in graph.fk_cycles(df, ["app"]).collect()}
+    assert found == {**{("a", t): "x" for t in "xyz"}, **{("b", f"n{i}"): "n3" for i in range(3, 7)}, ("c", "s"): "s"}
+    paths = {(r.app, r.node, r.ancestor) for r in graph.transitive_closure(df, ["app"]).collect()}
+    assert ("a", "w", "z") in paths and ("b", "n0", "n6") in paths and ("d", "u", "v") in paths and (None, "p", "q") in paths
+    assert len([p for p in paths if p[0] == "a"]) == 12
+    whole = graph._by_size(df, ["app"])[0]
+    assert sorted({r.app or "" for r in whole.collect()}) == ["", "a", "c", "d"]

@@ -10,8 +10,14 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from tideline.session import materialize, scratch_path
+from tideline.session import dealt, materialize, scratch_path
+
+#: Graphs of up to so many edges are followed whole by the task that holds them, larger ones are dealt out by their tables too.
+SMALL = 256
+#: Rounds in which small graphs lose their dead ends, for each copy that is written.
+TRIMMED = 4
 
 
 class Rounds:
@@ -32,19 +38,47 @@ class Rounds:
         return self.spark.read.schema(self.schema).option("recursiveFileLookup", "true").parquet(self.path)
 
 
+def _by_size(edges: DataFrame, keys: list[str]) -> tuple[DataFrame | None, DataFrame | None]:
+    """Edges of the graphs of at most ``SMALL`` edges, and those of the larger ones; none where there are none."""
+    if not keys:
+        return None, edges
+    large = materialize(edges.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > SMALL).select(*keys), "large")
+    if large.isEmpty():
+        return edges, None
+    same = [edges[k].eqNullSafe(large[k]) for k in keys]
+    return edges.join(large, same, "left_anti"), edges.join(large, same, "left_semi")
+
+
 def transitive_closure(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """``(by, node, ancestor)`` for every path from child to parent.
 
-    Paths double in length each round, so the rounds grow with the logarithm of the longest path.
+    Paths double in length each round, so the rounds grow with the logarithm of the longest path. Small graphs are dealt
+    out whole, once a round; paths of larger ones meet by the table between.
     """
     keys = list(by)
-    paths = edges.select(*keys, F.col("child").alias("node"), F.col("parent").alias("ancestor")).distinct()
-    paths = materialize(paths, "paths")
+    edges = edges.select(*keys, "child", "parent")
+    small, large = _by_size(edges if not keys else materialize(edges, "edges"), keys)
+    found = [_closed(part, keys, whole) for part, whole in ((small, True), (large, False)) if part is not None]
+    return found[0] if len(found) == 1 else found[0].unionByName(found[1])
+
+
+def _closed(edges: DataFrame, keys: list[str], whole: bool) -> DataFrame:
+    paths = edges.select(*keys, F.col("child").alias("node"), F.col("parent").alias("ancestor"))
+    paths = materialize((dealt(paths, *keys) if whole else paths).distinct(), "paths")
     size = paths.count()
     while True:
-        onward = paths.select(*keys, F.col("node").alias("_via"), F.col("ancestor").alias("_far"))
-        joined = paths.withColumnRenamed("ancestor", "_via").join(onward, [*keys, "_via"])
+        held = dealt(paths, *keys) if whole else paths
+        onward = held.select(*keys, F.col("node").alias("_via"), F.col("ancestor").alias("_far"))
+        joined = held.withColumnRenamed("ancestor", "_via").join(onward, [*keys, "_via"])
         longer = joined.select(*keys, "node", F.col("_far").alias("ancestor"))
+        if whole:
+            # What is new, without a shuffle: both sides are dealt out by graph.
+            new = longer.distinct().join(held, [*keys, "node", "ancestor"], "left_anti")
+            new = materialize(new, "paths")
+            if new.isEmpty():
+                return paths
+            paths = materialize(paths.unionByName(new), "paths")
+            continue
         paths = materialize(paths.unionByName(longer).distinct(), "paths")
         grown = paths.count()
         if grown == size:
@@ -83,7 +117,37 @@ def edges_between(edges: DataFrame, tables: DataFrame, by: Sequence[str] = ()) -
 def _cyclic_core(edges: DataFrame, by: Sequence[str]) -> DataFrame:
     """Edges left after taking away, again and again, those that lead to or come from a dead end."""
     keys = list(by)
-    core = materialize(edges.select(*keys, "child", "parent").distinct(), "core")
+    edges = edges.select(*keys, "child", "parent")
+    small, large = _by_size(edges, keys)
+    found = [_trimmed_whole(small, keys)] if small is not None else []
+    if large is not None:
+        found.append(_trimmed(large, keys))
+    return found[0] if len(found) == 1 else found[0].unionByName(found[1])
+
+
+def _trimmed_whole(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """The core of small graphs: each is held by one task, which trims it by the sets of its children and parents.
+
+    Graphs without known keys hold no paths, as keys are joined by equality.
+    """
+    own = Window.partitionBy(*keys)
+    core, size = edges.dropna(subset=[*keys, "child", "parent"]), None
+    while True:
+        core = dealt(core, *keys)
+        if size is None:
+            core = core.distinct()
+        for _ in range(TRIMMED):
+            core = core.withColumns({"_from": F.collect_set("child").over(own), "_to": F.collect_set("parent").over(own)})
+            core = core.where(F.array_contains("_from", F.col("parent")) & F.array_contains("_to", F.col("child"))).drop("_from", "_to")
+        core = materialize(core, "core")
+        left = core.count()
+        if not left or left == size:
+            return core
+        size = left
+
+
+def _trimmed(edges: DataFrame, keys: list[str]) -> DataFrame:
+    core = materialize(edges.distinct(), "core")
     size = core.count()
     while size:
         leads_on = core.select(*keys, F.col("child").alias("parent")).distinct()

@@ -105,10 +105,15 @@ reached AS (
 """
 
 
-def graphs(inputs: Inputs) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Tables, roots and edges; written once because every round of a graph operator reads them."""
+def graph_edges(inputs: Inputs) -> DataFrame:
+    """Edges; written once because every round of a graph operator reads them."""
     edges = inputs.edges.withColumn("child_columns", F.array(F.lit("ref")))
-    edges = materialize(edges.withColumn("parent_columns", F.array(F.lit("id"))), "edges")
+    return materialize(edges.withColumn("parent_columns", F.array(F.lit("id"))), "edges")
+
+
+def graphs(inputs: Inputs) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Tables, roots and edges."""
+    edges = graph_edges(inputs)
     ends = F.explode(F.array("child", "parent")).alias("table_name")
     tables = materialize(edges.select("app_id", ends).distinct(), "tables")
     return tables, tables.groupBy("app_id").agg(F.min("table_name").alias("root")), edges
@@ -129,7 +134,7 @@ cycles AS (
 
 @query("fk_cycles", f"WITH {_WALKS}, {_CYCLES} SELECT app_id, table_name, component FROM cycles")
 def cycles(inputs: Inputs) -> DataFrame:
-    return graph.fk_cycles(graphs(inputs)[2], ["app_id"])
+    return graph.fk_cycles(graph_edges(inputs), ["app_id"])
 
 
 @query(
