@@ -171,6 +171,6 @@ SELECT user_id, event_type, micros FROM reported
 """,
 )
 def suppressed(inputs: Inputs) -> DataFrame:
-    stream = event_stream(inputs).withColumn("ts", jobs.utc_instant(F.col("ts")))
+    stream = event_stream(inputs).select("user_id", "event_type", jobs.utc_instant(F.col("ts")).alias("ts"))
     kept = jobs.stream_suppress(stream, "ts", ["user_id", "event_type"], 24)
     return drain(inputs, kept.select("user_id", "event_type", F.unix_micros("ts").alias("micros")), "suppressed")

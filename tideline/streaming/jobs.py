@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -80,16 +81,21 @@ def stream_suppress(stream: DataFrame, column: str, keys: Sequence[str], hours:
     window = hours * 3_600_000_000
 
     def report(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(frames).sort_values(_AT, kind="stable")
+        found = list(frames)
+        rows = found[0] if len(found) == 1 else pd.concat(found)
+        # Keys are many and have few rows each, so what a call costs counts.
+        times = rows[_AT].to_numpy()
+        order = np.argsort(times, kind="stable")
         last = state.get[0] if state.exists else None
         kept = []
-        for place, at in enumerate(rows[_AT].tolist()):
+        for place, at in zip(order.tolist(), times[order].tolist()):
             if last is None or abs(at - last) >= window:
                 kept.append(place)
                 last = at if last is None else max(last, at)
         state.update((last,))
-        yield rows.iloc[kept].drop(columns=_AT)
+        yield rows.iloc[kept, :width]
 
+    width = len(stream.columns)
     timed = stream.withColumn(_AT, F.unix_micros(column))
     return timed.groupBy(*keys).applyInPandasWithState(
         report, stream.schema, "last long", "append", GroupStateTimeout.NoTimeout
