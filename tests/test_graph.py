@@ -120,3 +120,32 @@ def test_small_and_large_graphs_are_followed_alike(spark, monkeypatch):
     assert len([p for p in paths if p[0] == "a"]) == 12
     whole = graph._by_size(df, ["app"])[0]
     assert sorted({r.app or "" for r in whole.collect()}) == ["", "a", "c", "d"]
+
+
+def test_reach_and_order_of_small_and_large_graphs(spark, monkeypatch):
+    """Both ways give the same rows, repeated rows, unknown applications and unnamed tables included."""
+    edges = [("a", "x", "y"), ("a", "x", "y"), ("a", "w", "w"), ("b", "p", "q"), ("b", "q", "p"), ("b", "r", "p"), (None, "n", "m")]
+    edges += [("c", f"n{i}", f"n{i + 1}") for i in range(6)] + [("a", None, "y"), ("a", "lost", "y"), ("a", "x", "gone")]
+    tables = [(a, t) for a, c, p in edges for t in (c, p) if t not in ("lost", "gone")] + [("d", "alone")]
+    frames, listed = frame(spark, edges), spark.createDataFrame(tables, "app string, table_name string")
+    roots = spark.createDataFrame([("a", "y"), ("b", "q"), ("c", "n6"), (None, "m"), ("a", "y")], "app string, root string")
+    up = {("a", "x"), ("a", "y"), ("b", "p"), ("b", "q"), ("b", "r"), *(("c", f"n{i}") for i in range(7))}
+    rounds = {(a, t): 0 for a, t in tables if a != "b"} | {("a", "y"): 1} | {("c", f"n{i}"): i for i in range(7)}
+    for small in (256, 12, 0):
+        monkeypatch.setattr(graph, "SMALL", small)
+        reached = [tuple(r) for r in graph.reachability(listed, roots, frames, ["app"]).collect()]
+        assert sorted(map(str, reached)) == sorted(str((a, t, (a, t) in up)) for a, t in tables)
+        order = [tuple(r) for r in graph.removal_order(listed, frames, ["app"]).collect()]
+        assert sorted(map(str, order)) == sorted(str((*k, n)) for k, n in rounds.items())
+
+
+def test_parts_grow_with_the_rows(spark, monkeypatch):
+    """A task of the graph operators holds a bounded number of rows, however few bytes they are in files."""
+    from tideline import session
+
+    monkeypatch.setattr(session, "DEALT_ROWS", 100)
+    edges = spark.range(3000).selectExpr("id AS app", "'x' AS child", "'y' AS parent", "array('a') AS child_columns")
+    tables = edges.selectExpr("app", "explode(array(child, parent)) AS table_name")
+    roots = edges.selectExpr("app", "'y' AS root")
+    for df, rows in ((graph.reachability(tables, roots, edges, ["app"]), 12_000), (graph.removal_order(tables, edges, ["app"]), 9000)):
+        assert df.rdd.getNumPartitions() == rows // 100 and df.count() == 6000

@@ -82,3 +82,12 @@ def test_grouped_tables_are_dealt_once_in_parts_of_bounded_size(spark, folder, m
     assert inputs.edges.distinct().count() == inputs.edges.count()
     assert inputs.order_lines.agg(F.sum("pieces")).first()[0] == 400
     assert inputs.order_lines.where("order_id IS NULL").count() == 3
+
+
+def test_many_narrow_rows_are_dealt_in_parts_of_bounded_number(spark, folder, monkeypatch):
+    rows = "SELECT id DIV 4 AS l_orderkey, id % 7 AS l_partkey, CAST(id % 3 AS INT) AS l_linenumber, 1.5D AS l_quantity, 2.25D AS l_extendedprice, TIMESTAMP'2001-01-01' AS l_shipdate FROM range(4000)"
+    spark.sql(rows).write.parquet(f"{folder}/lineitem.parquet")
+    monkeypatch.setattr(session, "DEALT_ROWS", 100)
+    inputs = Inputs(spark, folder)
+    for df in (inputs.order_lines, inputs.edges):
+        assert df.rdd.getNumPartitions() == 40

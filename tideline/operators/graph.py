@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -42,7 +42,8 @@ def _by_size(edges: DataFrame, keys: list[str]) -> tuple[DataFrame | None, DataF
     """Edges of the graphs of at most ``SMALL`` edges, and those of the larger ones; none where there are none."""
     if not keys:
         return None, edges
-    large = materialize(edges.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > SMALL).select(*keys), "large")
+    own = dealt(edges.select(*keys), *keys, rows=edges.count())
+    large = materialize(own.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > SMALL).select(*keys), "large")
     if large.isEmpty():
         return edges, None
     same = [edges[k].eqNullSafe(large[k]) for k in keys]
@@ -64,10 +65,10 @@ def transitive_closure(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def _closed(edges: DataFrame, keys: list[str], whole: bool) -> DataFrame:
     paths = edges.select(*keys, F.col("child").alias("node"), F.col("parent").alias("ancestor"))
-    paths = materialize((dealt(paths, *keys) if whole else paths).distinct(), "paths")
+    paths = materialize((dealt(paths, *keys, rows=paths.count()) if whole else paths).distinct(), "paths")
     size = paths.count()
     while True:
-        held = dealt(paths, *keys) if whole else paths
+        held = dealt(paths, *keys, rows=size) if whole else paths
         onward = held.select(*keys, F.col("node").alias("_via"), F.col("ancestor").alias("_far"))
         joined = held.withColumnRenamed("ancestor", "_via").join(onward, [*keys, "_via"])
         longer = joined.select(*keys, "node", F.col("_far").alias("ancestor"))
@@ -78,6 +79,7 @@ def _closed(edges: DataFrame, keys: list[str], whole: bool) -> DataFrame:
             if new.isEmpty():
                 return paths
             paths = materialize(paths.unionByName(new), "paths")
+            size = paths.count()
             continue
         paths = materialize(paths.unionByName(longer).distinct(), "paths")
         grown = paths.count()
@@ -86,31 +88,98 @@ def _closed(edges: DataFrame, keys: list[str], whole: bool) -> DataFrame:
         size = grown
 
 
+def _facts(tables: DataFrame, edges: DataFrame, keys: list[str], roots: DataFrame | None = None) -> DataFrame:
+    """``(by, kind, first, second)``: edges, tables and roots as rows of one table, written once."""
+    found = edges.select(*keys, F.lit("edge").alias("kind"), F.col("child").alias("first"), F.col("parent").alias("second"))
+    listed = [("table", tables, "table_name")] + ([("root", roots, "root")] if roots is not None else [])
+    for kind, rows, name in listed:
+        found = found.unionByName(rows.select(*keys, F.lit(kind).alias("kind"), F.col(name).alias("first")), allowMissingColumns=True)
+    return materialize(found, "facts")
+
+
+def _taken_apart(facts: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Tables, edges and roots again."""
+
+    def of(kind: str) -> DataFrame:
+        return facts.where(F.col("kind") == kind)
+
+    edges = of("edge").select(*keys, F.col("first").alias("child"), F.col("second").alias("parent"))
+    return of("table").select(*keys, F.col("first").alias("table_name")), edges, of("root").select(*keys, F.col("first").alias("root"))
+
+
+def _held_whole(facts: DataFrame, keys: list[str], rows: int) -> DataFrame:
+    """``(by, tables, edges, roots)``: one row per small graph, its edges those between its tables.
+
+    Graphs without known keys have neither edges nor roots, as keys are joined by equality.
+    """
+    def of(kind: str, value: Column) -> Column:
+        return F.collect_list(F.when(F.col("kind") == kind, value))
+
+    edge = F.struct(F.col("first").alias("child"), F.col("second").alias("parent"))
+    named = F.struct(F.col("first").alias("table_name"))
+    whole = dealt(facts, *keys, rows=rows).groupBy(*keys).agg(
+        of("table", named).alias("tables"), of("edge", edge).alias("edges"), of("root", F.col("first")).alias("roots")
+    )
+    names = F.transform("tables", lambda t: t["table_name"])
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    inside = F.filter("edges", lambda e: known & F.array_contains(names, e["child"]) & F.array_contains(names, e["parent"]))
+    return whole.withColumns({"edges": inside, "roots": F.filter("roots", lambda _: known)})
+
+
 def reachability(tables: DataFrame, roots: DataFrame, edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """``(by, table_name, reachable)``: is there a path of single-column keys from the table to its root?
 
     Only edges between the given tables count. ``roots`` is ``(by, root)``, one row per graph. Each round
-    adds the tables that reference what the last one found.
+    adds the tables that reference what the last one found. Small graphs are followed whole, one row each.
     """
     keys = list(by)
-    inside = edges_between(edges.where(F.size("child_columns") == 1), tables, by).select(*keys, "child", "parent")
-    inside = materialize(inside.distinct(), "edges")
+    facts = _facts(tables, edges.where(F.size("child_columns") == 1), keys, roots)
+    rows = facts.count()
+    small, large = _by_size(facts, keys)
+    found = [_reached_whole(small, keys, rows)] if small is not None else []
+    if large is not None:
+        found.append(_reached(*_taken_apart(large, keys), keys, rows))
+    return found[0] if len(found) == 1 else found[0].unionByName(found[1])
+
+
+def _reached_whole(facts: DataFrame, keys: list[str], rows: int) -> DataFrame:
+    def onward(state: Column, _: Column) -> Column:
+        met = F.filter("edges", lambda e: F.array_contains(state["newest"], e["parent"]))
+        new = F.array_except(F.transform(met, lambda e: e["child"]), state["reached"])
+        more = F.struct(F.concat(state["reached"], new).alias("reached"), new.alias("newest"))
+        return F.when(F.size(state["newest"]) == 0, state).otherwise(more)
+
+    # A round that finds a table has an edge of its own, so there are no more rounds than edges.
+    first = F.struct(F.array_distinct("roots").alias("reached"), F.array_distinct("roots").alias("newest"))
+    reached = F.aggregate("edges", first, onward)["reached"]
+    marked = _held_whole(facts, keys, rows).select(*keys, "tables", reached.alias("_reached"))
+    marked = marked.select(*keys, "_reached", F.inline("tables"))
+    return marked.select(*keys, "table_name", F.coalesce(F.array_contains("_reached", F.col("table_name")), F.lit(False)).alias("reachable"))
+
+
+def _reached(tables: DataFrame, edges: DataFrame, roots: DataFrame, keys: list[str], rows: int) -> DataFrame:
+    named, ends = [*keys, "table_name"], [*keys, "parent"]
+    inside = materialize(edges_between(edges, tables, keys, rows).distinct(), "edges")
     found = Rounds(roots.select(*keys, F.col("root").alias("table_name")).distinct(), "reached")
     newest = found.all()
     while not newest.isEmpty():
-        step = inside.join(newest.withColumnRenamed("table_name", "parent"), [*keys, "parent"], "left_semi")
-        step = step.select(*keys, F.col("child").alias("table_name")).distinct()
-        newest = found.add(step.join(found.all(), [*keys, "table_name"], "left_anti"))
-    marked = tables.join(found.all().withColumn("_hit", F.lit(True)), [*keys, "table_name"], "left")
+        step = dealt(inside, *ends, rows=rows).join(dealt(newest.withColumnRenamed("table_name", "parent"), *ends, rows=rows), ends, "left_semi")
+        step = dealt(step.select(*keys, F.col("child").alias("table_name")), *named, rows=rows).distinct()
+        newest = found.add(step.join(dealt(found.all(), *named, rows=rows), named, "left_anti"))
+    marked = dealt(tables, *named, rows=rows).join(dealt(found.all(), *named, rows=rows).withColumn("_hit", F.lit(True)), named, "left")
     return marked.select(*keys, "table_name", F.coalesce("_hit", F.lit(False)).alias("reachable"))
 
 
-def edges_between(edges: DataFrame, tables: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Edges whose two ends are both among the tables."""
+def edges_between(edges: DataFrame, tables: DataFrame, by: Sequence[str] = (), rows: int | None = None) -> DataFrame:
+    """Edges whose two ends are both among the tables; ``rows`` is about how many there are of both, where that is known."""
     keys = list(by)
     for end in ("child", "parent"):
-        ends = tables.select(*keys, F.col("table_name").alias(end)).distinct()
-        edges = edges.join(ends, [*keys, end], "left_semi")
+        ends = tables.select(*keys, F.col("table_name").alias(end))
+        if rows is not None:
+            edges, ends = dealt(edges, *keys, end, rows=rows), dealt(ends, *keys, end, rows=rows)
+        edges = edges.join(ends.distinct(), [*keys, end], "left_semi")
     return edges
 
 
@@ -133,7 +202,7 @@ def _trimmed_whole(edges: DataFrame, keys: list[str]) -> DataFrame:
     own = Window.partitionBy(*keys)
     core, size = edges.dropna(subset=[*keys, "child", "parent"]), None
     while True:
-        core = dealt(core, *keys)
+        core = dealt(core, *keys, rows=core.count() if size is None else size)
         if size is None:
             core = core.distinct()
         for _ in range(TRIMMED):
@@ -177,27 +246,63 @@ def removal_order(tables: DataFrame, edges: DataFrame, by: Sequence[str]) -> Dat
     """``(by, table_name, round)``: children in earlier rounds than their parents, for graphs without cycles.
 
     Each round takes the tables no remaining table references. Graphs with tables left over at the end have
-    a cycle and get no order; a table that references itself does not count as one.
+    a cycle and get no order; a table that references itself does not count as one. Small graphs are followed whole, one
+    row each. Tables without a name or a known graph have no edges and are taken in the first round.
     """
     keys = list(by)
-    waiting = edges_between(edges.where("child <> parent"), tables, by).select(*keys, "child", "parent").distinct()
-    waiting = materialize(waiting, "waiting")
-    left = materialize(tables.select(*keys, "table_name").distinct(), "left")
+    facts = _facts(tables, edges.where("child <> parent"), keys)
+    rows = facts.count()
+    small, large = _by_size(facts, keys)
+    found = [_ordered_whole(small, keys, rows)] if small is not None else []
+    if large is not None:
+        found.append(_ordered(*_taken_apart(large, keys)[:2], keys, rows))
+    return found[0] if len(found) == 1 else found[0].unionByName(found[1])
+
+
+def _ordered_whole(facts: DataFrame, keys: list[str], rows: int) -> DataFrame:
+    held = _held_whole(facts, keys, rows).withColumn("tables", F.array_distinct("tables"))
+    names = F.transform("tables", lambda t: t["table_name"])
+
+    def onward(state: Column, _: Column) -> Column:
+        ready = F.array_except(state["left"], F.transform(state["waiting"], lambda e: e["parent"]))
+        taken = F.transform(ready, lambda t: F.struct(t.alias("table_name"), state["round"].alias("round")))
+        return F.when(F.size(state["left"]) == 0, state).otherwise(
+            F.struct(
+                F.array_except(state["left"], ready).alias("left"),
+                F.filter(state["waiting"], lambda e: ~F.coalesce(F.array_contains(ready, e["child"]), F.lit(False))).alias("waiting"),
+                (state["round"] + 1).alias("round"),
+                F.concat(state["taken"], taken).alias("taken"),
+            )
+        )
+
+    none = F.filter(F.transform(names, lambda t: F.struct(t.alias("table_name"), F.lit(0).alias("round"))), lambda _: F.lit(False))
+    first = F.struct(names.alias("left"), F.col("edges").alias("waiting"), F.lit(0).alias("round"), none.alias("taken"))
+    # A round that does not take a table is the last, so there are no more rounds than tables.
+    ended = held.select(*keys, F.aggregate("tables", first, onward).alias("_end"))
+    return ended.where(F.size("_end.left") == 0).select(*keys, F.inline("_end.taken"))
+
+
+def _ordered(tables: DataFrame, edges: DataFrame, keys: list[str], rows: int) -> DataFrame:
+    named = [*keys, "table_name"]
+    waiting = materialize(edges_between(edges, tables, keys, rows).distinct(), "waiting")
+    left = materialize(dealt(tables, *named, rows=rows).distinct(), "left")
     levels = None
     while True:
-        blocked = waiting.select(*keys, F.col("parent").alias("table_name")).distinct()
-        ready = left.join(blocked, [*keys, "table_name"], "left_anti").withColumn("round", F.lit(levels.count if levels else 0))
+        blocked = dealt(waiting.select(*keys, F.col("parent").alias("table_name")), *named, rows=rows).distinct()
+        ready = dealt(left, *named, rows=rows).join(blocked, named, "left_anti").withColumn("round", F.lit(levels.count if levels else 0))
         if levels is None:
             levels = Rounds(ready, "levels")
             ready = levels.all()
+            # Nulls are equal to nothing, so these would never be found among those that were ready.
+            left = left.dropna(subset=named)
         else:
             ready = levels.add(ready)
         if ready.isEmpty():
             break
-        ready = ready.drop("round")
-        left = materialize(left.join(ready, [*keys, "table_name"], "left_anti"), "left")
+        ready = dealt(ready.drop("round"), *named, rows=rows)
+        left = materialize(dealt(left, *named, rows=rows).join(ready, named, "left_anti"), "left")
         done = ready.withColumnRenamed("table_name", "child")
-        waiting = materialize(waiting.join(done, [*keys, "child"], "left_anti"), "waiting")
+        waiting = materialize(dealt(waiting, *keys, "child", rows=rows).join(done, [*keys, "child"], "left_anti"), "waiting")
     return levels.all().join(left.select(*keys).distinct(), keys, "left_anti")
 
 

@@ -60,7 +60,7 @@ class Inputs:
         if name in DERIVED:
             sql = DERIVED[name]
             used = {n: getattr(self, n) for n in table_names(sql)}
-            used |= {n: dealt(used[n], *keys) for n, keys in _DEALT[name].items()}
+            used |= {n: dealt(used[n], *keys, rows=used[n].count()) for n, keys in _DEALT[name].items()}
             return self.spark.sql(sql, **used)
         raise AttributeError(name)
 

@@ -11,7 +11,7 @@ from tideline.operators import graph, health, rules
 from tideline.queries.derived import NOW
 from tideline.queries.groups import LINE_EDGE, TABLE_EDGES
 from tideline.queries.registry import BASE_TABLES, Inputs, check_table, query
-from tideline.session import materialize, scratch_path
+from tideline.session import dealt, materialize, scratch_path
 from tideline.sources import catalog, state
 
 
@@ -115,7 +115,7 @@ def graphs(inputs: Inputs) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Tables, roots and edges."""
     edges = graph_edges(inputs)
     ends = F.explode(F.array("child", "parent")).alias("table_name")
-    tables = materialize(edges.select("app_id", ends).distinct(), "tables")
+    tables = materialize(dealt(edges.select("app_id", ends), "app_id", rows=2 * edges.count()).distinct(), "tables")
     return tables, tables.groupBy("app_id").agg(F.min("table_name").alias("root")), edges
 
 
