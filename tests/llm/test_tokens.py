@@ -89,3 +89,16 @@ def test_codes():
 def test_no_rows(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert bpe.round_trip(empty).count() == 0 and tokenfile.round_trip(empty).count() == 0
+
+
+def test_texts_are_encoded_in_small_batches():
+    """The arrays of a batch are many times its text, so no more than a little of it is worked on at once."""
+    import pyarrow as pa
+
+    from tideline.llm import bpe
+
+    texts = [None, "", *(["word " * 200] * 3000), "x" * 500_000, "end"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["k0", "text"])
+    parts = list(bpe.small_batches(iter([batch, batch.slice(0, 2)]), 1))
+    assert [t for p in parts for t in p.column(1).to_pylist()] == [*texts, None, ""]
+    assert all(p.num_rows == 1 or sum(len(t or "") for t in p.column(1).to_pylist()) <= 1 << 18 for p in parts)
